@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs: dict[str, str] = {}
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of the data folder; any path that Spark's readers open."""
@@ -15,11 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests), an own temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
+    return _own_dirs[app]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

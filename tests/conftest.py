@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +12,5 @@ def spark():
 
     session = local_session(4, "tests", "4g")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='lexmill-tests-')}")
     yield session
     session.stop()
