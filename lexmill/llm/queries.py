@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import simhash
-from lexmill.sources.tables import read_table
+from lexmill.llm import packing, simhash, token_files
+from lexmill.sources.tables import read_table, scratch_path
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_simhash": op4_simhash}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path)
+    return token_files.token_digests(spark, path)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op4_simhash": op4_simhash,
+    "op5_token_files": op5_token_files,
+}
 ORACLE_SQL: dict[str, str] = {}
