@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.wordids import RunEncoder, default_vocabulary, pieces_of
+from lexmill.llm.wordids import default_vocabulary, encoder_for, pieces_of
 
 WINDOW = 2048
 #: Costs in ids of padding: ending a window after a sentence inside a document, inside a sentence, and a short window.
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(path, end_id)
+        encoder = encoder_for(path, end_id)
         stream = _Stream(size, TaskContext.get().partitionId() << 32)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 

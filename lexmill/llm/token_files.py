@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.wordids import RunEncoder, default_vocabulary, pieces_of
+from lexmill.llm.wordids import default_vocabulary, encoder_for, pieces_of
 
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is fitted on so many documents, chosen by hash, none longer than so many characters.
@@ -33,7 +33,7 @@ BLOCKS = (
 )
 
 
-def train_dictionary(docs: DataFrame, encoder: RunEncoder, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, encoder, width: int) -> bytes:
     """A dictionary for the serialized id arrays of a bounded sample; empty if the sample is too small to train on."""
     sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
     rows = [encoder.encode(pa.array([r.text])).ids.astype(f"<u{width}").tobytes() for r in sample]
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     vocab = vocabulary or default_vocabulary()
-    encoder = RunEncoder(vocab, end_id)
+    encoder = encoder_for(vocab, end_id)
     width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dictionary = train_dictionary(docs, encoder, width)
@@ -64,7 +64,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     types = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = RunEncoder(vocab, end_id), TaskContext.get().partitionId()
+        coder, shard = encoder_for(vocab, end_id), TaskContext.get().partitionId()
         compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_codec_args(dictionary)).compress
         block, before, doc_ids, counts, frames, held = 0, 0, [], [], [], 0
 

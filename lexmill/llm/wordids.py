@@ -9,14 +9,17 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bounds of one worker's memory: cached runs, and bytes of text turned into arrays at once.
-CACHE_RUNS = 200_000
+CACHE_RUNS = 400_000
 BATCH_BYTES = 4 << 20
+#: Stands between runs that are encoded together; a run that holds it is encoded apart. So many runs a text.
+MARK, JOINED = "\x00", 2000
 _SENTENCE_END = r"""[.!?…。！？]["'”’»)\]]*$"""
 
 
@@ -43,27 +46,49 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 class RunEncoder:
+    """Use encoder_for: one a process, so that tasks of a reused worker share vocabulary and cache."""
+
     def __init__(self, path: str, end_id: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self._clear()
-
-    def _clear(self) -> None:
+        sample = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = sample[0] if len(sample) == 1 else None
         self.slot: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _add(self, runs: list[str]) -> None:
+    def _shrink(self) -> None:
+        """Keep the runs seen first: the frequent ones are among them."""
+        n = min(len(self.slot), CACHE_RUNS // 2)
+        for _ in range(len(self.slot) - n):
+            self.slot.popitem()
+        self.used = int(self.start[n - 1] + self.length[n - 1]) if n else 0
+
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs, joined, and how many each has. Runs go to the library together, marks between them."""
+        plain = self.mark is not None and not any(MARK in r for r in runs)
+        if plain:
+            sep = f" {MARK} "
+            texts = [sep.join(runs[k : k + JOINED]) for k in range(0, len(runs), JOINED)]
+            ids = np.concatenate([np.array([*e.ids, self.mark], np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(runs):
+                return ids[ids != self.mark], np.diff(at, prepend=-1) - 1
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        n, sizes = len(self.slot), np.fromiter(map(len, coded), np.int64, len(coded))
-        need = self.used + int(sizes.sum())
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter((x for ids in coded for x in ids), np.uint32, int(sizes.sum())), sizes
+
+    def _add(self, runs: list[str]) -> None:
+        ids, sizes = self._encode_runs(runs)
+        n, need = len(self.slot), self.used + len(ids)
         if need > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * need)
+            self.flat = np.resize(self.flat, need + (need >> 1))
         if n + len(runs) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * (n + len(runs))), np.resize(self.length, 2 * (n + len(runs)))
-        self.flat[self.used : need] = np.fromiter((x for ids in coded for x in ids), np.uint32, need - self.used)
+            more = n + len(runs) + (n >> 1)
+            self.start, self.length = np.resize(self.start, more), np.resize(self.length, more)
+        self.flat[self.used : need] = ids
         self.start[n : n + len(runs)] = self.used + np.cumsum(sizes) - sizes
         self.length[n : n + len(runs)] = sizes
         self.used = need
@@ -74,12 +99,11 @@ class RunEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = words.flatten().dictionary_encode()
         runs = coded.dictionary.to_pylist()
-        if len(self.slot) + len(runs) > CACHE_RUNS:
-            self._clear()
-        slot = self.slot
-        if new := [r for r in runs if r not in slot]:
+        if len(self.slot) > CACHE_RUNS:
+            self._shrink()
+        if new := [r for r in runs if r not in self.slot]:
             self._add(new)
-        here = np.fromiter((slot[r] for r in runs), np.int64, len(runs))
+        here = np.fromiter(map(self.slot.__getitem__, runs), np.int64, len(runs))
         ends = pc.match_substring_regex(coded.dictionary, _SENTENCE_END).to_numpy(zero_copy_only=False) if runs else np.empty(0, bool)
         index = coded.indices.to_numpy(zero_copy_only=False)
         first = words.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -98,6 +122,11 @@ class RunEncoder:
         return Encoded(ids, start, cuts)
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str, end_id: int = 1) -> RunEncoder:
+    return RunEncoder(path, end_id)
+
+
 def pieces_of(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most ``most`` bytes of text (one row at least)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
