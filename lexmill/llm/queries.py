@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import packing, simhash, token_files
+from lexmill.llm import packing, quality_rules, rule_ensemble, simhash, token_files
 from lexmill.sources.tables import read_table, scratch_path
 
 
@@ -24,9 +25,25 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality_rules.fit_weights(docs, quality_rules.trusted_ids(read_table(spark, sf_dir, "labels")))
+    out = quality_rules.apply_rules(docs, weights)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_ratio", 6).alias("log_ratio"))
+
+
+def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_ensemble.train(docs, read_table(spark, sf_dir, "labels"))
+    out = rule_ensemble.score(docs, model)
+    return out.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_rule_ensemble": op10_rule_ensemble,
 }
 ORACLE_SQL: dict[str, str] = {}
