@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import packing, quality_rules, rule_ensemble, simhash, token_files
-from lexmill.sources.tables import read_table, scratch_path
+from lexmill.llm import packing, pii, quality_rules, rule_ensemble, simhash, token_files
+from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = materialize(pii.candidates(read_table(spark, sf_dir, "documents")), "pii")
+    return pii.digest(pii.decide(spans, pii.fit(spans)))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,

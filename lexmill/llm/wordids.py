@@ -20,6 +20,7 @@ CACHE_RUNS = 400_000
 BATCH_BYTES = 4 << 20
 #: Stands between runs that are encoded together; a run that holds it is encoded apart. So many runs a text.
 MARK, JOINED = "\x00", 2000
+_PLAIN = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<m>[.,;:!?]*)$"
 _SENTENCE_END = r"""[.!?…。！？]["'”’»)\]]*$"""
 
 
@@ -94,23 +95,44 @@ class RunEncoder:
         self.used = need
         self.slot.update(zip(runs, range(n, n + len(runs))))
 
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        """The cache slots of strings, those not there encoded first."""
+        coded = parts.dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        if new := [r for r in runs if r not in self.slot]:
+            self._add(new)
+        return np.fromiter(map(self.slot.__getitem__, runs), np.int64, len(runs))[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _distinct(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, ...]:
+        """Per word its distinct run; per distinct run where its ids start, how many they are, and if it ends a sentence.
+
+        A run of plain letters with closing marks is the lower-case letters' ids, then the marks': the vocabulary
+        lower-cases and splits there. So case and marks don't multiply what is encoded.
+        """
+        runs = coded.dictionary
+        if len(self.slot) > CACHE_RUNS:
+            self._shrink()
+        split = pc.extract_regex(runs, _PLAIN)
+        plain = pc.is_valid(split)
+        body = pc.if_else(plain, pc.utf8_lower(pc.struct_field(split, "w")), runs)
+        marks = pc.if_else(plain, pc.struct_field(split, "m"), pa.scalar("", runs.type))
+        slots = np.column_stack([self._slots(body), self._slots(marks)]).ravel()
+        sizes = self.length[slots]
+        flat = ragged(self.flat, self.start[slots], sizes)
+        length = sizes[0::2] + sizes[1::2]
+        ends = pc.match_substring_regex(runs, _SENTENCE_END).to_numpy(zero_copy_only=False).astype(bool)
+        return coded.indices.to_numpy(zero_copy_only=False), np.cumsum(length) - length, length, flat, ends
+
     def encode(self, texts: pa.Array) -> Encoded:
         """texts: strings, null counts as empty."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = words.flatten().dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        if len(self.slot) > CACHE_RUNS:
-            self._shrink()
-        if new := [r for r in runs if r not in self.slot]:
-            self._add(new)
-        here = np.fromiter(map(self.slot.__getitem__, runs), np.int64, len(runs))
-        ends = pc.match_substring_regex(coded.dictionary, _SENTENCE_END).to_numpy(zero_copy_only=False) if runs else np.empty(0, bool)
-        index = coded.indices.to_numpy(zero_copy_only=False)
+        index, start, length, flat, ends = self._distinct(coded)
         first = words.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         first -= first[0]
         row = np.repeat(np.arange(len(texts)), np.diff(first))
-        length = self.length[here][index] if len(runs) else np.empty(0, np.int64)
-        body = ragged(self.flat, self.start[here][index] if len(runs) else length, length)
+        length = length[index]
+        body = ragged(flat, start[index], length)
         before = np.r_[0, np.cumsum(length)]
         start = before[first] + np.arange(len(texts) + 1)  # each earlier row has an end id too
         ids = np.empty(len(body) + len(texts), np.uint32)
@@ -118,7 +140,7 @@ class RunEncoder:
         mask = np.ones(len(ids), bool)
         mask[ends_at] = False
         ids[mask], ids[ends_at] = body, self.end_id
-        cuts = (before[1:] + row)[ends[index]] if len(runs) else np.empty(0, np.int64)
+        cuts = (before[1:] + row)[ends[index]]
         return Encoded(ids, start, cuts)
 
 
