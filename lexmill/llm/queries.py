@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import packing, pii, quality_rules, rule_ensemble, simhash, token_files
+from lexmill.llm import packing, pii, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
 from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_ratio", 6).alias("log_ratio"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = rule_ensemble.train(docs, read_table(spark, sf_dir, "labels"))
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
 ORACLE_SQL: dict[str, str] = {}
