@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import packing, pii, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
+from lexmill.llm import chat, html_extract, packing, pii, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
 from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
@@ -37,6 +37,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("log_ratio", 6).alias("log_ratio"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
+    path = scratch_path(spark, "chat")
+    chat.format_turns(rows).write.parquet(path)
+    return chat.digests(chat.read_formatted(spark, path))
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(read_table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_extract": op7_html_extract,
+    "op8_chat": op8_chat,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
