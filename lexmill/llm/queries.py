@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, html_extract, packing, pii, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
+from lexmill.llm import chat, html_extract, packing, pii, piece_fst, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
 from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = materialize(pii.candidates(read_table(spark, sf_dir, "documents")), "pii")
     return pii.digest(pii.decide(spans, pii.fit(spans)))
@@ -63,6 +67,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_token_files": op5_token_files,
