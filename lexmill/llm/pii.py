@@ -143,18 +143,30 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     return let(matches, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(empty))
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): the base spans and the candidates that overlap none of them. Null text: none."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
-    t, none = F.col("_text"), F.array().cast(SPAN)
-    with_digit = F.exists(F.array(t), lambda x: x.rlike("[0-9]"))
-    out = out.withColumn("_digit", with_digit)
-    parts = {f"_{k}": F.when(F.col("_digit") | F.lit(k == "email"), _spans(t, k, p)).otherwise(none) for k, p in (BASE | EXTRA).items()}
-    out = out.select("doc_id", *[v.alias(k) for k, v in parts.items()])
+def span_column(text: Column, digit: Column) -> tuple[dict[str, Column], Column]:
+    """Columns with the spans of each kind, and the expression that joins them: base, and what overlaps no base span."""
+    none = F.array().cast(SPAN)
+    parts = {f"_{k}": F.when(digit | F.lit(k == "email"), _spans(text, k, p)).otherwise(none) for k, p in (BASE | EXTRA).items()}
     base, extra = F.concat(*[f"_{k}" for k in BASE]), F.concat(*[f"_{k}" for k in EXTRA])
     apart = let(base, lambda b: F.when(F.size(b) == 0, extra).otherwise(F.filter(extra, lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))))
-    return out.select("doc_id", F.concat(base, apart).alias("spans"))
+    return parts, F.concat(base, apart)
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", into: str = "spans") -> DataFrame:
+    """docs with the candidate spans of each text in ``into``. Null text: none."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"))
+    row = row.withColumn("_digit", F.exists(F.array("_text"), lambda x: x.rlike("[0-9]")))
+    parts, joined = span_column(F.col("_text"), F.col("_digit"))
+    out = row.select("_row", *[v.alias(k) for k, v in parts.items()])
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != into]
+    return out.select(*kept, joined.alias(into))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans): the base spans and the candidates that overlap none of them. Null text: none."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_source"))
+    return with_spans(own, "_source").select("doc_id", "spans")
 
 
 @dataclass
@@ -232,8 +244,20 @@ def _joined(spans: Column) -> Column:
 
 def decide(spans: DataFrame, model: SpanModel) -> DataFrame:
     """(doc_id, found): base spans, and the candidates that the classifier accepts."""
+    return spans.select("doc_id", accepted(F.col("spans"), model).alias("found"))
+
+
+def accepted(spans: Column, model: SpanModel) -> Column:
     cut = math.log(ACCEPT / (1 - ACCEPT))
-    return spans.select("doc_id", F.filter("spans", lambda s: s["base"] | (model.logit(s) >= cut)).alias("found"))
+    return F.filter(spans, lambda s: s["base"] | (model.logit(s) >= cut))
+
+
+def mask(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
+    """docs with every found span of the text replaced by its kind in brackets; a null text stays null."""
+    seen = with_spans(docs, text_col, "_spans")
+    text = F.col(text_col).cast("string")
+    out = seen.withColumn("_found", accepted(F.col("_spans"), model))
+    return out.withColumn(text_col, F.when(text.isNotNull(), masked(text, F.col("_found")))).drop("_spans", "_found")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.graph import connected_components, spanning_links
@@ -202,3 +202,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = fingerprint_components(fps, radius)
     out = fps.join(found, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id; of rows that repeat it, one.
+
+    Rows without an id can't be named as copies and stay. All columns are kept.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    found = simhash_components(named, id_col, text_col, words, radius)
+    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col).cast("string"))))
+    one = named.join(keepers, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
