@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
+END = ""
 #: Bounds of a worker's memory: runs with known paths, compatible pairs known.
-CACHE_RUNS, CACHE_PAIRS = 300_000, 1_000_000
+CACHE_RUNS, CACHE_PAIRS = 500_000, 1_000_000
 #: Weight of a byte fallback arc.
 FALLBACK = 1e6
 
@@ -52,15 +53,22 @@ class PieceTransducer:
         self.unknown = next(k for k, p in enumerate(spec.pieces) if p.type == kinds.UNKNOWN)
         self.ids = {p: k for p, (k, _) in normal.items()}
         self.scores = {p: s for p, (_, s) in normal.items()}
-        self.starts = {p[:n] for p in normal for n in range(1, len(p) + 1)}
         self.by_runs = not any(SPACE in p.lstrip(SPACE) for p in normal)
         self.output = [p.piece if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else "" for p in spec.pieces]
         self.byte_of = {k: b for b, k in self.bytes.items()}
         if any(not p.type == kinds.BYTE and k in self.byte_of for k, p in enumerate(spec.pieces)):
             raise ValueError("ids of bytes are not unique")
         self.paths: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.known_pairs = 0
+        # the piece transducer: a node maps a character to the next node, and END to the piece's id
+        self.root: dict = {}
+        for piece, k in self.ids.items():
+            if not self.merges or self.merge(piece) == [piece]:  # merging never makes the others
+                node = self.root
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[END] = k
 
     def merge(self, text: str) -> list[str]:
         """The merge result, by its definition: the best-scored neighbours first, leftmost of equals."""
@@ -76,44 +84,64 @@ class PieceTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = not self.merges or self.merge(a + b) == [a, b]
+    def _text(self, code: int) -> str:
+        return self.output[code] if code >= 0 else chr(-1 - code)
+
+    def _weight(self, code: int) -> float:
+        return -self.scores[self.output[code]] if code >= 0 else FALLBACK
+
+    def _compatible(self, a: int, b: int) -> bool:
+        """The acceptor's arc from piece a to piece b, found once."""
+        if self.known_pairs >= CACHE_PAIRS:
+            self.pairs.clear()
+            self.known_pairs = 0
+        x, y = self._text(a), self._text(b)
+        known = not self.merges or (self.ids.get(x + y) is None or self.merge(x + y) != [x + y]) and self.merge(x + y) == [x, y]
+        self.pairs.setdefault(a, {})[b] = known
+        self.known_pairs += 1
         return known
 
-    def _reached(self, piece: str) -> bool:
-        """Whether merging makes this piece at all."""
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = not self.merges or self.merge(piece) == [piece]
-        return known
+    def shortest_path(self, run: str) -> list[int]:
+        """Output of the least-weight path of the composition with ``run`` (already normalised).
 
-    def shortest_path(self, run: str) -> list[str]:
-        """Output of the least-weight path of the composition with ``run`` (already normalised)."""
-        n, scores, starts = len(run), self.scores, self.starts
-        weight, last, came = [float("inf")] * (n + 1), [""] * (n + 1), [0] * (n + 1)
-        weight[0] = 0.0
+        Codes are piece ids; a character without a piece, for byte fallback, is -1 minus its code point. In a merge model
+        one compatible arc at most enters a position, so the minimum is over one and later arcs needn't be tried.
+        """
+        n, root, pairs, merges = len(run), self.root, self.pairs, self.merges
+        last: list[int | None] = [None] * (n + 1)
+        came, weight = [0] * (n + 1), [0.0] * (n + 1)
         for i in range(n):
-            if weight[i] == float("inf"):
+            before = last[i]
+            if before is None and i:
                 continue
-            before, here = last[i], weight[i]
-            j = i + 1
-            arcs = []
-            while j <= n and (part := run[i:j]) in starts:
-                if part in scores:
-                    arcs.append((part, -scores[part]))
+            after = pairs.get(before) if i else None
+            node, j = root, i
+            if (first := root.get(run[i])) is None or END not in first:
+                arcs = [(i + 1, -1 - ord(run[i]))]
+            else:
+                arcs = []
+            while j < n:
+                node = node.get(run[j])
+                if node is None:
+                    break
                 j += 1
-            if run[i] not in scores:
-                arcs.append((run[i], FALLBACK))
-            for part, w in arcs:
-                j = i + len(part)
-                if here + w < weight[j] and self._reached(part) and (not before or self._compatible(before, part)):
-                    weight[j], last[j], came[j] = here + w, part, i
-        if weight[n] == float("inf"):  # equal scores can leave no compatible path: the definition decides
-            return self.merge(run)
+                if (code := node.get(END)) is not None and (last[j] is None or not merges):
+                    arcs.append((j, code))
+            for j, code in arcs:
+                if last[j] is not None and (merges or weight[i] + self._weight(code) >= weight[j]):
+                    continue
+                if i:
+                    good = after.get(code) if after is not None else None
+                    if good is None:
+                        good = self._compatible(before, code)
+                        after = pairs.get(before)
+                    if not good:
+                        continue
+                last[j], came[j] = code, i
+                if not merges:
+                    weight[j] = weight[i] + self._weight(code)
+        if n and last[n] is None:  # equal scores can leave no compatible path: the definition decides
+            return [self.ids.get(p, -1 - ord(p[0])) for p in self.merge(run)]
         out, j = [], n
         while j:
             out.append(last[j])
@@ -121,16 +149,16 @@ class PieceTransducer:
         return out[::-1]
 
     def _path_ids(self, run: str) -> tuple[int, ...]:
-        # long runs of spaces have pieces of equal score, where neighbours alone don't tell the path
-        parts = self.merge(run) if self.merges and SPACE * 2 in run and len(run) < 64 else self.shortest_path(run)
+        if self.merges and SPACE * 2 in run and len(run) < 64:
+            # runs of spaces have pieces of equal score, where neighbours alone don't tell the path
+            codes = [self.ids.get(p, -1 - ord(p[0])) for p in self.merge(run)]
+        else:
+            codes = self.shortest_path(run)
+        if min(codes) >= 0:
+            return tuple(codes)
         out: list[int] = []
-        for p in parts:
-            if (k := self.ids.get(p)) is not None:
-                out.append(k)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
+        for c in codes:
+            out += [c] if c >= 0 else [self.bytes[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
         return tuple(out)
 
     def normalise(self, text: str) -> str:
