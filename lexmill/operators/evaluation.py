@@ -15,15 +15,21 @@ def first_hits(results: DataFrame, relevant: Column, queries: DataFrame, keys: t
     return out.withColumns({"hit1": at <= 1, "hit3": at <= 3, "hit5": at <= 5, "rr": F.coalesce(1 / F.col("first_hit"), F.lit(0.0))})
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """Rounded half up; the sum's order, and so its last bits, can't turn a tie."""
+    scale = 10.0**digits
+    return F.floor(x * scale + 0.5 + 1e-6).cast("double") / scale
+
+
 def percent(test: Column) -> Column:
     """Share of rows in percent with one decimal; 0 for no rows."""
-    return F.coalesce(F.round(100 * F.avg(F.when(test, 1.0).otherwise(0.0)), 1), F.lit(0.0))
+    return F.coalesce(half_up(100 * F.avg(F.when(test, 1.0).otherwise(0.0)), 1), F.lit(0.0))
 
 
 def summary(hits: DataFrame, *by: str) -> DataFrame:
     """Rates at 1, 3 and 5, mean reciprocal rank, and the number of missed queries."""
     cols = [percent(F.col(f"hit{k}")).alias(f"hit_at_{k}") for k in (1, 3, 5)]
-    cols += [F.coalesce(F.round(F.round(F.avg("rr"), 9), 4), F.lit(0.0)).alias("mrr"), F.count_if(F.col("first_hit").isNull()).alias("missed"), F.count("*").alias("n")]
+    cols += [F.coalesce(half_up(F.avg("rr"), 4), F.lit(0.0)).alias("mrr"), F.count_if(F.col("first_hit").isNull()).alias("missed"), F.count("*").alias("n")]
     return hits.groupBy(*by).agg(*cols) if by else hits.agg(*cols)
 
 

@@ -139,8 +139,8 @@ chunks AS (SELECT source, doc_id AS article_no, upper(source) || ' m. ' || doc_i
 VECTOR_ASKED = f"sims AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, a.label AS own, b.label, {COS} AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0)"
 HITS = VECTOR_ASKED + f""", best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc_id) AS rank FROM sims WHERE qid <> doc_id QUALIFY rank <= {P.top_k}),
 hits AS (SELECT q.vec_id AS qid, min(b.rank) AS first_hit FROM embeddings q LEFT JOIN best b ON b.qid = q.vec_id AND b.label = b.own WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id)"""
-RATES = """coalesce(round(100 * avg(CASE WHEN first_hit <= 1 THEN 1.0::double ELSE 0 END), 1), 0) AS hit_at_1, coalesce(round(100 * avg(CASE WHEN first_hit <= 3 THEN 1.0::double ELSE 0 END), 1), 0) AS hit_at_3,
- coalesce(round(100 * avg(CASE WHEN first_hit <= 5 THEN 1.0::double ELSE 0 END), 1), 0) AS hit_at_5, coalesce(round(round(avg(coalesce(1.0::double / first_hit, 0)), 9), 4), 0) AS mrr, count_if(first_hit IS NULL) AS missed, count(*) AS n"""
+RATES = """coalesce(floor(1000 * avg(CASE WHEN first_hit <= 1 THEN 1.0::double ELSE 0 END) + 0.5 + 1e-6) / 10, 0) AS hit_at_1, coalesce(floor(1000 * avg(CASE WHEN first_hit <= 3 THEN 1.0::double ELSE 0 END) + 0.5 + 1e-6) / 10, 0) AS hit_at_3,
+ coalesce(floor(1000 * avg(CASE WHEN first_hit <= 5 THEN 1.0::double ELSE 0 END) + 0.5 + 1e-6) / 10, 0) AS hit_at_5, coalesce(floor(avg(coalesce(1.0::double / first_hit, 0)) * 10000 + 0.5 + 1e-6) / 10000, 0) AS mrr, count_if(first_hit IS NULL) AS missed, count(*) AS n"""
 
 
 def grid_sql(rows: list[tuple]) -> str:
@@ -249,8 +249,8 @@ SELECT doc_id, length(a) >= {P.loop_tail} AND (length(a) - length(replace(a, rig
         "unsupported_citations": f"WITH {ANSWERS}, {cited_of('answers', 'answer', 'c0')} SELECT a.conv_id, a.turn, coalesce((SELECT string_agg(cite, ';' ORDER BY pl) FROM c0 c WHERE c.conv_id = a.conv_id AND c.turn = a.turn AND c.cite NOT IN (a.shown1, a.shown2)), '') AS unsupported FROM answers a",
         "citation_safety_net": f"WITH {FLAGGED} SELECT conv_id, turn, final AS answer FROM flagged",
         "answer_flags": f"WITH {FLAGGED} SELECT conv_id, turn, unknown, n_bad > 0 AS has_unsupported, trusted, final <> answer AS auto_cited FROM flagged",
-        "answer_metrics": f"""WITH {FLAGGED} SELECT count(*) AS answers, coalesce(round(100 * avg(CASE WHEN in_scope AND n_cited > 0 THEN 1.0::double ELSE 0 END), 1), 0) AS cited_percent, count_if(n_bad > 0) AS with_unsupported, count_if(NOT in_scope AND unknown) AS refused,
- coalesce(round(100 * avg(CASE WHEN CASE WHEN in_scope THEN trusted AND NOT unknown ELSE unknown END THEN 1.0::double ELSE 0 END), 1), 0) AS success_percent, count_if(final <> answer) AS auto_cited FROM flagged""",
+        "answer_metrics": f"""WITH {FLAGGED} SELECT count(*) AS answers, coalesce(floor(1000 * avg(CASE WHEN in_scope AND n_cited > 0 THEN 1.0::double ELSE 0 END) + 0.5 + 1e-6) / 10, 0) AS cited_percent, count_if(n_bad > 0) AS with_unsupported, count_if(NOT in_scope AND unknown) AS refused,
+ coalesce(floor(1000 * avg(CASE WHEN CASE WHEN in_scope THEN trusted AND NOT unknown ELSE unknown END THEN 1.0::double ELSE 0 END) + 0.5 + 1e-6) / 10, 0) AS success_percent, count_if(final <> answer) AS auto_cited FROM flagged""",
         "corpus_stats": f"WITH {CHUNKS} SELECT count(*) AS chunks, count(DISTINCT source) AS sources, (SELECT count(*) FROM (SELECT DISTINCT source, article_no FROM chunks)) AS articles, (SELECT count(*) FROM embeddings) AS vectors, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM chunks",
         "corpus_integrity": rf"""WITH {CHUNKS} SELECT count(*) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT source, article_no FROM chunks)) AS articles, count_if(length(content) = 0) AS empty, count_if(length(content) BETWEEN 1 AND 39) AS short, count_if(regexp_matches(content, 'MADDE \d+\s*[-–]')) AS contaminated,
  count_if(coalesce(heading, '') = '') AS no_heading, count_if(coalesce(topic, '') = '') AS no_topic, round(avg(length(content)), 1) AS mean_chars, max(length(content)) AS longest, min(length(content)) AS shortest,
