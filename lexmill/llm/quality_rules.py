@@ -22,6 +22,8 @@ WEIGHT_SCALE = 10_000
 THRESHOLD = -0.5
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
+#: Places of windows that fit beside the upper bits of a hash.
+_PLACES = (1 << 20) - 1
 TOKEN = r"[\p{L}\p{M}]+|[0-9]+|[^\p{L}\p{M}0-9\x20\x09-\x0D]+"
 
 
@@ -32,14 +34,26 @@ def repeat_words(words: Column) -> Column:
         lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
     )
 
-    def covered(h: Column) -> Column:
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        again = let(ordered, lambda s: F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
-        places = F.array_sort(F.transform(again, lambda x: x["i"]))
-        gains = let(places, lambda p: F.transform(p, lambda x, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), x - F.get(p, k - 1)))))
+    def united(places: Column) -> Column:
+        gains = let(places, lambda p: F.transform(p, lambda x, k: F.when(k == 0, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), x - F.get(p, k - 1)))))
         return F.aggregate(gains, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    def covered(h: Column) -> Column:
+        """Sorts numbers made of a window's upper hash bits and its place; neighbours are then compared by the whole hash."""
+        ordered = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(~_PLACES).bitwiseOR(i.cast("long"))))
+        whole = let(ordered, lambda s: F.transform(s, lambda x: F.struct(F.get(h, x.bitwiseAND(_PLACES).cast("int")).alias("h"), x.bitwiseAND(_PLACES).alias("i"))))
+        return united(F.sort_array(again(whole)))
+
+    def covered_long(h: Column) -> Column:
+        """The same for texts with more windows than places fit into a number."""
+        return united(F.sort_array(again(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i")))))))
+
+    def again(ordered: Column) -> Column:
+        """Places of the windows equal to a neighbour."""
+        same = let(ordered, lambda s: F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
+        return F.transform(same, lambda x: x["i"])
+
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).when(F.size(h) <= _PLACES, covered(h)).otherwise(covered_long(h)))
 
 
 def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
