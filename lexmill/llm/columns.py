@@ -29,3 +29,13 @@ def marked(docs: DataFrame, ids: DataFrame, key: str, flag: str, most: int = 2_0
         ids = F.broadcast(ids)
     out = docs.join(ids, docs[key].cast("long") == F.col("_id"), "left")
     return out.withColumn(flag, F.coalesce("_there", F.lit(False))).drop("_id", "_there")
+
+
+def kept_rows(df: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
+    """The rows where ``condition`` on computed columns holds, each of those computed once.
+
+    A filter would be pushed below the projections, with a copy of every expression for every use of it; a column that
+    isn't deterministic keeps it above them.
+    """
+    marked_rows = df.withColumn("_settled", F.monotonically_increasing_id())
+    return marked_rows.where(condition & (F.col("_settled") >= 0)).select(*columns)
