@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import packing, pii, quality_rules, rule_ensemble, simhash
+from lexmill.llm.columns import kept_rows
 from lexmill.sources.tables import materialize, read_table
 
 
@@ -17,13 +18,13 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: the base rules and the log-likelihood ratio."""
     trusted = quality_rules.trusted_ids(read_table(spark, sf_dir, "labels"))
     judged = quality_rules.apply_rules(docs, quality_rules.fit_weights(docs, trusted))
-    return judged.where("kept").select(*docs.columns)
+    return kept_rows(judged, F.col("kept"), docs.columns)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores below its cut go."""
     model = rule_ensemble.train(docs, read_table(spark, sf_dir, "labels"))
-    return rule_ensemble.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return kept_rows(rule_ensemble.score(docs, model), F.col("predicted") == 1, docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
