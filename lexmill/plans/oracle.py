@@ -183,6 +183,56 @@ ctx AS (SELECT q.qid, q.text, coalesce(u.n, 0) AS n, coalesce(u.relevant, false)
 SELECT qid, pl AS place, role, md5(content) AS md5, length(content) AS chars FROM m"""
 
 
+CHUNKED = rf"""WITH RECURSIVE par AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS f, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, len(string_split(text, chr(10))) AS pars FROM documents),
+sen AS (SELECT doc_id, pos, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS k, len(x) AS n FROM (SELECT doc_id, pos, string_split(regexp_replace(f, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM par WHERE length(f) > {P.chunk_chars})),
+inner_r AS (SELECT doc_id, pos, k, n, c AS buf, length(c) + 1 AS m, []::varchar[] AS out FROM sen WHERE k = 1
+ UNION ALL SELECT s.doc_id, s.pos, s.k, s.n, CASE WHEN r.m + length(s.c) > {P.chunk_chars} THEN s.c ELSE r.buf || ' ' || s.c END, CASE WHEN r.m + length(s.c) > {P.chunk_chars} THEN 0 ELSE r.m END + length(s.c) + 1,
+  CASE WHEN r.m + length(s.c) > {P.chunk_chars} THEN list_append(r.out, r.buf) ELSE r.out END FROM inner_r r JOIN sen s ON s.doc_id = r.doc_id AND s.pos = r.pos AND s.k = r.k + 1),
+long_par AS (SELECT doc_id, pos, list_append(out, buf) AS parts FROM inner_r WHERE k = n),
+step AS (SELECT p.*, l.parts FROM par p LEFT JOIN long_par l ON p.doc_id = l.doc_id AND p.pos = l.pos),
+outer_r AS (SELECT DISTINCT doc_id, 0::bigint AS pos, pars, false AS has, '' AS buf, '' AS tail, 0::bigint AS n, []::varchar[] AS out FROM par
+ UNION ALL SELECT s.doc_id, s.pos, s.pars, s.parts IS NULL,
+  CASE WHEN s.parts IS NOT NULL THEN '' WHEN NOT r.has THEN s.f WHEN r.n + length(s.f) > {P.chunk_chars} THEN CASE WHEN r.tail = '' THEN '' ELSE r.tail || chr(10) END || s.f ELSE r.buf || chr(10) || s.f END,
+  CASE WHEN s.parts IS NOT NULL THEN '' ELSE right(s.f, {P.chunk_overlap}) END,
+  CASE WHEN s.parts IS NOT NULL THEN 0 WHEN r.has AND r.n + length(s.f) > {P.chunk_chars} THEN length(r.tail) + length(s.f) + 1 ELSE r.n + length(s.f) + 1 END,
+  CASE WHEN s.parts IS NOT NULL THEN list_concat(CASE WHEN r.has THEN list_append(r.out, r.buf) ELSE r.out END, s.parts) WHEN r.has AND r.n + length(s.f) > {P.chunk_chars} THEN list_append(r.out, r.buf) ELSE r.out END
+  FROM outer_r r JOIN step s ON s.doc_id = r.doc_id AND s.pos = r.pos + 1),
+done AS (SELECT doc_id, CASE WHEN has THEN list_append(out, buf) ELSE out END AS parts FROM outer_r WHERE pos = pars),
+each AS (SELECT doc_id, regexp_replace(x, {STRIP}) AS chunk, k FROM (SELECT doc_id, unnest(parts) AS x, unnest(range(len(parts))) AS k FROM done)),
+kept AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS part_no, count(*) OVER (PARTITION BY doc_id) AS parts FROM each WHERE chunk <> ''),
+whole AS (SELECT doc_id, text AS chunk, 1 AS part_no, 1 AS parts FROM documents d WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = d.doc_id))
+SELECT doc_id, part_no, parts, length(chunk) AS chars, md5(chunk) AS md5 FROM (SELECT * FROM kept UNION ALL SELECT doc_id, chunk, part_no, parts FROM whole)"""
+
+# the made-up statutes hold no section switch and no end mark, so neither is in this SQL; the tests hold both against a state machine
+OUTLINED = r"""WITH l AS (SELECT doc_id AS source_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+b AS (SELECT source_id, pos, (pos + source_id) % 12 AS k, CASE WHEN (pos + source_id) % 12 = 0 THEN 'BİRİNCİ BÖLÜM' WHEN (pos + source_id) % 12 = 2 THEN 'A. ' || left(line, 30) WHEN (pos + source_id) % 12 = 3 THEN 'I. ' || left(line, 30)
+  WHEN (pos + source_id) % 12 IN (4, 6, 9) THEN 'MADDE ' || (pos + 1) || '- ' || line WHEN (pos + source_id) % 12 = 8 THEN '2. ' || left(line, 30) WHEN (pos + source_id) % 12 = 11 THEN 'İKİNCİ AYIRIM' ELSE trim(line) END AS text FROM l),
+e AS (SELECT *, CASE WHEN k IN (0, 11) THEN 'structure' WHEN k IN (4, 6, 9) THEN 'article' WHEN k IN (2, 3, 8) THEN 'heading' ELSE 'body' END AS kind, lag(k) OVER (PARTITION BY source_id ORDER BY pos) IN (0, 11) AS waited, lag(text) OVER (PARTITION BY source_id ORDER BY pos) AS label,
+  lag(k) OVER (PARTITION BY source_id ORDER BY pos) AS was FROM b WHERE text <> ''),
+s AS (SELECT source_id, pos::double AS p, CASE WHEN waited AND kind IN ('heading', 'body') THEN 'name' ELSE kind END AS kind, text, CASE WHEN waited AND kind IN ('heading', 'body') THEN was END AS lev, label || ' ' || text AS val FROM e
+ UNION ALL SELECT source_id, pos - 0.5, 'name', text, was, label FROM e WHERE waited AND kind IN ('article', 'structure')),
+m AS (SELECT *, CASE WHEN kind = 'heading' THEN CASE WHEN regexp_matches(text, '^(A|I|2)[.] +\S') THEN CASE text[1] WHEN 'A' THEN 1 WHEN 'I' THEN 2 ELSE 3 END ELSE 0 END END AS depth FROM s),
+f AS (SELECT *, max(CASE WHEN kind IN ('structure', 'name') OR depth = 0 THEN p END) OVER w AS reset, max(CASE WHEN kind = 'structure' THEN p END) OVER w AS closed, max(CASE WHEN kind = 'article' THEN p END) OVER w AS art,
+  max(CASE WHEN depth IN (0, 1) THEN p END) OVER w AS h1, last_value(CASE WHEN depth IN (0, 1) THEN text END IGNORE NULLS) OVER w AS t1, max(CASE WHEN depth = 2 THEN p END) OVER w AS h2, last_value(CASE WHEN depth = 2 THEN text END IGNORE NULLS) OVER w AS t2,
+  max(CASE WHEN depth = 3 THEN p END) OVER w AS h3, last_value(CASE WHEN depth = 3 THEN text END IGNORE NULLS) OVER w AS t3, max(CASE WHEN lev = 0 THEN p END) OVER w AS s3, last_value(CASE WHEN lev = 0 THEN val END IGNORE NULLS) OVER w AS v3,
+  max(CASE WHEN lev = 11 THEN p END) OVER w AS s4, last_value(CASE WHEN lev = 11 THEN val END IGNORE NULLS) OVER w AS v4 FROM m WINDOW w AS (PARTITION BY source_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT source_id, p, regexp_extract(text, '^MADDE (\d+)', 1) AS article_no, row_number() OVER (PARTITION BY source_id ORDER BY p) AS ordinal, CASE WHEN h1 >= coalesce(reset, -1) THEN t1 END AS x1, CASE WHEN h2 > greatest(coalesce(reset, -1), coalesce(h1, -1)) THEN t2 END AS x2,
+  CASE WHEN h3 > greatest(coalesce(reset, -1), coalesce(h1, -1), coalesce(h2, -1)) THEN t3 END AS x3, coalesce(v3, '') AS chapter, CASE WHEN s4 > coalesce(s3, -1) THEN v4 ELSE '' END AS section FROM f WHERE kind = 'article'),
+t AS (SELECT source_id, art AS p, count(*) AS paragraphs, md5(string_agg(said, chr(10) ORDER BY q)) AS md5 FROM (SELECT source_id, art, p AS q, CASE WHEN kind = 'article' THEN trim(regexp_replace(text, '^MADDE \d+\s*[-–—]?\s*', '')) ELSE text END AS said FROM f WHERE kind IN ('article', 'body') AND art > coalesce(closed, -1)) WHERE said <> '' GROUP BY ALL)
+SELECT a.source_id, a.article_no, 'madde' AS kind, coalesce(x3, x2, x1, '') AS heading, concat_ws(' > ', x1, x2, x3) AS topic, chapter, section, ordinal, paragraphs, md5 FROM a JOIN t ON a.source_id = t.source_id AND a.p = t.p"""
+
+CLEANED = rf"""WITH {ANSWERS}, c AS (SELECT conv_id, turn, '[ABC m. 1] I. Genel' || chr(10) || 'kopya satır' || chr(10) || chr(10) || '**Özetle:** ' || answer AS t FROM answers),
+g AS (SELECT *, trim(regexp_extract(t, '(?im)^[ 	]*\**[ 	]*dayanak[ 	]*\**[ 	]*:[ 	]*\**(.*)$', 1)) AS grounds, regexp_replace(t, '(?im)^[ 	]*\**[ 	]*dayanak[ 	]*\**[ 	]*:[ 	]*\**(.*)$
+?', '') AS r0 FROM c),
+r AS (SELECT *, regexp_replace(r0, '(?ims)\A.*?^\s*\**\s*cevap\s*\**\s*:\s*\**\s*', '') AS rest FROM g),
+n AS (SELECT conv_id, turn, unnest(string_split(rest, chr(10))) AS line, unnest(range(len(string_split(rest, chr(10))))) AS i FROM r),
+h AS (SELECT *, CASE WHEN trim(line) = '' THEN 0 WHEN regexp_matches(trim(line), '^\[[^\]]{{3,60}}\](?:\s*(?:[IVXLC]+|\d+|[A-ZÇĞİÖŞÜ])\s*[.)]\s*[^
+]{{0,60}})?\s*$') AND NOT regexp_matches(trim(line), '[.!?]$') THEN 1 END AS ev FROM n),
+k AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i), 0) AS inside FROM h), f AS (SELECT conv_id, turn, min(i) AS first FROM k WHERE ev IS NULL AND inside = 0 GROUP BY ALL),
+j AS (SELECT n.conv_id, n.turn, string_agg(n.line, chr(10) ORDER BY n.i) AS body FROM n JOIN f ON n.conv_id = f.conv_id AND n.turn = f.turn AND n.i >= f.first GROUP BY ALL),
+z AS (SELECT r.conv_id, r.turn, grounds, regexp_replace(regexp_replace(regexp_replace(CASE WHEN trim(coalesce(body, '')) = '' THEN rest ELSE body END, {STRIP}), '(?i)^\s*(\*\*)?\s*(özet|özetle|sonuç|yanıt)\s*(\*\*)?\s*:\s*(\*\*)?\s*', ''), {STRIP}) AS x FROM r LEFT JOIN j ON r.conv_id = j.conv_id AND r.turn = j.turn)
+SELECT conv_id, turn, CASE WHEN grounds <> '' AND NOT contains(x, grounds) THEN regexp_replace(x || chr(10) || chr(10) || 'DAYANAK: ' || grounds, {STRIP}) ELSE x END AS answer FROM z"""
+
 NUMBER_LINE = "'Madde ' || item_id || '/A ve TBK ' || (item_id + 1) || ' ile ' || (item_id % 9) || '. maddesi, m. ' || item_id || ' ' || text"
 
 
@@ -215,6 +265,9 @@ SELECT q.item_id, (SELECT string_agg(number, ',' ORDER BY o) FROM d WHERE d.item
         "search_fields": f"WITH {CORPUS} SELECT doc_id, {norm('content')} AS content_norm, {norm('heading')} AS heading_norm, {norm('label')} AS label_norm FROM corpus",
         "citation_label": f"""WITH {CORPUS} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN law || '''ya işlenemeyen hüküm — ' || CASE WHEN {kind} = 'gecici' THEN 'Geçici m. ' ELSE 'm. ' END || article_no
  ELSE law || ' m. ' || CASE {kind} WHEN 'gecici' THEN 'GEÇİCİ ' WHEN 'ek' THEN 'EK ' ELSE '' END || article_no END || CASE WHEN length(content) // {P.chunk_chars} + 1 > 1 THEN ' (1/' || (length(content) // {P.chunk_chars} + 1) || ')' ELSE '' END AS label FROM corpus""",
+        "chunk_documents": CHUNKED,
+        "outline_articles": OUTLINED,
+        "clean_answer": CLEANED,
         "context_header": f"""WITH {CORPUS} SELECT doc_id, concat_ws(chr(10), 'Law ' || law || ' (6098) — ' || label, CASE WHEN heading <> '' THEN 'Kenar başlığı: ' || heading END, CASE WHEN doc_id % 3 <> 0 THEN 'Konu: A. > ' || heading END,
  CASE WHEN doc_id % 7 = 0 THEN 'Not: İŞLENEMEYEN HÜKÜM' END) || chr(10) || '---' || chr(10) || content AS embedding_text FROM corpus""",
         "header_meta": "SELECT doc_id AS source_id, (doc_id % 28 + 1) || '/1/2011' AS accepted, '4/2/' || (doc_id % 30 + 1990) || ' tarihli, ' || doc_id || ' sayılı Resmî Gazete' AS gazette FROM documents",
