@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,4 +78,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+def _control_pattern() -> str:
+    """The strings that chat.escape marks, longest first, for a SQL regular expression."""
+    strings = sorted((chat.OPEN, chat.BODY, chat.CLOSE, chat.ESCAPE, *chat.FOREIGN), key=len, reverse=True)
+    return "|".join(re.sub(r"([\\|\[\]])", r"\\\1", s) for s in strings)
+
+
+def _escaped(x: str) -> str:
+    return rf"regexp_replace({x}, '({_control_pattern()})', '\\\1', 'g')"
+
+
+_MARKS = len(chat.OPEN + chat.BODY + chat.CLOSE)
+# the articles of these pages hold no nested menus or notices, so cutting them out by pattern gives the same text
+_ARTICLE = r"regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _ARTICLE = f"replace({_ARTICLE}, '{_name}', '{_char}')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_html_extract": rf"WITH t AS (SELECT page_id, url, trim(regexp_replace({_ARTICLE}, '\s+', ' ', 'g')) AS text FROM pages) SELECT page_id, url, text, length(text) AS n_chars FROM t",
+    "op8_chat": rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '') AS loss,
+ sum(length({_escaped('role')}) + length({_escaped('text')}) + {_MARKS}) AS formatted_chars FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::bigint AS formatted_chars FROM g""",
+    # all pairs by brute force: the index finds every link of these vectors
+    "op9_vector_dedup": """WITH RECURSIVE u AS (SELECT vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.95),
+c AS (SELECT vec_id AS a, vec_id AS r FROM u UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.a), m AS (SELECT a, min(r) AS component_id FROM c GROUP BY a)
+SELECT m.a AS vec_id, (SELECT count(*) FROM l WHERE l.a = m.a) AS n_links, m.component_id, m.a = m.component_id AS kept FROM m""",
+}
