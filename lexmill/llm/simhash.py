@@ -8,6 +8,7 @@ inequality). Survivors are verified on the fingerprints. Only spanning links lea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,14 +27,17 @@ SEED = 42
 PIVOTS = 16
 #: Rows of one bucket that meet in one task; larger buckets are dealt into blocks, and blocks meet in pairs.
 BLOCK_ROWS = 2048
+#: Near-duplicates by similarity: words a shingle, the least similarity, 64-bit words a fingerprint, bits a key and tables.
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+LONG_WORDS, KEY_BITS, TABLES = 8, 20, 64
 _SMALL = 48
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint of one text; 0 if it has no word."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; a text of fewer words is one shingle, one without words none."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
     if len(w) <= words:
         shingles = [b" ".join(w)]
     else:
@@ -42,12 +46,29 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
         starts = (ends - [len(x) + 1 for x in w])[: len(w) - words + 1].tolist()
         shingles = [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 65536):
-        bits = np.unpackbits(h[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Per bit of the columns of h whether it is set in over half of the rows, packed into as many words."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for k in range(0, len(h), 4096):
+        bits = np.unpackbits(h[k : k + 4096].astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The 64-bit fingerprint of one text; 0 if it has no word."""
+    return int(_majority(shingle_hashes(text, words)[:, None])[0])
+
+
+def long_fingerprint(text: str | None, words: int, size: int = LONG_WORDS) -> np.ndarray:
+    """``size`` words of 64 bits, each the majority over an own mix of the shingles' hashes."""
+    h = shingle_hashes(text, words)[:, None] + np.arange(1, size + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return _majority(h ^ h >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
@@ -61,26 +82,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def reference_fingerprints(n: int = PIVOTS) -> np.ndarray:
-    """n fixed references by the SplitMix64 rule."""
+def reference_fingerprints(n: int = PIVOTS, size: int = 1) -> np.ndarray:
+    """n fixed references of ``size`` words by the SplitMix64 rule."""
     out, mask = [], (1 << 64) - 1
-    for k in range(1, n + 1):
+    for k in range(1, n * size + 1):
         z = k * 0x9E3779B97F4A7C15 & mask
         z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
         z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
         out.append(z ^ z >> 31)
-    return np.array(out, np.uint64)
+    return np.array(out, np.uint64).reshape(n, size)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distance along the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Hamming distances of each fingerprint to each reference."""
-    return np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
+    return np.column_stack([distance(fp, p) for p in pivots])
 
 
 def _pairs_apart(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
     """Which of the pairs survive the pivot test and are within the radius."""
     near = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= radius
-    near[near] = np.bitwise_count(fp[i[near]] ^ fp[j[near]]) <= radius
+    near[near] = distance(fp[i[near]], fp[j[near]]) <= radius
     return near
 
 
@@ -106,19 +132,27 @@ def _links_block(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray
         for p in range(table.shape[1]):
             near &= np.abs(table[some, p][:, None] - table[b, p][None, :]) <= radius
         x, y = np.nonzero(near)
-        ok = np.bitwise_count(fp[some[x]] ^ fp[b[y]]) <= radius
+        ok = np.empty(len(x), bool)
+        for c in range(0, len(x), 1 << 17):
+            ok[c : c + (1 << 17)] = distance(fp[some[x[c : c + (1 << 17)]]], fp[b[y[c : c + (1 << 17)]]]) <= radius
         left, right = spanning_links(len(fp), np.concatenate([left, some[x[ok]]]), np.concatenate([right, b[y[ok]]]))
     return left, right
 
 
-def _compare(radius: int):
+def _words_of(column: pa.Array) -> np.ndarray:
+    """Fingerprints, long or binary, as rows of 64-bit words."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+
+
+def _compare(radius: int, size: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = reference_fingerprints()
+        pivots = reference_fingerprints(PIVOTS, size)
         names = ["key", "lo", "hi", "blk", "fp", "rep"]
 
         def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
             key, lo, hi, blk, fp, rep = rows
-            fp = fp.view(np.uint64)
             table = pivot_table(fp, pivots)
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
             size = np.diff(np.r_[start, len(key)])
@@ -141,10 +175,10 @@ def _compare(radius: int):
 
         held: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if not len(held[0]):
+            if not batch.num_rows:
                 continue
+            new = [_words_of(c) if n == "fp" else c.to_numpy(zero_copy_only=False) for n, c in ((n, batch.column(batch.schema.get_field_index(n))) for n in names)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             last = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
             cut = int(np.argmax(last))
             if cut:
@@ -162,6 +196,16 @@ def _segments(count: int, radius: int) -> list[int]:
     return [64 // b + (k < 64 % b) for k in range(b)]
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """keyed(key, fp, rep) dealt so that rows of a key meet: large keys in blocks, each pair of blocks in an own group."""
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("g"))
+    dealt = keyed.join(large, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("g")).cast("int"))
+    dealt = dealt.select("key", "blk", "fp", "rep", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "fp", "rep")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component) for every distinct fingerprint of ``fps(doc_id, fp)``, linked at ``radius`` or fewer bits.
 
@@ -180,14 +224,7 @@ def fingerprint_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         keys.append(F.struct(F.lit(n).alias("combo"), key.alias("bits")))
     keyed = classes.where("rep is not null").select("fp", "rep", F.inline(F.array(*keys)))
     keyed = keyed.select(F.xxhash64("combo", "bits").alias("key"), "fp", "rep")
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("g"))
-    dealt = keyed.join(large, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("g")).cast("int"))
-    dealt = dealt.select("key", "blk", "fp", "rep", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "fp", "rep")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    edges = dealt.mapInArrow(_compare(radius), "u long, v long")
-    found = connected_components(edges)
+    found = connected_components(_met(keyed).mapInArrow(_compare(radius), "u long, v long"))
     return classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
 
@@ -204,13 +241,63 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def _tables(count: int) -> tuple[int, int]:
+    """Key bits and number of tables: longer keys and more of them only for very many texts, so cost grows in proportion."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(2, count))) - 4)
+    return bits, math.ceil(TABLES * (1 / 0.848) ** (bits - KEY_BITS))
+
+
+def _table_keys(bits: int, tables: int, size: int):
+    """Rows (key, fp, rep), one a table: a key is a sample of the fingerprint's bits."""
+    rng = np.random.default_rng(SEED)
+    places = [rng.choice(64 * size, bits, replace=False) for _ in range(tables)]
+    worth = (1 << np.arange(bits, dtype=np.int64)).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                on = np.unpackbits(_words_of(part.column(0)).view(np.uint8), axis=1, bitorder="little").astype(np.float64)
+                keys = np.concatenate([(on[:, p] @ worth).astype(np.int64) * tables + t for t, p in enumerate(places)])
+                again = pa.array(np.tile(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(again), part.column(1).take(again)], ["key", "fp", "rep"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for texts linked at shingle similarity ``similarity`` or more, as long fingerprints tell it.
+
+    Fingerprints of LONG_WORDS * 64 bits estimate the angle between shingle sets; the radius is that of ``similarity`` plus
+    half a standard error. Pairs meet where a sample of their bits agrees in one of many tables; pivots and distances then
+    decide as for short fingerprints. Equal fingerprints are one node. Null and empty texts link with each other.
+    """
+    size = LONG_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = pa.array([long_fingerprint(t.as_py(), words, size).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+
+    fps = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp binary"), "long-simhash")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "fingerprints")
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(64 * size * share + 0.5 * math.sqrt(64 * size * share * (1 - share)))
+    bits, tables = _tables(classes.count())
+    keyed = classes.mapInArrow(_table_keys(bits, tables, size), "key long, fp binary, rep long")
+    found = connected_components(_met(keyed).mapInArrow(_compare(radius, size), "u long, v long"))
+    by_fp = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return fps.join(by_fp, "fp", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of rows that repeat it, one.
 
+    Near-duplicates are what similar_components links.
     Rows without an id can't be named as copies and stay. All columns are kept.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    found = simhash_components(named, id_col, text_col, words, radius)
+    found = similar_components(named, id_col, text_col, words, similarity)
     keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col).cast("string"))))
     one = named.join(keepers, F.col(id_col).cast("long") == F.col("_keep"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")

@@ -25,6 +25,51 @@ def slow_components(fps, radius=4):
     return {int(ids[k]): int(ids[order[lab[back[k]]]]) for k in range(len(ids))}
 
 
+def similar_groups(texts, least, words=5):
+    """The smallest ids of the groups that shingle similarity of ``least`` or more connects, by brute force."""
+    sets, holders = {}, {}
+    for i, t in sorted(texts.items()):
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    ids = sorted(texts)
+    at = {i: k for k, i in enumerate(ids)}
+    pairs = {(a, b) for own in holders.values() for n, a in enumerate(own) for b in own[n + 1 :]}
+    near = [(at[a], at[b]) for a, b in pairs if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    lab = min_labels(len(ids), np.array([x for x, _ in near], int), np.array([y for _, y in near], int))
+    return [i for k, i in enumerate(ids) if lab[k] == k]
+
+
+def test_similar_components(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id for r in simhash.similar_components(d).collect() if r.doc_id == r.component_id}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert set(similar_groups(texts, 0.74)) <= got <= set(similar_groups(texts, 0.86))
+
+
+def test_near_copies_in_crowds(spark, monkeypatch):
+    """A crowd of near copies of one text, dealt in blocks, is one group; unlike texts are their own."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[int(rng.integers(0, 300))] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"u{rng.integers(0, 10**6)}" for _ in range(80))) for i in range(100)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 + i for i in range(100))
+
+
+def test_keep_one_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (4, "One TWO"), (None, "one two"), (5, "else")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in simhash.keep_one(df).collect()) == [(0, "x"), (1, "x"), (3, "x"), (5, "x")]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 def test_whole_table_against_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, slow_fingerprint(r.text)) for r in d.select("doc_id", "text").collect()]
