@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space that separates words.
+#: White space that separates words, and what is not it.
 SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,6 +23,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are among ``chars``. translate() would make a string of every character."""
+    return F.regexp_count(text, F.lit("[" + re.sub(r"([\\\[\]^&-])", r"\\\1", chars) + "]"))
+
+
+def lines_of(text: Column) -> Column:
+    """The lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
+
+
 def marked(docs: DataFrame, ids: DataFrame, key: str, flag: str, most: int = 2_000_000) -> DataFrame:
     """docs with boolean ``flag``: whether ``key`` is among ``ids``. Broadcast only if counted to be at most ``most`` rows."""
     ids = ids.select(F.col(key).cast("long").alias("_id")).where("_id is not null").distinct().withColumn("_there", F.lit(True))
