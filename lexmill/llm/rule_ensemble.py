@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.columns import SPACE_CHARS, words_of
+from lexmill.llm.columns import count_of, lines_of, words_of
 
 #: Labelled rows that the classifier is fitted on at most, chosen by hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -27,29 +27,27 @@ STATISTICS = (
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with one double column a statistic of the text, all defined for null and empty texts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
-    out = docs.withColumns({"_w": words_of(text), "_l": lines})
+    out = docs.withColumns({"_w": words_of(text), "_l": lines_of(text)})
     w, n = F.col("_w"), F.greatest(F.size("_w"), F.lit(1))
     chars = F.greatest(F.length(text), F.lit(1))
-    without = lambda drop: F.length(text) - F.length(F.translate(text, drop, ""))
     count = lambda test: F.size(F.filter(w, test))
     columns = {
         "log_words": F.log1p(F.size(w)),
-        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")) / n,
+        "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)) / n,
         "distinct": F.size(F.array_distinct(w)) / n,
-        "symbols": without("#*$%&<>@^~=_{}[]\\") / chars,
-        "pipes": without("|") / n,
-        "marks": without("!?") / n,
-        "stops": without(".") / n,
-        "capitals": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))) / chars,
-        "digits": without("0123456789") / chars,
-        "commas": without(",;:") / n,
+        "symbols": count_of(text, "#*$%&<>@^~=_{}[]\\") / chars,
+        "pipes": count_of(text, "|") / n,
+        "marks": count_of(text, "!?") / n,
+        "stops": count_of(text, ".") / n,
+        "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / chars,
+        "digits": count_of(text, "0123456789") / chars,
+        "commas": count_of(text, ",;:") / n,
         "short": count(lambda x: F.length(x) <= 3) / n,
         "long": count(lambda x: F.length(x) >= 12) / n,
         "twins": F.size(F.filter(F.transform(w, lambda x, i: F.get(w, i + 1) == x), lambda x: x)) / n,
         "dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))) / F.greatest(F.size("_l"), F.lit(1)),
         "line_words": F.size(w) / F.greatest(F.size("_l"), F.lit(1)),
-        "sentence_words": F.size(w) / F.greatest(without("."), F.lit(1)),
+        "sentence_words": F.size(w) / F.greatest(count_of(text, "."), F.lit(1)),
     }
     return out.withColumns({k: F.round(v.cast("double"), 9) for k, v in columns.items()}).drop("_w", "_l")
 
