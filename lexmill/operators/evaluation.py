@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Numbers that one window orders.
+NUMBER_BUCKET = 1 << 20
+
+
 def first_hits(results: DataFrame, relevant: Column, queries: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Per query the rank of its first relevant result (null if none), hit@1/3/5 and the reciprocal rank."""
     best = results.where(relevant).groupBy(*keys).agg(F.min("rank").alias("first_hit"))
@@ -57,11 +61,17 @@ def grid_results(ranked: DataFrame, params: DataFrame, k: int = 5, rrf_k: int =
 
 
 def missing_numbers(found: DataFrame, number: str, *by: str) -> DataFrame:
-    """Numbers from 1 to the greatest one that do not occur, per group."""
+    """Numbers from 1 to the greatest one that do not occur, per group; nulls and numbers below 1 are ignored.
+
+    Gaps are found between neighbours inside buckets of NUMBER_BUCKET numbers, so a crowded group is many windows; what
+    precedes a bucket's first number comes from a table of one row a bucket. Only the gaps are spelled out.
+    """
     own = found.where(F.col(number) >= 1).select(*by, F.col(number).cast("long").alias("number")).distinct()
-    # only the gaps are spelled out: between a number and the one before it
-    before = F.coalesce(F.lag("number").over(W.partitionBy(*by).orderBy("number")), F.lit(0)) if by else None
-    gaps = own.withColumn("before", before).where("number - before > 1")
+    own = own.withColumn("bucket", F.floor(F.col("number") / NUMBER_BUCKET))
+    last = own.groupBy(*by, "bucket").agg(F.max("number").alias("last"))
+    last = last.select(*by, "bucket", F.coalesce(F.lag("last").over(W.partitionBy(*by).orderBy("bucket")), F.lit(0)).alias("earlier"))
+    inside = F.lag("number").over(W.partitionBy(*by, "bucket").orderBy("number"))
+    gaps = own.withColumn("inside", inside).join(last, [*by, "bucket"]).withColumn("before", F.coalesce("inside", "earlier")).where("number - before > 1")
     return gaps.select(*by, F.explode(F.sequence(F.col("before") + 1, F.col("number") - 1)).alias("number"))
 
 

@@ -22,20 +22,31 @@ def unit(vector: Column) -> Column:
     return F.when((norm > 0) & (norm < F.lit(float("inf"))), F.transform(v, lambda x: x / norm))
 
 
-def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, doc_id, sim rounded to 6 places) for vectors(doc_id, vec) and queries(qid, vec).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, sim rounded to 6 places): every query's k best rows, and more of them, for vectors(doc_id, vec) and
+    queries(qid, vec). A window over the result picks the k best; the best one is the greatest similarity of all rows.
 
     The query vectors are collected block by block (QUERY_BLOCK bounds one) and multiplied as a matrix with each Arrow
-    batch of rows. A vector of another length raises; null, zero and non-finite vectors give no rows.
+    batch of rows. Only what can be among the k best of a query, ties included, leaves a batch, so the output is a small
+    share of queries times rows. A vector of another length raises; null, zero and non-finite vectors give no rows.
     """
     asked = queries.select("qid", "vec").where("vec is not null").orderBy("qid").collect()
     out = None
-    for k in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = _against(vectors, asked[k : k + QUERY_BLOCK])
+    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
+        part = _against(vectors, asked[at : at + QUERY_BLOCK], k)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def pair_similarities(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs(qid, doc_id, ...) with sim, rounded to 6 places; 0 where either side has no usable vector."""
+    docs = vectors.select("doc_id", unit(F.col("vec")).alias("_d"))
+    asked = queries.select("qid", unit(F.col("vec")).alias("_q"))
+    dot = F.aggregate(F.zip_with("_d", "_q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    both = pairs.join(docs, "doc_id", "left").join(asked, "qid", "left")
+    return both.withColumn("sim", F.coalesce(F.round(dot, 6), F.lit(0.0))).drop("_d", "_q")
+
+
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Usable rows, and their unit vectors in double."""
     rows = [(k, v) for k, v in enumerate(column.to_pylist()) if v and None not in v]
@@ -46,23 +57,25 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at[good], x[good] / norm[good][:, None] if len(x) else x
 
 
-def _against(vectors: DataFrame, asked: list) -> DataFrame:
+def _against(vectors: DataFrame, asked: list, k: int) -> DataFrame:
     ids = [r.qid for r in asked]
     at, matrix = _rows(pa.array([list(r.vec) for r in asked], pa.list_(pa.float64()))) if asked else (np.empty(0, np.int64), np.empty((0, 0)))
-    names = np.array([ids[k] for k in at], np.int64)
+    names = np.array([ids[n] for n in at], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
                 own, x = _rows(part.column(1))
                 if not len(own) or not len(names):
                     continue
                 if x.shape[1] != matrix.shape[1]:
                     raise ValueError(f"vectors of length {x.shape[1]} meet queries of length {matrix.shape[1]}")
                 sims = np.round(x @ matrix.T, 6)
-                doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False)[own], len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(own))), pa.array(doc.astype(np.int64)), pa.array(sims.ravel())], ["qid", "doc_id", "sim"])
+                least = np.partition(sims, -k, axis=0)[-k] if k < len(sims) else np.full(len(names), -2.0)
+                row, col = np.nonzero(sims >= least)
+                doc = part.column(0).to_numpy(zero_copy_only=False)[own[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[col]), pa.array(doc.astype(np.int64)), pa.array(sims[row, col])], ["qid", "doc_id", "sim"])
 
     return vectors.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, "qid long, doc_id long, sim double")
 

@@ -238,7 +238,7 @@ def _embeddings(spark: SparkSession, d: str) -> DataFrame:
 def vector_search(spark, d):
     emb = _embeddings(spark, d)
     asked = emb.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "vec")
-    return lexical.top(vectors.similarities(emb, asked), DEFAULT.candidates, "sim").select("qid", "doc_id", "sim", "rank")
+    return lexical.top(vectors.nearest(emb, asked, DEFAULT.candidates), DEFAULT.candidates, "sim").select("qid", "doc_id", "sim", "rank")
 
 
 @query
@@ -249,7 +249,7 @@ def hash_embedding(spark, d):
 def _channels(spark: SparkSession, d: str):
     c, asked = search.corpus(spark, d), search.questions(spark, d)
     lex = search.lexical_channel(search.build_index(c), asked, synonyms=False)
-    sims = search.vector_channel(spark, d, asked).cache()
+    sims = search.vector_channel(spark, d, asked, DEFAULT.candidates).cache()
     return asked, lex, sims, search.number_channel(c, asked)
 
 
@@ -269,7 +269,8 @@ def rrf_fusion(spark, d):
 @query
 def relevance_gate(spark, d):
     asked = search.questions(spark, d)
-    sims = search.vector_channel(spark, d, asked).groupBy("qid").agg(F.max(F.when(F.col("qid") != F.col("doc_id"), F.col("sim"))).alias("max_sim"))
+    near = search.vector_channel(spark, d, asked, 2)  # the best one besides the question's own row
+    sims = near.groupBy("qid").agg(F.max(F.when(F.col("qid") != F.col("doc_id"), F.col("sim"))).alias("max_sim"))
     return fusion.relevance_gate(search.number_channel(search.corpus(spark, d), asked), sims, asked)
 
 
@@ -439,7 +440,7 @@ def anchor_check(spark, d):
 def _labelled_results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     emb = _embeddings(spark, d)
     asked = emb.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), "vec", F.col("label").alias("own"))
-    sims = vectors.similarities(emb, asked.select("qid", "vec")).where("qid != doc_id")
+    sims = vectors.nearest(emb, asked.select("qid", "vec"), DEFAULT.top_k + 1).where("qid != doc_id")
     best = lexical.top(sims, DEFAULT.top_k, "sim").join(emb.select("doc_id", "label"), "doc_id").join(asked.select("qid", "own"), "qid")
     return best, asked.select("qid")
 
@@ -468,7 +469,7 @@ def _grid(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
     c, asked = search.corpus(spark, d), search.questions(spark, d)
     index = search.build_index(c)
     most = max(r[0] for r in rows)
-    ranked = [lexical.top(search.vector_channel(spark, d, asked), most, "sim").select("qid", "doc_id", F.lit("vector").alias("channel"), F.lit("-").alias("variant"), "rank")]
+    ranked = [lexical.top(search.vector_channel(spark, d, asked, most), most, "sim").select("qid", "doc_id", F.lit("vector").alias("channel"), F.lit("-").alias("variant"), "rank")]
     ranked.append(search.number_channel(c, asked).select("qid", "doc_id", F.lit("number").alias("channel"), F.lit("-").alias("variant"), "rank"))
     for synonyms in sorted({r[4] for r in rows}):
         wanted = lexical.terms(asked, text.synonym_expand(F.col("text")) if synonyms else None)

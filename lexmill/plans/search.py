@@ -59,11 +59,18 @@ def lexical_channel(index: Index, asked: DataFrame, p: Params = DEFAULT, synonym
     return lexical.bm25(kept, found, index.lengths, index.n_docs, index.average, p)
 
 
-def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    """(qid, doc_id, sim): embedding vec_id stands for the document, and for the question, of that number."""
-    emb = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    own = asked.select("qid").join(emb, F.col("qid") == F.col("doc_id")).select("qid", "vec")
-    return vectors.similarities(emb, own)
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, vec): embedding vec_id stands for the document, and for the question, of that number."""
+    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+
+
+def question_vectors(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    return asked.select("qid").join(embeddings(spark, sf_dir), F.col("qid") == F.col("doc_id")).select("qid", "vec")
+
+
+def vector_channel(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, sim): at least the k best rows of every question."""
+    return vectors.nearest(embeddings(spark, sf_dir), question_vectors(spark, sf_dir, asked), k)
 
 
 def number_channel(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -78,10 +85,11 @@ def hybrid(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
     """The top results of every question with score, channels, similarity, relevance and context mark."""
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
     lex = lexical.top(lexical_channel(build_index(docs), asked, p), p.candidates)
-    sims = vector_channel(spark, sf_dir, asked).cache()
+    sims = vector_channel(spark, sf_dir, asked, p.candidates).cache()
     vec = lexical.top(sims, p.candidates, "sim")
     num = number_channel(docs, asked)
     fused = fusion.top_fused(fusion.fuse({"vector": (vec, p.w_vector), "lexical": (lex, p.w_lexical), "number": (num, p.w_number)}, p), p.top_k)
     gate = fusion.relevance_gate(num, sims.groupBy("qid").agg(F.max("sim").alias("max_sim")), asked, p)
-    rows = fused.join(sims, ["qid", "doc_id"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))).join(gate, "qid")
+    # fuse ids first, look vectors up for what is left
+    rows = vectors.pair_similarities(fused, embeddings(spark, sf_dir), question_vectors(spark, sf_dir, asked)).join(gate, "qid")
     return fusion.context_filter(rows, p)

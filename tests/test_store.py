@@ -60,10 +60,13 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_vector_edge_cases(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.6, 0.8]), (5, [float("nan"), 1.0])], "doc_id long, vec array<double>")
     q = spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "qid long, vec array<double>")
-    assert sorted((r.qid, r.doc_id, r.sim) for r in vectors.similarities(v, q).collect()) == [(7, 1, 1.0), (7, 4, 0.6)]
-    assert vectors.similarities(v, q.limit(0)).count() == 0
+    assert sorted((r.qid, r.doc_id, r.sim) for r in vectors.nearest(v, q, 5).collect()) == [(7, 1, 1.0), (7, 4, 0.6)]
+    assert [(r.doc_id, r.sim) for r in vectors.nearest(v.coalesce(1), q, 1).collect()] == [(1, 1.0)]
+    assert vectors.nearest(v, q.limit(0), 5).count() == 0
+    pairs = spark.createDataFrame([(7, 4), (7, 2), (8, 1), (9, 99)], "qid long, doc_id long")
+    assert {(r.qid, r.doc_id): r.sim for r in vectors.pair_similarities(pairs, v, q).collect()} == {(7, 4): 0.6, (7, 2): 0.0, (8, 1): 0.0, (9, 99): 0.0}
     with pytest.raises(Exception, match="length"):
-        vectors.similarities(v, spark.createDataFrame([(7, [1.0])], "qid long, vec array<double>")).collect()
+        vectors.nearest(v, spark.createDataFrame([(7, [1.0])], "qid long, vec array<double>"), 5).collect()
 
 
 def test_fusion_rules(spark):
@@ -95,3 +98,13 @@ def test_plans(spark):
     assert "Exchange" not in plan and "Python" not in plan
     lex = lexical.matches(lexical.postings(search.corpus(spark, DIR), search.search_text()), lexical.terms(search.questions(spark, DIR)))
     assert "NestedLoop" not in lex._jdf.queryExecution().toString() and "Cartesian" not in lex._jdf.queryExecution().toString()
+
+
+def test_missing_numbers_across_buckets(spark, monkeypatch):
+    from lexmill.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "NUMBER_BUCKET", 8)
+    rows = [("a", n) for n in (2, 3, 7, 8, 40, 41)] + [("b", 1), ("b", 1), ("c", 17), ("d", None), ("d", -3)]
+    got = evaluation.missing_numbers(spark.createDataFrame(rows, "grp string, n long"), "n", "grp").collect()
+    want = {("a", n) for n in range(1, 41) if n not in (2, 3, 7, 8, 40)} | {("c", n) for n in range(1, 17)}
+    assert sorted((r.grp, r.number) for r in got) == sorted(want)
