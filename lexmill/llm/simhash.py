@@ -27,6 +27,8 @@ SEED = 42
 PIVOTS = 16
 #: Rows of one bucket that meet in one task; larger buckets are dealt into blocks, and blocks meet in pairs.
 BLOCK_ROWS = 2048
+#: Large keys that may be broadcast (12 bytes each).
+LARGE_KEYS = 1_000_000
 #: Near-duplicates by similarity: words a shingle, the least similarity, 64-bit words a fingerprint, bits a key and tables.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 LONG_WORDS, KEY_BITS, TABLES = 8, 20, 64
@@ -197,9 +199,18 @@ def _segments(count: int, radius: int) -> list[int]:
 
 
 def _met(keyed: DataFrame) -> DataFrame:
-    """keyed(key, fp, rep) dealt so that rows of a key meet: large keys in blocks, each pair of blocks in an own group."""
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("g"))
-    dealt = keyed.join(large, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    """keyed(key, fp, rep) dealt so that rows of a key meet: large keys in blocks, each pair of blocks in an own group.
+
+    The table of large keys is written and counted first: without any the rows are dealt by key alone, up to LARGE_KEYS it
+    is broadcast, beyond that joined by key. So the rows themselves are shuffled once unless there are very many.
+    """
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
+    large = materialize(large.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("g")), "large-keys")
+    count = large.count()
+    if not count:
+        zero = F.lit(0)
+        return keyed.select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("blk"), "fp", "rep").repartition("key").sortWithinPartitions("key")
+    dealt = keyed.join(F.broadcast(large) if count <= LARGE_KEYS else large, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     dealt = dealt.withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("g")).cast("int"))
     dealt = dealt.select("key", "blk", "fp", "rep", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "blk", "fp", "rep")
