@@ -31,7 +31,7 @@ BLOCK_ROWS = 2048
 LARGE_KEYS = 1_000_000
 #: Near-duplicates by similarity: words a shingle, the least similarity, 64-bit words a fingerprint, bits a key and tables.
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
-LONG_WORDS, KEY_BITS, TABLES = 8, 20, 64
+LONG_WORDS, KEY_BITS, TABLES = 32, 14, 24
 _SMALL = 48
 
 
@@ -54,8 +54,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 def _majority(h: np.ndarray) -> np.ndarray:
     """Per bit of the columns of h whether it is set in over half of the rows, packed into as many words."""
     ones = np.zeros(64 * h.shape[1], np.int64)
-    for k in range(0, len(h), 4096):
-        bits = np.unpackbits(h[k : k + 4096].astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    for k in range(0, len(h), 1024):
+        bits = np.unpackbits(h[k : k + 1024].astype("<u8").view(np.uint8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return np.packbits(2 * ones > len(h), bitorder="little").view("<u8")
 
@@ -135,8 +135,8 @@ def _links_block(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray
             near &= np.abs(table[some, p][:, None] - table[b, p][None, :]) <= radius
         x, y = np.nonzero(near)
         ok = np.empty(len(x), bool)
-        for c in range(0, len(x), 1 << 17):
-            ok[c : c + (1 << 17)] = distance(fp[some[x[c : c + (1 << 17)]]], fp[b[y[c : c + (1 << 17)]]]) <= radius
+        for c in range(0, len(x), 1 << 15):
+            ok[c : c + (1 << 15)] = distance(fp[some[x[c : c + (1 << 15)]]], fp[b[y[c : c + (1 << 15)]]]) <= radius
         left, right = spanning_links(len(fp), np.concatenate([left, some[x[ok]]]), np.concatenate([right, b[y[ok]]]))
     return left, right
 
@@ -254,7 +254,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _tables(count: int) -> tuple[int, int]:
     """Key bits and number of tables: longer keys and more of them only for very many texts, so cost grows in proportion."""
-    bits = max(KEY_BITS, math.ceil(math.log2(max(2, count))) - 4)
+    bits = max(KEY_BITS, math.ceil(math.log2(max(2, count))) - 9)
     return bits, math.ceil(TABLES * (1 / 0.848) ** (bits - KEY_BITS))
 
 
