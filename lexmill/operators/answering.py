@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import answers, text
 from lexmill.functions.providers import Provider, ask
 from lexmill.params import DEFAULT, Params
+from lexmill.sources.tables import arrow_map
 
 _MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -28,7 +29,7 @@ def embed(rows: DataFrame, column: Column, provider: Callable[[], Provider], id_
                     raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], [id_col, "vec"])
 
-    return rows.select(F.col(id_col).cast("long"), column.cast("string")).mapInArrow(run, f"{id_col} long, vec array<float>")
+    return rows.select(F.col(id_col).cast("long"), column.cast("string")).transform(arrow_map, run, f"{id_col} long, vec array<float>")
 
 
 def generate(prompts: DataFrame, provider: Callable[[], Provider], p: Params = DEFAULT) -> DataFrame:
@@ -47,7 +48,7 @@ def generate(prompts: DataFrame, provider: Callable[[], Provider], p: Params = D
                     failed.append(str(e) or type(e).__name__)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(failed, pa.string())], ["qid", "raw", "error"])
 
-    return prompts.select(F.col("qid").cast("long"), F.col("messages").cast(_MESSAGES)).mapInArrow(run, "qid long, raw string, error string")
+    return prompts.select(F.col("qid").cast("long"), F.col("messages").cast(_MESSAGES)).transform(arrow_map, run, "qid long, raw string, error string")
 
 
 def finish(raw: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import char_grams
+from lexmill.sources.tables import arrow_map
 
 #: Query vectors that meet all rows at once; a larger query set is worked off in blocks.
 QUERY_BLOCK = 2000
@@ -77,7 +78,7 @@ def _against(vectors: DataFrame, asked: list, k: int) -> DataFrame:
                 doc = part.column(0).to_numpy(zero_copy_only=False)[own[row]]
                 yield pa.RecordBatch.from_arrays([pa.array(names[col]), pa.array(doc.astype(np.int64)), pa.array(sims[row, col])], ["qid", "doc_id", "sim"])
 
-    return vectors.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, "qid long, doc_id long, sim double")
+    return vectors.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).transform(arrow_map, run, "qid long, doc_id long, sim double")
 
 
 def hash_embedding(rows: DataFrame, text: Column, id_col: str, dims: int = 512) -> DataFrame:

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers import this package, once an application: Spark sends it unless PYTHONPATH has it anyway."""
+    package = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    _shipped.add(app)
+    if str(package.parent) in (str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+        return
+    path = Path(tempfile.mkdtemp(prefix="lexmill-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow with the package at hand on the workers."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
