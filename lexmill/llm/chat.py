@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import arrow_map
+
 # The template's control strings, and strings of common templates that are escaped in content as well.
 OPEN, BODY, CLOSE = "<turn>", "<text>", "</turn>"
 FOREIGN = ("<|endoftext|>", "<|im_start|>", "<|im_end|>", "### Assistant:", "### User:", "### System:", "[INST]", "[/INST]")
@@ -101,7 +103,7 @@ def format_turns(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
     cols = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *text)
-    return cols.select("conv_id", "turn", F.xxhash64("role", "text").alias("tie"), "role", "text").mapInArrow(run, FORMATTED)
+    return cols.select("conv_id", "turn", F.xxhash64("role", "text").alias("tie"), "role", "text").transform(arrow_map, run, FORMATTED)
 
 
 def read_formatted(spark: SparkSession, path: str, vocabulary: str | None = None) -> DataFrame:
@@ -118,7 +120,7 @@ def read_formatted(spark: SparkSession, path: str, vocabulary: str | None = None
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *cols], names)
 
-    return spark.read.schema(FORMATTED).parquet(path).mapInArrow(run, "conv_id long, turn long, tie long, role string, text string, loss string, chars long")
+    return spark.read.schema(FORMATTED).parquet(path).transform(arrow_map, run, "conv_id long, turn long, tie long, role string, text string, loss string, chars long")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -159,4 +161,4 @@ def digests(turns: DataFrame) -> DataFrame:
             yield batch_of([row()])
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
-    return ordered.select("conv_id", "role", "text", "loss", "chars").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "role", "text", "loss", "chars").transform(arrow_map, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

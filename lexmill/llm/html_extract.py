@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.sources.tables import materialize
+from lexmill.sources.tables import arrow_map, materialize
 
 #: A branch is removed below this importance, if at least so many distinct pages of the host hold it.
 LOW_IMPORTANCE, LEAST_PAGES = 0.2, 8
@@ -206,7 +206,7 @@ def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["host", "page", "path", "content", "shape"])
 
     seen = pages.where(F.col(html_col).isNotNull()).select(page_host(url_col).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).cast("string"))
-    rows = seen.mapInArrow(run, "host string, page long, path string, content long, shape long").distinct()
+    rows = seen.transform(arrow_map, run, "host string, page long, path string, content long, shape long").distinct()
     by_content = rows.groupBy("host", "path", "content", "shape").agg(F.count("*").alias("n"))
     texts = by_content.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path")
     forms = by_content.groupBy("host", "path", "shape").agg(F.sum("n").alias("n")).groupBy("host", "path")
@@ -260,4 +260,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lengths)], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "gone").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "gone").transform(arrow_map, run, "page_id long, url string, text string, n_chars long")

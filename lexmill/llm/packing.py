@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.wordids import default_vocabulary, encoder_for, pieces_of
+from lexmill.sources.tables import arrow_map
 
 WINDOW = 2048
 #: Costs in ids of padding: ending a window after a sentence inside a document, inside a sentence, and a short window.
@@ -144,4 +145,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                     yield from rows(False)
         yield from rows(True)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, SCHEMA)

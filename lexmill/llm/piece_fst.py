@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import arrow_map
+
 SPACE = "▁"
 END = ""
 #: Bounds of a worker's memory: runs with known paths, compatible pairs known.
@@ -241,4 +243,4 @@ def _run(docs: DataFrame, id_col: str, text_col: str, model: str | None, digest:
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", *names])
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, n_chars long, round_trip boolean" if digest else "doc_id long, ids array<int>, text string"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, schema)

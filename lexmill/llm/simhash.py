@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.graph import connected_components, spanning_links
-from lexmill.sources.tables import materialize
+from lexmill.sources.tables import arrow_map, materialize
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "doc_id long, fp long")
 
 
 def reference_fingerprints(n: int = PIVOTS, size: int = 1) -> np.ndarray:
@@ -235,7 +235,7 @@ def fingerprint_components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         keys.append(F.struct(F.lit(n).alias("combo"), key.alias("bits")))
     keyed = classes.where("rep is not null").select("fp", "rep", F.inline(F.array(*keys)))
     keyed = keyed.select(F.xxhash64("combo", "bits").alias("key"), "fp", "rep")
-    found = connected_components(_met(keyed).mapInArrow(_compare(radius), "u long, v long"))
+    found = connected_components(_met(keyed).transform(arrow_map, _compare(radius), "u long, v long"))
     return classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
 
@@ -290,13 +290,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             fp = pa.array([long_fingerprint(t.as_py(), words, size).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
 
-    fps = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp binary"), "long-simhash")
+    fps = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "doc_id long, fp binary"), "long-simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "fingerprints")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round(64 * size * share + 0.5 * math.sqrt(64 * size * share * (1 - share)))
     bits, tables = _tables(classes.count())
-    keyed = classes.mapInArrow(_table_keys(bits, tables, size), "key long, fp binary, rep long")
-    found = connected_components(_met(keyed).mapInArrow(_compare(radius, size), "u long, v long"))
+    keyed = classes.transform(arrow_map, _table_keys(bits, tables, size), "key long, fp binary, rep long")
+    found = connected_components(_met(keyed).transform(arrow_map, _compare(radius, size), "u long, v long"))
     by_fp = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(by_fp, "fp", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 

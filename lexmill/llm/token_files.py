@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.wordids import default_vocabulary, encoder_for, pieces_of
+from lexmill.sources.tables import arrow_map
 
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is fitted on so many documents, chosen by hash, none longer than so many characters.
@@ -92,7 +93,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.transform(arrow_map, run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def load_dictionary(spark: SparkSession, path: str) -> bytes:
@@ -139,7 +140,7 @@ def _read(spark: SparkSession, path: str, what: str) -> DataFrame:
                 cols = [pa.array([row["shard"]] * len(out), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(first), pa.array(row["counts"], pa.int64()), pa.array(out, arrow)]
                 yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "local", "n_tokens", what])
 
-    docs = blocks.mapInArrow(run, f"shard int, doc_id long, local long, n_tokens long, {what} {kind}")
+    docs = blocks.transform(arrow_map, run, f"shard int, doc_id long, local long, n_tokens long, {what} {kind}")
     return docs.join(shards, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", what)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.graph import connected_components, spanning_links
-from lexmill.sources.tables import materialize
+from lexmill.sources.tables import arrow_map, materialize
 
 COSINE = 0.95
 #: Codebooks and traversal length are fitted on so many vectors at most, chosen by hash.
@@ -203,14 +203,14 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     sample = np.array([r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").collect()], float).reshape(-1, dim)
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1), 1e-300)[:, None]
     index = fit(unit, rows, cosine)
-    placed = materialize(classes.mapInArrow(_place(index, dim), "rep long, n long, vec binary, cell long, probes array<long>"), "vector-cells")
+    placed = materialize(classes.transform(arrow_map, _place(index, dim), "rep long, n long, vec binary, cell long, probes array<long>"), "vector-cells")
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("g"))
     residents = placed.join(cells, "cell").select("cell", F.pmod(F.xxhash64("rep"), "g").cast("int").alias("blk"), F.lit(0).alias("kind"), "rep", "n", "vec", F.col("cell").alias("own"), "probes")
     probes = placed.select(F.col("cell").alias("own"), F.explode("probes").alias("cell"), "rep", "n", "vec").join(cells, "cell")
     none = F.lit(None).cast("array<long>").alias("probes")
     probes = probes.select("cell", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("blk"), F.lit(1).alias("kind"), "rep", "n", "vec", "own", none)
     met = residents.unionByName(probes).repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
-    found = materialize(met.mapInArrow(_verify(dim, cosine), "a long, b long, links long"), "vector-links")
+    found = materialize(met.transform(arrow_map, _verify(dim, cosine), "a long, b long, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     by_class = classes.join(counts, classes.rep == counts.node, "left").drop("node").join(components, F.col("rep") == F.col("node"), "left")
