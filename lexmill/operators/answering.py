@@ -56,7 +56,9 @@ def finish(raw: DataFrame) -> DataFrame:
     cleaned = answers.clean_answer(text.strip_think(F.col("raw")))
     out = raw.withColumn("clean", cleaned).withColumn("own", answers.extract_citations(F.col("clean")))
     out = out.withColumn("answer", answers.safety_net(F.col("clean"), F.col("own"), F.col("shown"), F.col("in_scope")))
-    out = out.withColumns({"citations": answers.extract_citations(F.col("answer")), "unknown": answers.is_unknown(F.col("answer")), "auto_cited": F.col("answer") != F.col("clean")})
+    # labels of provisions outside the law don't have the form of a citation: they count where they stand as shown
+    outside = F.filter("shown", lambda s: F.contains(s, F.lit("işlenemeyen hüküm")) & F.contains(F.col("answer"), F.concat(F.lit("["), s, F.lit("]"))))
+    out = out.withColumns({"citations": F.array_union(answers.extract_citations(F.col("answer")), outside), "unknown": answers.is_unknown(F.col("answer")), "auto_cited": F.col("answer") != F.col("clean")})
     bare = F.transform("shown", lambda s: F.upper(F.regexp_replace(s, r" \(\d+/\d+\)$", "")))
     cited = F.transform("citations", lambda c: F.upper(c))
     out = out.withColumn("unsupported", F.array_except(cited, bare))

@@ -103,6 +103,9 @@ def test_answer_pipeline(spark):
     assert all(r.trusted and r.unknown for r in got.values())
     got = run("Bkz. [ABC m. 9].")
     assert got[1].unsupported == ["ABC M. 9"] and not got[1].trusted
+    raw = spark.createDataFrame([(1, "Evet.", ["ABC'ya işlenemeyen hüküm — m. 5"], True)], "qid long, raw string, shown array<string>, in_scope boolean")
+    r = answering.finish(raw).first()
+    assert r.auto_cited and r.trusted and r.citations == ["ABC'ya işlenemeyen hüküm — m. 5"] and not r.unsupported
     failed = answering.generate(spark.createDataFrame([(1, [("user", "x")])], "qid long, messages array<struct<role:string,content:string>>"), lambda: Fixed([], ["down", "down"])).first()
     assert failed.error == "down" and failed.raw == ""
 
