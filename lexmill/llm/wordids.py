@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bounds of one worker's memory: cached runs, and bytes of text turned into arrays at once.
-CACHE_RUNS = 250_000
-BATCH_BYTES = 4 << 20
+CACHE_RUNS = 350_000
+BATCH_BYTES = 6 << 20
 #: Stands between runs that are encoded together; a run that holds it is encoded apart. So many runs a text.
 MARK, JOINED = "\x00", 2000
 _PLAIN = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<m>[.,;:!?]*)$"
