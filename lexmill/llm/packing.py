@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.wordids import default_vocabulary, encoder_for, pieces_of
+from lexmill.llm.wordids import BATCH_BYTES, CACHE_RUNS, default_vocabulary, encoder_for, pieces_of
 from lexmill.sources.tables import arrow_map
 
 WINDOW = 2048
@@ -118,18 +118,19 @@ class _Stream:
         self.docs = [(i, n, a - begin, b - begin) for i, n, a, b in self.docs[d:]]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, vocabulary: str | None = None, end_id: int = 1, cache_runs: int = CACHE_RUNS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per piece: doc_id, start and length in its document's ids, crc of the ids, the document's ids,
     sequence_id and the gapless offset there.
 
     Every id of every row lies in one piece. A null or empty text is the end id alone. Repeated rows are packed as often
     as they occur, a null doc_id stays null, other columns are ignored. No rows in, none out. sequence_id is unique
-    (partition number in the upper half), not gapless. Texts of any length: a document may span many windows.
+    (partition number in the upper half), not gapless. Texts of any length: a document may span many windows. cache_runs
+    and batch_bytes bound a worker's memory.
     """
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(path, end_id)
+        encoder = encoder_for(path, end_id, cache_runs)
         stream = _Stream(size, TaskContext.get().partitionId() << 32)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -138,11 +139,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names)
 
         for batch in batches:
-            for part in pieces_of(batch, 1):
+            for part in pieces_of(batch, 1, batch_bytes):
                 got = encoder.encode(part.column(1))
                 stream.add(part.column(0).to_pylist(), got.ids, got.start, got.cuts)
                 if len(stream.ids) >= BLOCK_IDS:
                     yield from rows(False)
         yield from rows(True)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, SCHEMA)

@@ -128,8 +128,8 @@ def _links_small(group: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: i
 def _links_block(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links between rows a and rows b of one group, some rows at a time."""
     left, right = np.empty(0, np.int64), np.empty(0, np.int64)
-    for k in range(0, len(a), 256):
-        some = a[k : k + 256]
+    for k in range(0, len(a), 128):
+        some = a[k : k + 128]
         near = np.ones((len(some), len(b)), bool)
         for p in range(table.shape[1]):
             near &= np.abs(table[some, p][:, None] - table[b, p][None, :]) <= radius
@@ -289,6 +289,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             fp = pa.array([long_fingerprint(t.as_py(), words, size).tobytes() for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
+        pa.default_memory_pool().release_unused()
 
     fps = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).transform(arrow_map, run, "doc_id long, fp binary"), "long-simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "fingerprints")

@@ -49,7 +49,8 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class RunEncoder:
     """Use encoder_for: one a process, so that tasks of a reused worker share vocabulary and cache."""
 
-    def __init__(self, path: str, end_id: int = 1):
+    def __init__(self, path: str, end_id: int = 1, cache_runs: int = CACHE_RUNS):
+        self.cache_runs = cache_runs
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,7 +63,7 @@ class RunEncoder:
 
     def _shrink(self) -> None:
         """Keep the runs seen first: the frequent ones are among them."""
-        n = min(len(self.slot), CACHE_RUNS // 2)
+        n = min(len(self.slot), self.cache_runs // 2)
         for _ in range(len(self.slot) - n):
             self.slot.popitem()
         self.used = int(self.start[n - 1] + self.length[n - 1]) if n else 0
@@ -110,7 +111,7 @@ class RunEncoder:
         lower-cases and splits there. So case and marks don't multiply what is encoded.
         """
         runs = coded.dictionary
-        if len(self.slot) > CACHE_RUNS:
+        if len(self.slot) > self.cache_runs:
             self._shrink()
         split = pc.extract_regex(runs, _PLAIN)
         plain = pc.is_valid(split)
@@ -145,8 +146,8 @@ class RunEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder_for(path: str, end_id: int = 1) -> RunEncoder:
-    return RunEncoder(path, end_id)
+def encoder_for(path: str, end_id: int = 1, cache_runs: int = CACHE_RUNS) -> RunEncoder:
+    return RunEncoder(path, end_id, cache_runs)
 
 
 def pieces_of(batch: pa.RecordBatch, column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
