@@ -40,8 +40,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows."""
-    return packing.pack(docs)
+    """Pieces of all documents in windows, with little memory beside what the earlier stages' workers hold."""
+    return packing.pack(docs, cache_runs=60_000, batch_bytes=1 << 20)
 
 
 STAGES = [
