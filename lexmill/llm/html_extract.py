@@ -2,7 +2,7 @@
 
 Pages of one host are merged into a style tree: its nodes are paths of tag and class from the root. A node's importance
 is found from two entropies over the distinct pages that hold it: of its presentation (the sequence of child tags) and
-of its content (hash of the text below it), both normalised by the number of pages. Text that is the same on page after
+of its content (hash of the text directly in it), both normalised by the number of pages. Text that is the same on page after
 page has content entropy near 0; a branch whose importance, the greatest in it, is low is removed from each page. Branches
 that by tag, role or class can only be menus, adverts, notices, forms or comments have importance 0 beforehand, as few
 pages of a host may have been seen. Of the rest, the article is taken where the page marks one.
@@ -67,7 +67,7 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         if names:
-            label = f"{tag}.{' '.join(names.split())}"
+            label = f"{tag}.{' '.join(names.split())}".replace("/", "|")
             dropped = dropped or (tag not in ("html", "body", "article", "main") and bool(DROP_CLASS.search(names)))
             # an article that says so is a reader's comment
             dropped = dropped or (tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", names, re.I)))
@@ -175,9 +175,10 @@ def blocks(node: Node, gone: set[str] | frozenset[str] = frozenset(), drop: bool
 
 def style_rows(html: str | None) -> list[tuple[str, int, int]]:
     """(path, content hash, presentation hash) of one page's style nodes; same-path elements are one node."""
-    content, shape = defaultdict(list), defaultdict(list)
+    content, shape, removed = defaultdict(list), defaultdict(list), set()
     for node in walk(parse(html)):
-        if node.dropped:
+        if node.dropped or id(node.parent) in removed:
+            removed.add(id(node))
             continue
         texts = [" ".join(c.split()) for c in node.children if isinstance(c, str)]
         content[node.path] += [t for t in texts if t]
@@ -191,7 +192,7 @@ def page_host(url_col: str = "url"):
 
 
 def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance) of each style node that holds text of its own.
+    """(host, path, pages, importance, has_text) of each style node; has_text is 1 if it holds text of its own on some page.
 
     Copies of a page count once. Counts are aggregated by content first and by node then, so a crowded host is no group.
     """
@@ -214,12 +215,16 @@ def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     entropy = lambda: F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(n * F.log(n)) / F.sum("n")) / F.log(F.sum("n"))).otherwise(1.0)
     text = texts.agg(F.sum("n").alias("pages"), entropy().alias("content"), F.max((F.col("content") != 0).cast("int")).alias("has_text"))
     form = forms.agg(entropy().alias("presentation"))
-    return text.join(form, ["host", "path"]).where("has_text = 1").select("host", "path", "pages", F.greatest("content", "presentation").alias("importance"))
+    return text.join(form, ["host", "path"]).select("host", "path", "pages", F.greatest("content", "presentation").alias("importance"), "has_text")
 
 
 def low_branches(trees: DataFrame) -> DataFrame:
-    """(host, gone): the paths to remove on each host that has any."""
-    low = trees.where((F.col("importance") < LOW_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
+    """(host, gone): the paths to remove on each host that has any. A node below which anything is important stays."""
+    low = trees.where((F.col("importance") < LOW_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES) & (F.col("has_text") == 1))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.xxhash64(F.array_join(F.slice(parts, 1, k), "/")))
+    high = trees.where((F.col("importance") >= LOW_IMPORTANCE) & (F.size(parts) > 1)).select("host", F.explode(above).alias("node")).distinct()
+    low = low.withColumn("node", F.xxhash64("path")).join(high, ["host", "node"], "left_anti")
     return low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("gone"))
 
 
@@ -248,7 +253,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     texts. Other columns are ignored, whatever their names; an empty table stays empty; pages may be of any length.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    gone = materialize(low_branches(style_trees(own, "page_id", "url", "html")), "style-trees")
+    gone = materialize(low_branches(materialize(style_trees(own, "page_id", "url", "html"), "style-trees")), "low-branches")
     if gone.isEmpty():
         joined = own.withColumn("gone", F.lit(None).cast("array<string>"))
     else:

@@ -63,6 +63,14 @@ def test_style_tree_removes_what_repeats(spark):
     assert trees["site.test", "//body/div.tail"].importance == pytest.approx(0.0)
 
 
+def test_constant_labels_beside_varying_text(spark):
+    rows = [(k, f"https://label.test/{k}", f"<body><article>Updated: <time>{k}. May</time><p>story {k}</p></article></body>") for k in range(20)]
+    rows += [(100 + k, f"https://skip.test/{k}", f"<body>Skip to content<div class='w-1/2'>Menu <b>all</b></div><div class='w-1'><p>text {k}</p></div></body>") for k in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Updated: {k}. May story {k}" for k in range(20))
+    assert all(got[100 + k] == f"Skip to content text {k}" for k in range(20))
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "<p>a"), (1, None, "<p>a"), (None, "u", None), (2, "::", "")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in H.extract(df).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
