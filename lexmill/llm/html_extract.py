@@ -4,8 +4,8 @@ Pages of one host are merged into a style tree: its nodes are paths of tag and c
 is found from two entropies over the distinct pages that hold it: of its presentation (the sequence of child tags) and
 of its content (hash of the text directly in it), both normalised by the number of pages. Text that is the same on page after
 page has content entropy near 0; a branch whose importance, the greatest in it, is low is removed from each page. Branches
-that by tag, role or class can only be menus, adverts, notices, forms or comments have importance 0 beforehand, as few
-pages of a host may have been seen. Of the rest, the article is taken where the page marks one.
+that by tag, role or whole class name are menus, adverts, notices, forms or comments have importance 0 beforehand, as few
+pages of a host may have been seen; outside article and main some more names and ids count. Of the rest, the article is taken where the page marks one.
 """
 
 from __future__ import annotations
@@ -37,11 +37,18 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 DROP_TAGS = frozenset("nav footer header aside form head dialog button input select menu menuitem".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-DROP_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|newsletter|subscribe|subscription|signup|"
-    r"nav|navbar|navigation|menu|menus|breadcrumbs?|sidebars?|aside|widgets?|related|recommended|share|sharing|social|comments?|commentlist|disqus|respond|replies|reply|footer|masthead|site-header|page-header|header|login|search|pagination|pager|toolbar|skip-link|legal|copyright)(?:$|[\s_-])",
+#: Whole class names, never parts of them, that name no content wherever they are; outside article and main also those of
+#: OUTER_NAMES, and ids. Ids of sections and headings are made of their words and never count.
+DROP_NAMES = re.compile(
+    r"ads?|adverts?|advertisements?|advertising|ad-(?:banner|box|container|slot|unit|wrapper)|sponsored-(?:content|links|posts?)|cookies?-(?:banner|bar|consent|notice|popup)|(?:consent|gdpr)-(?:banner|bar|notice|popup)|"
+    r"newsletter-(?:box|form|signup)|subscribe-(?:box|form)|(?:subscription|signup|login|search)-form|navbar|(?:main|primary|secondary|site|top|page|post)-(?:nav|navigation|menu)|nav-(?:bar|links|menu)|breadcrumbs?|"
+    r"(?:left-|right-)?sidebars?|sidebar-(?:left|right)|related-(?:articles|links|posts|stories)|share-(?:bar|buttons|links)|sharing-buttons|social-(?:buttons|icons|links|share)|comments|comment-?list|comments?-(?:area|form|section)|"
+    r"disqus_thread|(?:site|page)-footer|site-header|pagination|skip-links?",
     re.I,
 )
+OUTER_NAMES = re.compile(r"nav|navigation|menus?|pager|toolbar|aside|footer|masthead|banner|modal|popups?|newsletter|consent|gdpr|sponsor(?:ed|s)|comment|replies|disqus|widget-area|copyright-notice|legal-notice", re.I)
+COMMENT_NAMES = re.compile(r"comments?|comment-(?:body|item|reply)|reply|replies", re.I)
+_UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 span code pre".split())
 _PIECE = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|(?P<text>[^<]+|<)",
@@ -52,11 +59,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "dropped", "path")
+    __slots__ = ("tag", "label", "parent", "children", "dropped", "path", "inner")
 
     def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool):
         self.tag, self.label, self.parent, self.children, self.dropped = tag, label, parent, [], dropped
-        self.path = 0
+        self.path, self.inner = 0, tag in ("article", "main") or (parent is not None and parent.inner)
 
 
 def _element(tag: str, attrs: str, parent: Node) -> Node:
@@ -68,9 +75,11 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
         if names:
             label = f"{tag}.{' '.join(names.split())}".replace("/", "|")
-            dropped = dropped or (tag not in ("html", "body", "article", "main") and bool(DROP_CLASS.search(names)))
+            classes, inner = found.get("class", "").split(), parent.inner
+            named = classes if inner or tag == "section" else names.split()
+            dropped = dropped or (tag not in _UNNAMED and any(DROP_NAMES.fullmatch(x) or (not inner and OUTER_NAMES.fullmatch(x)) for x in named))
             # an article that says so is a reader's comment
-            dropped = dropped or (tag == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", names, re.I)))
+            dropped = dropped or (tag == "article" and any(COMMENT_NAMES.fullmatch(x) for x in classes))
         dropped = dropped or found.get("role", "").lower() in DROP_ROLES or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
     if not dropped and attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
         dropped = True

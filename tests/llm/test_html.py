@@ -43,6 +43,14 @@ def test_cases(page):
     assert H.main_text(page) == CASES[page]
 
 
+def test_names_in_an_article_keep_its_text():
+    inner = "<section id='related-work'>a</section><h2 id='search'>b</h2><h2 id='login'>c</h2><div class='section-header'>d</div><div class='legal-text'>e</div><p><span class='search-term'>f</span></p><div id='comments'>g</div>"
+    assert H.main_text(f"<article>{inner}<div class='x related-posts'>r</div></article>") == "a b c d e f g"
+    assert H.main_text(f"<main>{inner}</main>") == "a b c d e f g"
+    assert H.main_text("<body><h2 id='menu' class='menu'>a</h2><section id='menu'>b</section><div class='section-header'>c</div><div id='menu'>m</div><div class='menu'>n</div></body>") == "a b c"
+    assert H.main_text("<article class='post comments-open' id='reply-1'>a</article>") == "a"
+
+
 def test_deep_and_long_pages():
     assert H.main_text("<div>" * 30000 + "x" + "</div>" * 30000) == "x"
     assert H.main_text("<p>word</p>" * 20000) == " ".join(["word"] * 20000)
