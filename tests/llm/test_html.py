@@ -43,6 +43,12 @@ def test_cases(page):
     assert H.main_text(page) == CASES[page]
 
 
+def test_text_after_icons_and_in_formulas():
+    assert H.main_text("<article><p>a <svg class='i' viewBox=\"0 0 9>1 9\"/> b</p><p>c</p><svg><title>t</title><path/></svg><p>d</p></article>") == "a b c d"
+    assert H.main_text("<article><p>a<svg/>b</p></article>") == "ab"
+    assert H.main_text("<article><p>so (<math><mi>x</mi><mo>=</mo><mn>1</mn></math>) <math/>holds</p><object data='f'><param name='n'><p>fallback</p></object>end</article>") == "so (x=1) holds fallback end"
+
+
 def test_names_in_an_article_keep_its_text():
     inner = "<section id='related-work'>a</section><h2 id='search'>b</h2><h2 id='login'>c</h2><div class='section-header'>d</div><div class='legal-text'>e</div><p><span class='search-term'>f</span></p><div id='comments'>g</div>"
     assert H.main_text(f"<article>{inner}<div class='x related-posts'>r</div></article>") == "a b c d e f g"
