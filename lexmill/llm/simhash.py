@@ -66,8 +66,8 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def long_fingerprint(text: str | None, words: int, size: int = LONG_WORDS) -> np.ndarray:
-    """``size`` words of 64 bits, each the majority over an own mix of the shingles' hashes."""
-    h = shingle_hashes(text, words)[:, None] + np.arange(1, size + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    """``size`` words of 64 bits, each the majority over an own mix of the distinct shingles' hashes."""
+    h = np.unique(shingle_hashes(text, words))[:, None] + np.arange(1, size + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return _majority(h ^ h >> np.uint64(31))

@@ -63,6 +63,15 @@ def test_near_copies_in_crowds(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_repeats_of_a_line_count_once(spark):
+    """A line that two unlike texts repeat does not link them; how often the same text repeats a line does not part it."""
+    own = [" ".join(f"d{k}w{j}" for j in range(100)) for k in range(3)]
+    line = " ".join(f"line{j}" for j in range(10))
+    rows = [(k, " ".join([line] * 10) + " " + own[k]) for k in range(2)] + [(2, " ".join([line] * 2) + " " + own[2]), (3, " ".join([line] * 12) + " " + own[2])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 def test_keep_one_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (4, "One TWO"), (None, "one two"), (5, "else")]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
