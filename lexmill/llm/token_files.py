@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.wordids import default_vocabulary, encoder_for, pieces_of
@@ -27,7 +27,7 @@ DICTIONARY_BYTES = 64 << 10
 #: The dictionary is fitted on so many documents, chosen by hash, none longer than so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000
 BLOCK_BYTES = 1 << 20
-LEVEL = 3
+LEVEL = 1
 BLOCKS = (
     "shard int, block int, before long, first_doc long, last_doc long, dict_hash string, width int, "
     "doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
@@ -35,8 +35,15 @@ BLOCKS = (
 
 
 def train_dictionary(docs: DataFrame, encoder, width: int) -> bytes:
-    """A dictionary for the serialized id arrays of a bounded sample; empty if the sample is too small to train on."""
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
+    """A dictionary for the serialized id arrays of a bounded sample; empty if the sample is too small to train on.
+
+    The sample is chosen by hash, below a threshold taken from the counted rows, so that tasks send little more than it.
+    """
+    short = docs.where(F.length("text") <= SAMPLE_CHARS)
+    share = min(1.0, 2 * SAMPLE_DOCS / max(1, short.count()))
+    place = F.xxhash64("doc_id", "text")
+    low = short.where(place <= F.lit(min((1 << 63) - 1, int((2 * share - 1) * (1 << 63)))).cast("long"))
+    sample = low.orderBy(place).limit(SAMPLE_DOCS).collect()
     rows = [encoder.encode(pa.array([r.text])).ids.astype(f"<u{width}").tobytes() for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
@@ -48,10 +55,25 @@ def _codec_args(dictionary: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
 
+def _shard_of(docs: DataFrame, parts: int) -> Column:
+    """The shard of doc_id: ``parts`` ranges of about equal numbers of rows. An id that fills several ranges is dealt over them.
+
+    The bounds come from one aggregation over doc_id alone, so that the texts are read, encoded and sent on just once.
+    """
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    if not cuts:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")  # folded to one literal
+    below = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col("doc_id"))), F.lit(0))
+    equal = F.coalesce(F.size(F.filter(bounds, lambda x: x == F.col("doc_id"))), F.lit(0))
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(below + F.pmod(F.xxhash64("place"), equal + 1)).cast("int")
+
+
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1) -> None:
-    """Encode every document and write the data set in ascending doc_id order (then by text hash among equal ids).
+    """Encode every document and write the data set in ascending doc_id order (rows of equal ids in any order).
 
-    Null or empty texts are the end id alone; a null doc_id sorts first; repeated rows stay; other columns are ignored.
+    Documents are encoded and compressed where they are read; only frames are shuffled. Null or empty texts are the end id
+    alone; a null doc_id sorts first; repeated rows stay; other columns are ignored. No rows: an empty table of blocks.
     """
     spark = docs.sparkSession
     vocab = vocabulary or default_vocabulary()
@@ -64,10 +86,19 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     types = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = encoder_for(vocab, end_id), TaskContext.get().partitionId()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder_for(vocab, end_id)
         compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_codec_args(dictionary)).compress
-        block, before, doc_ids, counts, frames, held = 0, 0, [], [], [], 0
+        for batch in batches:
+            for part in pieces_of(batch, 2):
+                got = coder.encode(part.column(2))
+                ids, at = memoryview(got.ids.astype(f"<u{width}").tobytes()), (got.start * width).tolist()
+                frames = pa.array([compress(ids[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(got.start)), frames], ["shard", "doc_id", "n", "frame"])
+        pa.default_memory_pool().release_unused()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, block, before, doc_ids, counts, frames, held = TaskContext.get().partitionId(), 0, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, before, doc_ids, counts, frames, held
@@ -78,22 +109,21 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
         for batch in batches:
-            for part in pieces_of(batch, 1):
-                got = coder.encode(part.column(1))
-                ids = got.ids.astype(f"<u{width}")
-                for doc_id, a, b in zip(part.column(0).to_pylist(), got.start[:-1].tolist(), got.start[1:].tolist()):
-                    frames.append(compress(ids[a:b].tobytes()))
-                    doc_ids.append(doc_id)
-                    counts.append(b - a)
-                    held += len(frames[-1])
-                    if held >= BLOCK_BYTES:
-                        yield flush()
+            for doc_id, n, frame in zip(*(c.to_pylist() for c in batch.columns)):
+                frames.append(frame)
+                doc_ids.append(doc_id)
+                counts.append(n)
+                held += len(frame)
+                if held >= BLOCK_BYTES:
+                    yield flush()
         if doc_ids:
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.transform(arrow_map, run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    placed = docs.withColumn("place", F.monotonically_increasing_id()).select(_shard_of(docs, parts).alias("shard"), "doc_id", "text")
+    coded = placed.transform(arrow_map, encode, "shard int, doc_id long, n long, frame binary")
+    ordered = coded.repartitionById(parts, "shard").sortWithinPartitions("doc_id").select("doc_id", "n", "frame")
+    ordered.transform(arrow_map, assemble, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def load_dictionary(spark: SparkSession, path: str) -> bytes:

@@ -129,3 +129,13 @@ def test_token_files_odd(spark, tok):
     path = scratch_path(spark, "test-none")
     token_files.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path)
     assert token_files.token_digests(spark, path).count() == 0
+
+
+def test_token_files_hot_id(spark, tok):
+    rows = [(7, f"text number {k}") for k in range(300)] + [(k, "one two") for k in range(100, 700)] + [(-5, "first")]
+    path = scratch_path(spark, "test-hot")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path)
+    got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(d for d, _ in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()][:-1]
+    assert sorted(tuple(r.ids) for r in got if r.doc_id == 7) == sorted(tuple(want_ids(tok, t)) for d, t in rows if d == 7)
