@@ -1,16 +1,21 @@
 """Personal data: weak supervision. Labelers vote on candidate spans, expectation-maximisation finds their reliabilities,
 and a span classifier trained on the posteriors decides on the spans beyond the base patterns.
 
-All of it is DataFrame expressions; what reaches the driver is one row per kind, vote pattern and shape, whose number is
-fixed by the labelers and not by the data.
-
-Four labelers vote on every candidate: a strict regular expression, a gazetteer (known prefixes, domains, issuers,
-titles), a context labeler (cue words in the CONTEXT characters before), and a form check (checksum, digit mix).
+All of it is DataFrame expressions; what reaches the driver is one row per kind, vote pattern and features, whose number
+is bounded by the labelers and features and not by the data.
+
+Candidates are wide: any long mix of letters and digits, any long number, any date, any run like an account code. Four
+labelers vote yes or no on each, or abstain: the pattern labeler (formats of personal data and formats of something
+else), the gazetteer (tables of issuers, calling codes and countries), the context labeler (cue words among the CONTEXT
+characters before, for personal data or for order numbers, versions and the like) and the form labeler (checksums and
+the mix of characters). Reliabilities are shared by all kinds, base spans included, and each kind has its own share of
+true spans; so a kind that shows few votes is judged by what its labelers proved to be elsewhere.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -32,44 +37,61 @@ BASE = {
 NEEDS = {"email": "@", "phone": "+"}
 # Patterns of candidates beyond the base kinds.
 EXTRA = {
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,64}[0-9])(?=[0-9_]{0,64}[A-Za-z])[A-Za-z0-9_]{16,128}(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,64}[0-9])(?=[0-9_-]{0,64}[A-Za-z])[A-Za-z0-9_-]{12,128}(?![A-Za-z0-9_-])",
     "national_phone": r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "account": r"(?<![A-Za-z0-9.+_-])[0-9](?:[\x20-]?[0-9]){7,18}(?![A-Za-z0-9_-])",
+    "birth_date": r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3]?[0-9][./][01]?[0-9][./](?:19|20)[0-9]{2})(?![0-9./-])",
 }
+# What the pattern labeler takes for personal data, and for something else.
 STRICT = {
-    "secret": r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|[0-9a-f]{32,64}|sk_[A-Za-z0-9_]{20,64})$",
+    "secret": r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,64})$",
     "national_phone": r"^(?:\([0-9]{3}\)\x20|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}$",
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+    "iban": r"^[A-Z]{2}[0-9]{2}(?:[0-9]{11,26}|[A-Z]{4}[0-9]{10,18}|(?:\x20[A-Z0-9]{4}){3,6}(?:\x20[A-Z0-9]{1,3})?)$",
     "email": r"^[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}$",
     "ip": r"^(?!0+\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}$",
     "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})$",
     "phone": r"^\+[1-9][0-9]{0,2}[\x20-]?(?:\([0-9]{2,4}\)|[0-9])[\x200-9-]+$",
 }
-GAZETTEER = {
-    "secret": r"^(?:AKIA|ASIA|gh[pousr]_|sk_|pk_|xox)",
-    "national_phone": r"555|^\(?(?:800|888|877|866)",
-    "national_id": r"^[0-7]",
-    "email": r"[@.](?:example|gmail|yahoo|hotmail|outlook|icloud|gmx|web)\.[a-z]+$|\.(?:com|org|net|edu|gov|de|fr|es|uk|eu|io)$",
-    "ip": r"^(?:10|127|169|172|192|[1-9][0-9]?|1[0-9]{2}|2[0-2][0-9])\.",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^\+(?:1|33|34|44|49|39|31|32|41|43|351|90|91|86|81)",
+OTHER = {
+    "secret": r"(?i)^(?:[a-z]+[-_]?)*(?:version|release|chapter|section|figure|table|build|v)[-_]?[0-9][0-9a-z_-]*$|^[a-z]+(?:[-_][a-z]+)+[-_]?[0-9]{1,4}$|^[0-9]+(?:st|nd|rd|th|px|em|ms|kb|mb|gb)$",
+    "account": r"^(?:19|20)[0-9]{2}[01][0-9][0-3][0-9](?:[0-9]{6})?$|^[0-9]{1,3}(?:\x20[0-9]{3})+$|^(.)\1+$",
+    "national_phone": r"^000|^(?:\(?111|\(?123)",
 }
+# The gazetteers, as beginnings of a span, or endings of an address.
+ISSUERS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_", "sk-", "pk_", "rk_", "xoxb", "xoxp", "AIza", "ya29", "eyJ")
+CALLING_CODES = ("+1", "+31", "+32", "+33", "+34", "+351", "+39", "+41", "+43", "+44", "+45", "+46", "+47", "+48", "+49", "+52", "+54", "+55", "+61", "+7", "+81", "+86", "+90", "+91")
+IBAN_COUNTRIES = ("AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "GR", "HU", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE", "TR")
+MAIL_ENDINGS = (".com", ".org", ".net", ".edu", ".gov", ".info", ".de", ".fr", ".es", ".it", ".nl", ".uk", ".eu", ".io", ".at", ".ch", ".tr")
+CARD_STARTS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+UNROUTED = ("0.", "127.", "255.", "10.", "192.168.")
+# Cue words before a span, for the kind and against it.
 CUES = {
-    "secret": r"(?i)(?:passw(?:or)?d|passwd|secret|token|api.?key|key|auth|bearer|credential)s?[\"']?\s*(?:[=:]|is)?\s*[\"']?$",
+    "secret": r"(?i)(?:passw(?:or)?d|passwort|contraseña|mot\x20de\x20passe|passwd|secret|token|api.?key|key|auth|bearer|credential)s?[\"']?\s*(?:[=:]|is)?\s*[\"']?$",
     "national_phone": r"(?i)(?:tel|phone|call|fax|mobile|telefon|t[ée]l[ée]fono?)\b",
     "national_id": r"(?i)(?:ssn|social|security|id|tax)\b",
+    "iban": r"(?i)(?:iban|account|konto|compte|cuenta|transfer|überweisung)\b",
+    "account": r"(?i)(?:account|acct|konto|compte|cuenta|passport|licen[cs]e\x20no|customer|member|insurance|card|visa|karte|carte|tarjeta)\b",
+    "birth_date": r"(?i)(?:born|birth|birthday|dob|geboren|geburtsdatum|née?|naissance|nacid[oa]|nacimiento)\b",
     "email": r"(?i)(?:mail|contact|write|kontakt|correo|courriel)\b",
     "ip": r"(?i)(?:ip|host|server|address|from)\b",
     "card": r"(?i)(?:card|visa|karte|carte|tarjeta|credit)\b",
     "phone": r"(?i)(?:tel|phone|call|fax|mobile|telefon|t[ée]l[ée]fono?)\b",
 }
+COUNTER_CUES = r"(?i)(?:sha-?[0-9]{0,3}|md5|checksum|hash|commit|revision|build|version|release|order|invoice|isbn|issn|doi|page|pages|chapter|section|figure|article|updated|published|copyright|since|model|serial|ticket|bestellung|commande|pedido)(?:\x20(?:no|number|nr|id))?\.?[\x20:#=-]*$"
 CONTEXT = 32
-LABELERS = ("strict", "known", "cued", "formed")
+LABELERS = ("pattern", "gazetteer", "context", "form")
 KINDS = (*BASE, *EXTRA)
+#: A labeler's vote is 0 for no, 1 for abstaining and 2 for yes; a span's votes are these as digits to base 3.
+NO, ABSTAIN, YES = 0, 1, 2
+#: The classifier's features of a span beside its kind and votes, and how many values each has.
+FEATURES = {"length": 4, "digits": 3, "case": 3, "before": 3}
 #: Candidates beyond the base are spans from this probability on.
 ACCEPT = 0.5
 EM_ROUNDS, FIT_STEPS = 60, 400
-SPAN = "array<struct<rank:int,kind:string,start:int,end:int,base:boolean,votes:int,shape:int>>"
+SPAN = "array<struct<rank:int,kind:string,start:int,end:int,base:boolean,votes:int,features:int>>"
 
 
 def _digits(x: Column) -> Column:
@@ -84,24 +106,93 @@ def luhn(match: Column) -> Column:
 
 
 def _valid(kind: str, m: Column) -> Column:
-    part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-    n = F.length(_digits(m))
-    return {
-        "email": F.lit(True),
-        "ip": m.rlike(rf"^{part}(?:\.{part}){{3}}$"),
-        "card": n.between(13, 19) & F.when(n.between(13, 19), luhn(m)).otherwise(False),
-        "phone": n.between(9, 15),
-    }.get(kind, F.lit(True))
-
-
-def _formed(kind: str, m: Column) -> Column:
-    """Labeler: digits and their mix are what the kind has."""
-    digits = F.length(_digits(m))
+    """Whether a match of a base pattern is a span."""
+    if kind == "ip":
+        part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+        return m.rlike(rf"^{part}(?:\.{part}){{3}}$")
+    if kind == "card":
+        return F.when(F.length(_digits(m)).between(13, 19), luhn(m)).otherwise(False)
+    return F.length(_digits(m)).between(9, 15) if kind == "phone" else F.lit(True)
+
+
+def iban_sum(m: Column) -> Column:
+    """Whether the first four characters put last, letters as two figures, leave 1 by 97."""
+    code = F.regexp_replace(m, r"\x20", "")
+    figures = F.filter(F.split(F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4)), ""), lambda c: c != "")
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(figures, F.lit(0), step) == 1
+
+
+def _starts(table: tuple[str, ...]) -> str:
+    return "^(?:" + "|".join(re.escape(x) for x in table) + ")"
+
+
+def _ends(table: tuple[str, ...]) -> str:
+    return "(?i)(?:" + "|".join(re.escape(x) for x in table) + ")$"
+
+
+#: Of the gazetteer and form labelers, patterns for and against each kind; checksums and counts are added in _ballot.
+KNOWN = {
+    "secret": (_starts(ISSUERS), None),
+    "phone": (_starts(CALLING_CODES), r"^\+0"),
+    "iban": (_starts(IBAN_COUNTRIES), f"^(?!{_starts(IBAN_COUNTRIES)[1:]})"),
+    "email": (_ends(MAIL_ENDINGS), None),
+    "card": (_starts(CARD_STARTS), None),
+    "account": (None, _starts(CARD_STARTS)),
+    "ip": (f"^(?!{_starts(UNROUTED)[1:]})", _starts(UNROUTED)),
+    "national_phone": (r"555|^\(?8(?:00|88|77|66)", None),
+}
+MISSHAPEN = {
+    "secret": r"[_-]{2}|([A-Za-z0-9])\1{3}",
+    "national_phone": r"([0-9])\1{5}",
+    "national_id": r"([0-9])\1{5}",
+    "birth_date": r"-(?:00|1[3-9])-|-(?:00|3[2-9])$|^(?:0?0|3[2-9])[./]|[./](?:0?0|1[3-9])[./]|20[3-9][0-9]$|^20[3-9]",
+}
+
+
+def _vote(m: Column, yes: str | Column | None, no: str | Column | None) -> Column:
+    """A labeler's vote from what speaks for and what against: a pattern, a condition, or nothing."""
+    out = None
+    for test, vote in ((yes, YES), (no, NO)):
+        if test is not None:
+            holds = m.rlike(test) if isinstance(test, str) else test
+            out = F.when(holds, vote) if out is None else out.when(holds, vote)
+    return F.lit(ABSTAIN) if out is None else out.otherwise(ABSTAIN)
+
+
+def _ballot(kind: str, m: Column, before: Column) -> list[Column]:
+    """The four labelers' votes on one candidate."""
     if kind == "secret":
-        return (digits * 8 >= F.length(m)) & (digits < F.length(m)) & ~m.rlike(r"_{2}|^[a-z]+_|([A-Za-z0-9])\1{3}")
-    if kind in ("national_phone", "national_id"):
-        return ~m.rlike(r"([0-9])\1{5}")
-    return _valid(kind, m)
+        digits, n = F.length(_digits(m)) * 8, F.length(m)
+        mixed = digits.between(n, n * 7)
+        # digests are as random as keys, so their form says nothing
+        form = _vote(m, mixed & ~m.rlike(MISSHAPEN[kind] + "|^[a-z]+[_-]|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), ~mixed | m.rlike(MISSHAPEN[kind]))
+    elif kind == "account":
+        form = _vote(m, None, F.length(_digits(m)).between(13, 19))  # of a card's length, but the sum is wrong
+    elif kind == "iban":
+        form = F.when(iban_sum(m), YES).otherwise(NO)
+    elif kind in MISSHAPEN:
+        form = _vote(m, None, MISSHAPEN[kind])
+    else:
+        form = F.lit(YES)  # base spans are valid already
+    context = F.when(before.rlike(CUES[kind]), YES).when(before.rlike(COUNTER_CUES), NO).otherwise(ABSTAIN)
+    return [_vote(m, STRICT.get(kind), OTHER.get(kind)), _vote(m, *KNOWN.get(kind, (None, None))), context, form]
+
+
+def _features(m: Column, before: Column) -> Column:
+    """The features of a candidate as one number, by the places and sizes of FEATURES."""
+    digits, n = F.length(_digits(m)), F.length(m)
+    upper, lower = m.rlike("[A-Z]"), m.rlike("[a-z]")
+    values = {
+        "length": F.least(F.lit(3), F.floor(n / 12).cast("int")),
+        "digits": F.when(digits * 4 <= n, 0).when(digits * 4 <= 3 * n, 1).otherwise(2),
+        "case": F.when(upper & lower, 2).when(upper, 1).otherwise(0),
+        "before": F.when(before.rlike(r"""[=:"']\s*$"""), 2).when(before.rlike(r"[A-Za-z]\s*$"), 1).otherwise(0),
+    }
+    code = F.lit(0)
+    for name, size in FEATURES.items():
+        code = code * size + values[name]
+    return code.cast("int")
 
 
 def _spans(text: Column, kind: str, pattern: str) -> Column:
@@ -112,10 +203,13 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
     empty = F.array().cast(SPAN)
     rank, base = KINDS.index(kind), kind in BASE
 
-    def vote(m: Column, start: Column) -> Column:
-        before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-        said = (m.rlike(STRICT[kind]), m.rlike(GAZETTEER[kind]), before.rlike(CUES[kind]), _formed(kind, m))
-        return sum((F.when(v, 1 << k).otherwise(0) for k, v in enumerate(said)), F.lit(0))
+    def before(start: Column) -> Column:
+        return F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+
+    def judged(m: Column, start: Column) -> Column:
+        """Votes and features of one candidate; its context is cut once."""
+        code = lambda said: F.struct(sum((v * 3**k for k, v in enumerate(_ballot(kind, m, said))), F.lit(0)).alias("votes"), _features(m, said).alias("features"))
+        return let(before(start), code)
 
     def located(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
@@ -126,106 +220,122 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
             zero,
             lambda a, x: F.struct((a["at"] + x["g"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), (a["at"] + x["g"]).alias("s")))).alias("out")),
         )
-        kept = F.filter(walk["out"], lambda x: _valid(kind, x["m"]))
-        return F.transform(
-            kept,
-            lambda x: F.struct(
-                F.lit(rank).alias("rank"),
-                F.lit(kind).alias("kind"),
-                x["s"].alias("start"),
-                (x["s"] + F.length(x["m"])).alias("end"),
-                F.lit(base).alias("base"),
-                vote(x["m"], x["s"]).alias("votes"),
-                F.least(F.lit(3), F.floor(F.length(x["m"]) / 12).cast("int")).alias("shape"),
-            ),
-        ).cast(SPAN)
+        kept = F.filter(walk["out"], lambda x: _valid(kind, x["m"])) if kind in BASE else walk["out"]
+        seen = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), judged(x["m"], x["s"]).alias("j")))
+        span = lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["s"].alias("start"), x["e"].alias("end"), F.lit(base).alias("base"), x["j"]["votes"], x["j"]["features"])
+        return F.transform(seen, span).cast(SPAN)
 
     return let(matches, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(empty))
 
 
-def span_column(text: Column, digit: Column) -> tuple[dict[str, Column], Column]:
-    """Columns with the spans of each kind, and the expression that joins them: base, and what overlaps no base span."""
+def _apart(extra: Column, taken: Column) -> Column:
+    """The spans of ``extra`` that overlap none of ``taken``."""
+    return let(taken, lambda t: F.when((F.size(t) == 0) | (F.size(extra) == 0), extra).otherwise(F.filter(extra, lambda x: ~F.exists(t, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))))
+
+
+def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, spans): each row of docs as a struct, so that no name can clash, and the candidate spans of its text.
+
+    Base spans come first; a candidate that overlaps a base span or one of an earlier kind is left out. Null text: none.
+    """
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", text.alias("text"))
+    own = own.withColumn("digit", F.exists(F.array("text"), lambda x: x.rlike("[0-9]")))
     none = F.array().cast(SPAN)
-    parts = {f"_{k}": F.when(digit | F.lit(k == "email"), _spans(text, k, p)).otherwise(none) for k, p in (BASE | EXTRA).items()}
-    base, extra = F.concat(*[f"_{k}" for k in BASE]), F.concat(*[f"_{k}" for k in EXTRA])
-    apart = let(base, lambda b: F.when(F.size(b) == 0, extra).otherwise(F.filter(extra, lambda x: ~F.exists(b, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))))
-    return parts, F.concat(base, apart)
+    parts = [F.when(F.col("digit") | F.lit(k == "email"), _spans(F.col("text"), k, p)).otherwise(none).alias(k) for k, p in (BASE | EXTRA).items()]
 
+    def settled(spans: Column, kinds: list[str]) -> Column:
+        return let(F.concat(spans, _apart(F.col(kinds[0]), spans)), lambda x: settled(x, kinds[1:])) if kinds else spans
 
-def with_spans(docs: DataFrame, text_col: str = "text", into: str = "spans") -> DataFrame:
-    """docs with the candidate spans of each text in ``into``. Null text: none."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"))
-    row = row.withColumn("_digit", F.exists(F.array("_text"), lambda x: x.rlike("[0-9]")))
-    parts, joined = span_column(F.col("_text"), F.col("_digit"))
-    out = row.select("_row", *[v.alias(k) for k, v in parts.items()])
-    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != into]
-    return out.select(*kept, joined.alias(into))
+    return own.select("row", *parts).select("row", let(F.concat(*BASE), lambda x: settled(x, list(EXTRA))).alias("spans"))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): the base spans and the candidates that overlap none of them. Null text: none."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_source"))
-    return with_spans(own, "_source").select("doc_id", "spans")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return scan(own).select("row.doc_id", "spans")
 
 
 @dataclass
 class SpanModel:
-    """Reliabilities by kind and labeler, and the classifier's logit for each (kind, votes, shape) that it knows."""
+    """Per labeler the rates of (no, yes) on true and on other spans, each kind's share of true spans, and the classifier's weights."""
 
-    reliability: dict[str, list[tuple[float, float]]]
-    bias: dict[str, float]
-    vote_weights: list[float]
-    shape_weights: list[float]
+    rates: list[tuple[list[float], list[float]]]
+    share: dict[str, float]
+    weights: dict[tuple[str, int], float]
 
     def logit(self, span: Column) -> Column:
-        z = F.lit(-9.0)
-        for kind, b in self.bias.items():
-            z = F.when(span["kind"] == kind, float(b)).otherwise(z)
-        for k, w in enumerate(self.vote_weights):
-            z = z + F.when(span["votes"].bitwiseAND(1 << k) > 0, float(w)).otherwise(0.0)
-        for k, w in enumerate(self.shape_weights):
-            z = z + F.when(span["shape"] == k, float(w)).otherwise(0.0)
+        z = F.lit(0.0)
+        for (name, value), w in self.weights.items():
+            if name == "kind":
+                holds = span["kind"] == KINDS[value]
+            elif name in FEATURES:
+                holds = _place(span["features"], name) == value
+            else:
+                holds = F.floor(span["votes"] / 3 ** LABELERS.index(name)) % 3 == value
+            z = z + F.when(holds, float(w)).otherwise(0.0)
         return z
 
 
-def _em(counts: dict[int, int], width: int = len(LABELERS)) -> tuple[list[tuple[float, float]], dict[int, float]]:
-    """Two-class Dawid-Skene over vote patterns: per labeler P(vote | span), P(vote | no span); posterior by pattern."""
-    share, rates = 0.5, [(0.8, 0.2)] * width
-    posterior: dict[int, float] = {}
+def _place(code, name: str):
+    """The value of one feature in the number that _features makes."""
+    names = list(FEATURES)
+    below = math.prod(FEATURES[x] for x in names[names.index(name) + 1 :])
+    return (code // below if isinstance(code, int) else F.floor(code / below)) % FEATURES[name]
+
+
+#: What a labeler is taken for before any span is seen, as so many votes (no, yes) on true and on other spans.
+PRIOR = ((1.0, 4.0), (4.0, 1.0))
+
+
+def em(counts: dict[tuple[str, int], int]) -> tuple[list[tuple[list[float], list[float]]], dict[str, float], dict[tuple[str, int], float]]:
+    """Two-class expectation-maximisation over votes, counts by (kind, votes). An abstention says nothing.
+
+    Returns per labeler the rates of (no, yes) among its votes on true and on other spans, each kind's share of true spans,
+    and the posterior of every (kind, votes). Base kinds are true by contract and anchor the rates.
+    """
+    ballots = {key: [key[1] // 3**k % 3 for k in range(len(LABELERS))] for key in counts}
+    base = sum(n for (kind, _), n in counts.items() if kind in BASE)
+    # base spans count as no more than all other candidates together, or they alone would make the rates
+    scale = min(1.0, (sum(counts.values()) - base) / base) if base else 1.0
+    rates = [tuple([x / sum(p) for x in p] for p in PRIOR) for _ in LABELERS]
+    share = {kind: 0.5 for kind, _ in counts}
+    posterior: dict[tuple[str, int], float] = {}
     for _ in range(EM_ROUNDS):
-        for p in counts:
-            yes, no = math.log(share), math.log(1 - share)
-            for k, (a, b) in enumerate(rates):
-                yes += math.log(a if p >> k & 1 else 1 - a)
-                no += math.log(b if p >> k & 1 else 1 - b)
-            posterior[p] = 1 / (1 + math.exp(min(60.0, max(-60.0, no - yes))))
-        total, good = sum(counts.values()), sum(n * posterior[p] for p, n in counts.items())
-        share = min(0.95, max(0.05, (good + 1) / (total + 2)))
-        new = []
-        for k in range(width):
-            a = sum(n * posterior[p] for p, n in counts.items() if p >> k & 1)
-            b = sum(n * (1 - posterior[p]) for p, n in counts.items() if p >> k & 1)
-            # a prior of some votes keeps a labeler better than chance and the classes in place
-            new.append(((a + 8) / (good + 10), (b + 2) / (total - good + 10)))
-        rates = new
-    return rates, posterior
+        for key, ballot in ballots.items():
+            z = math.log(share[key[0]]) - math.log(1 - share[key[0]])
+            z += sum(math.log(rates[k][0][v // YES]) - math.log(rates[k][1][v // YES]) for k, v in enumerate(ballot) if v != ABSTAIN)
+            posterior[key] = 1.0 if key[0] in BASE else 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+        for kind in share:
+            own = [(n, posterior[key]) for key, n in counts.items() if key[0] == kind]
+            share[kind] = (sum(n * p for n, p in own) + 2) / (sum(n for n, _ in own) + 4)
+        tally = [(list(PRIOR[0]), list(PRIOR[1])) for _ in LABELERS]
+        for key, ballot in ballots.items():
+            n = counts[key] * (scale if key[0] in BASE else 1.0)
+            for k, v in enumerate(ballot):
+                if v != ABSTAIN:
+                    tally[k][0][v // YES] += n * posterior[key]
+                    tally[k][1][v // YES] += n * (1 - posterior[key])
+        rates = [tuple([x / sum(votes) for x in votes] for votes in t) for t in tally]
+    return rates, share, posterior
 
 
 def fit(spans: DataFrame) -> SpanModel:
-    """EM for each kind over its vote patterns, then logistic regression on the posteriors, weighted by counts."""
-    each = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").count().collect()  # bounded by kinds x votes x shapes
-    each = sorted((r.kind, r.votes, r["shape"], r["count"]) for r in each)
-    reliability, target = {}, {}
-    for kind in sorted({k for k, *_ in each}):
-        counts: dict[int, int] = defaultdict(int)
-        for k, votes, _, n in each:
-            counts[votes] += n if k == kind else 0
-        reliability[kind], posterior = _em({p: n for p, n in counts.items() if n})
-        target |= {(kind, p): x for p, x in posterior.items()}
-    kinds, width = sorted(reliability), len(LABELERS)
-    w = [0.0] * (len(kinds) + width + 4)
-    rows = [([kinds.index(k), *[len(kinds) + b for b in range(width) if votes >> b & 1], len(kinds) + width + shape], target[k, votes], math.log1p(n)) for k, votes, shape, n in each]
+    """EM over the vote patterns, then logistic regression of the posteriors on kind, votes and features, weighted by counts.
+
+    ``spans`` is read once, so it should be a table and not an expression. No span: a model without weights.
+    """
+    each = spans.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()  # bounded by kinds x votes x features
+    each = sorted((r.kind, r.votes, r.features, r["count"]) for r in each)
+    counts: dict[tuple[str, int], int] = defaultdict(int)
+    for kind, votes, _, n in each:
+        counts[kind, votes] += n
+    rates, share, posterior = em(counts)
+    rows, names = [], {}
+    for kind, votes, code, n in each:
+        on = [("kind", KINDS.index(kind)), *((x, votes // 3**k % 3) for k, x in enumerate(LABELERS)), *((x, _place(code, x)) for x in FEATURES)]
+        rows.append(([names.setdefault(x, len(names)) for x in on], posterior[kind, votes], math.log1p(n)))
+    w = [0.0] * len(names)
     total = sum(n for *_, n in rows) or 1.0
     for _ in range(FIT_STEPS):
         step = [-0.002 * x for x in w]
@@ -234,7 +344,7 @@ def fit(spans: DataFrame) -> SpanModel:
             for i in on:
                 step[i] += n * (y - p) / total
         w = [x + 2.0 * s for x, s in zip(w, step)]
-    return SpanModel(reliability, dict(zip(kinds, w)), w[len(kinds) : len(kinds) + width], w[len(kinds) + width :])
+    return SpanModel(rates, share, dict(zip(names, w)))
 
 
 def _joined(spans: Column) -> Column:
@@ -252,12 +362,12 @@ def accepted(spans: Column, model: SpanModel) -> Column:
     return F.filter(spans, lambda s: s["base"] | (model.logit(s) >= cut))
 
 
-def mask(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
-    """docs with every found span of the text replaced by its kind in brackets; a null text stays null."""
-    seen = with_spans(docs, text_col, "_spans")
-    text = F.col(text_col).cast("string")
-    out = seen.withColumn("_found", accepted(F.col("_spans"), model))
-    return out.withColumn(text_col, F.when(text.isNotNull(), masked(text, F.col("_found")))).drop("_spans", "_found")
+def mask(seen: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``scan`` with every found span of the text replaced by its kind in brackets; a null text stays null."""
+    columns = seen.schema["row"].dataType.names
+    text = F.col("row").getField(text_col).cast("string")
+    out = seen.select("row", F.when(text.isNotNull(), masked(text, accepted(F.col("spans"), model))).alias("text"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def check(rows, got):
 
 def test_whole_table(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    spans = pii.candidates(d)
+    spans = pii.candidates(d).cache()
     check({r.doc_id: r.text for r in d.collect()}, pii.digest(pii.decide(spans, pii.fit(spans))).collect())
 
 
@@ -48,35 +48,73 @@ def test_random_and_odd_texts(spark):
     texts = ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(1500)]
     texts += [None, "", "@", "a" * 60000, "1" * 60000, "a@b" + ".c" * 20000, "1." * 30000, "+1" + "(" * 50000, "u@x.yz " * 900, "a@b.cx-y%z@d.e"]
     df = spark.createDataFrame([(i, t, []) for i, t in enumerate(texts)], "doc_id long, text string, spans array<int>")
-    spans = pii.candidates(df)
+    spans = pii.candidates(df).cache()
     got = pii.digest(pii.decide(spans, pii.fit(spans))).collect()
     assert len(got) == len(texts)
     check(dict(enumerate(texts)), got)
 
 
+def scanned(spark, texts):
+    return pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+
+
 def test_model_adds_spans_and_spares_clean_text(spark):
     texts = [f'word token = "{hashlib.sha1(str(i).encode()).hexdigest()}" more AKIA{i:02d}PQDC2E5Q7XPBJB end' for i in range(40)]
     clean = [f"plain chapter2_of_the_long_book_{i} and version20260101final words" for i in range(40)]
-    df = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
-    spans = pii.candidates(df)
-    model = pii.fit(spans)
-    got = {r.doc_id: r.spans for r in pii.digest(pii.decide(spans, model)).collect()}
+    spans = scanned(spark, texts + clean)
+    got = {r.doc_id: r.spans for r in pii.digest(pii.decide(spans, pii.fit(spans))).collect()}
     assert all(got[i].count("secret") == 2 for i in range(40)) and not any(got[i] for i in range(40, 80))
-    # the strict pattern is found more reliable than chance
-    yes, no = model.reliability["secret"][0]
-    assert yes > no
+
+
+def test_two_classes(spark):
+    """Each wide kind holds true spans and others; the rates leave their prior, and no single labeler decides alone."""
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(400)]
+    good = [f"his password={hexes[i][:18]} was here" for i in range(60)]  # the pattern labeler abstains
+    good += [f"key AKIA{hexes[i][:16].upper()} found" for i in range(60)]
+    good += [f"token = '{hexes[200 + i]}' set" for i in range(40)]  # only the context labeler votes
+    good += [f"geboren am {1 + i % 28}.{1 + i % 12}.{1950 + i % 50}" for i in range(40)]
+    good += [f"Konto {10000000 + 7919 * i} bitte" for i in range(40)]
+    bad = [f"see commit {hexes[100 + i]} for this" for i in range(60)]  # by their form they could be keys
+    bad += [f"build release-2026-{i}-candidate-{i} is out" for i in range(60)]
+    bad += [f"published 2024-{1 + i % 12:02d}-{1 + i % 28:02d} again" for i in range(60)]
+    bad += [f"order 4{i % 10}00123412341{i % 7}2{i % 10}9 shipped" for i in range(60)]
+    texts = good + bad
+    spans = scanned(spark, texts)
+    model = pii.fit(spans)
+    got = [r.spans for r in sorted(pii.digest(pii.decide(spans, model)).collect(), key=lambda r: r.doc_id)]
+    bad = [i for i in range(len(good), len(texts)) if not slow(texts[i])]
+    assert sum(bool(got[i]) for i in range(len(good))) >= 0.95 * len(good)
+    assert sum(bool(got[i]) for i in bad) <= 0.05 * len(bad)
+    # the pattern labeler alone misses passwords and digests, the form labeler alone dates and accounts
+    prior = [tuple([x / sum(p) for x in p] for p in pii.PRIOR) for _ in pii.LABELERS]
+    assert all(max(abs(a - b) for c in (0, 1) for a, b in zip(rate[c], was[c])) > 0.05 for rate, was in zip(model.rates, prior))
+    context = model.rates[pii.LABELERS.index("context")]
+    assert context[0][1] > 0.9 and context[1][0] > 0.9
+
+
+def test_iban_sum(spark):
+    rows = spark.createDataFrame([("DE89370400440532013000",), ("DE89 3704 0044 0532 0130 00",), ("DE89370400440532013001",), ("GB82WEST12345698765432",)], "t string")
+    assert [r.ok for r in rows.select(pii.iban_sum(F.col("t")).alias("ok")).collect()] == [True, True, False, True]
 
 
 def test_masking(spark):
     df = spark.createDataFrame([(1, "é mail x@y.zz or 1.2.3.4, end"), (2, "nothing"), (3, "x@y.zz"), (None, "a@b.cc")], "doc_id long, text string")
     out = df.select("doc_id", pii.masked(F.col("text"), F.filter(F.array(), lambda s: F.lit(True)).cast(pii.SPAN)).alias("t")).collect()
     assert out[1].t == "nothing"
-    found = pii.decide(pii.candidates(df), pii.fit(pii.candidates(df)))
+    spans = pii.candidates(df).cache()
+    found = pii.decide(spans, pii.fit(spans))
     got = df.alias("d").join(found.alias("f"), "doc_id").select("doc_id", pii.masked(F.col("text"), F.col("found")).alias("t")).collect()
     assert {r.doc_id: r.t for r in got} == {1: "é mail [EMAIL] or [IP], end", 2: "nothing", 3: "[EMAIL]"}
 
 
+def test_mask_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([("x", "mail a@b.cc", [1], "email", 3)], "row string, text string, spans array<int>, secret string, digit int")
+    seen = pii.scan(df).cache()
+    out = pii.mask(seen, pii.fit(seen))
+    assert out.columns == df.columns and out.collect() == [("x", "mail [EMAIL]", [1], "email", 3)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    spans = pii.candidates(df)
+    spans = pii.candidates(df).cache()
     assert pii.digest(pii.decide(spans, pii.fit(spans))).count() == 0

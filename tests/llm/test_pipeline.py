@@ -39,7 +39,7 @@ def test_stages_against_brute_force(spark):
     assert set(masked) == set(single)
     for i, t in masked.items():
         assert not slow(t)
-        rest = re.split(r"\[(?:EMAIL|IP|CARD|PHONE|SECRET|NATIONAL_PHONE|NATIONAL_ID)\]", t)
+        rest = re.split(r"\[(?:EMAIL|IP|CARD|PHONE|SECRET|NATIONAL_PHONE|NATIONAL_ID|IBAN|ACCOUNT|BIRTH_DATE)\]", t)
         assert len(rest) - 1 >= (len(slow(single[i])) > 0) and all(x in single[i] for x in rest)
     assert all(r.n_chars == len(r.text) for r in outs[3])
     # packing: every id of every masked document once
