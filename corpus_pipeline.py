@@ -34,8 +34,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows the text."""
-    model = pii.fit(pii.candidates(docs))
-    out = pii.mask(docs, model)
+    seen = materialize(pii.scan(docs), "pii")
+    out = pii.mask(seen, pii.fit(seen))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
