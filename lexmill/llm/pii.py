@@ -165,8 +165,8 @@ def _ballot(kind: str, m: Column, before: Column) -> list[Column]:
     if kind == "secret":
         digits, n = F.length(_digits(m)) * 8, F.length(m)
         mixed = digits.between(n, n * 7)
-        # digests are as random as keys, so their form says nothing
-        form = _vote(m, mixed & ~m.rlike(MISSHAPEN[kind] + "|^[a-z]+[_-]|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), ~mixed | m.rlike(MISSHAPEN[kind]))
+        # digests are as random as keys, and a word may end in a number: their form says nothing
+        form = _vote(m, mixed & ~m.rlike(MISSHAPEN[kind] + "|^[a-z]+[_-]|^[a-z]{4,}[0-9]+[a-z]*$|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), ~mixed | m.rlike(MISSHAPEN[kind]))
     elif kind == "account":
         form = _vote(m, None, F.length(_digits(m)).between(13, 19))  # of a card's length, but the sum is wrong
     elif kind == "iban":
