@@ -1,16 +1,19 @@
 """Main-text extraction with site style trees.
 
-Pages of one host are merged into a style tree: its nodes are paths of tag and class from the root. A node's importance
-is found from two entropies over the distinct pages that hold it: of its presentation (the sequence of child tags) and
-of its content (hash of the text directly in it), both normalised by the number of pages. Text that is the same on page after
-page has content entropy near 0; a branch whose importance, the greatest in it, is low is removed from each page. Branches
-that by tag, role or whole class name are menus, adverts, notices, forms or comments have importance 0 beforehand, as few
-pages of a host may have been seen; outside article and main some more names and ids count. Of the rest, the article is taken where the page marks one.
+Pages of one host are merged into a style tree: its nodes are paths of tag and class from the root, kept as running
+64-bit hashes. A node's importance is the greater of two entropies over the distinct pages that hold it: of its
+presentation (the sequence of child tags) and of its content (hash of all text below it, so the whole branch counts),
+both normalised by the number of pages. Text that is the same on page after page has an entropy near 0, text from a
+small stock a low one. The own text of low nodes is removed from each page; a branch vanishes when all nodes in it are low,
+so an important descendant keeps its place whatever is around it.
+
+All branches are in the tree, but entropy alone can't tell a menu that differs from page to page from an article. So tags,
+roles and whole class names that can only be menus, adverts, notices, forms or comments mean importance 0 beforehand;
+outside article and main some more names and ids count. Of the rest, the article is taken where the page marks one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections import defaultdict
@@ -18,13 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.graph import hot_limit, join_counted
 from lexmill.sources.tables import arrow_map, materialize
 
-#: A branch is removed below this importance, if at least so many distinct pages of the host hold it.
-LOW_IMPORTANCE, LEAST_PAGES = 0.2, 8
+#: A node's text is removed below this importance, if at least so many distinct pages of the host hold the node; outside
+#: article and main also if, going by its entropy, its content or shape is shared by so many pages each on average. (Pages
+#: come in a few variants, as for print; text from a small stock recurs more often the more pages there are.)
+LOW_IMPORTANCE, LEAST_PAGES, REPEATS = 0.2, 8, 5.0
+#: Paths of low nodes of all hosts that may be broadcast (8 bytes each).
+MOST_PATHS = 1_000_000
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,21 +59,27 @@ DROP_NAMES = re.compile(
 OUTER_NAMES = re.compile(r"nav|navigation|menus?|pager|toolbar|aside|footer|masthead|banner|modal|popups?|newsletter|consent|gdpr|sponsor(?:ed|s)|comment|replies|disqus|widget-area|copyright-notice|legal-notice", re.I)
 COMMENT_NAMES = re.compile(r"comments?|comment-(?:body|item|reply)|reply|replies", re.I)
 _UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 span code pre".split())
+# Possessive and without a way back: a quote counts only after an equals sign, and a tag that never ends takes the rest.
+_INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/>|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>|(?P<text>[^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){_INSIDE}>(?<=/>)|<(?P<raw>{RAW})(?=[\s/>]){_INSIDE}(?:>|\Z).*?(?:</(?P=raw)\s*>|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_INSIDE})(?:>|\Z)|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+_MASK = (1 << 64) - 1
+
+
 class Node:
-    __slots__ = ("tag", "label", "parent", "children", "dropped", "path", "inner")
+    __slots__ = ("tag", "label", "parent", "children", "dropped", "path", "inner", "content")
 
     def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool):
         self.tag, self.label, self.parent, self.children, self.dropped = tag, label, parent, [], dropped
-        self.path, self.inner = 0, tag in ("article", "main") or (parent is not None and parent.inner)
+        self.path, self.content = 0, 0
+        self.inner = tag in ("article", "main") or (parent is not None and parent.inner)
 
 
 def _element(tag: str, attrs: str, parent: Node) -> Node:
@@ -82,7 +97,7 @@ def _element(tag: str, attrs: str, parent: Node) -> Node:
             # an article that says so is a reader's comment
             dropped = dropped or (tag == "article" and any(COMMENT_NAMES.fullmatch(x) for x in classes))
         dropped = dropped or found.get("role", "").lower() in DROP_ROLES or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    if not dropped and attrs and re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
+    if not dropped and attrs and re.search(r"(?:^|\s)hidden(?:[\s/]|$)", attrs):
         dropped = True
     return Node(tag, label, parent, dropped)
 
@@ -137,22 +152,23 @@ def parse(html: str | None) -> Node:
     return root
 
 
-def _number(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def _number(text: str, seed: int = 0) -> int:
+    """A signed 64-bit hash."""
+    return int.from_bytes(xxhash.xxh64_digest(text.encode("utf-8", "surrogatepass"), seed), "little", signed=True)
 
 
-def walk(root: Node) -> Iterator[Node]:
+def walk(root: Node) -> list[Node]:
     """All elements in page order, their paths set, without recursion."""
-    todo = [(root, "")]
+    out, todo = [], [root]
     while todo:
-        node, path = todo.pop()
-        path = f"{path}/{node.label}"
-        node.path = path
-        yield node
-        todo += [(c, path) for c in reversed(node.children) if not isinstance(c, str)]
+        node = todo.pop()
+        node.path = _number(node.label, (node.parent.path if node.parent is not None else 0) & _MASK)
+        out.append(node)
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return out
 
 
-def blocks(node: Node, gone: set[str] | frozenset[str] = frozenset(), drop: bool = True) -> list[str]:
+def blocks(node: Node, gone: set[int] | frozenset[int] = frozenset(), lists: bool = True) -> list[str]:
     """Texts of the blocks below ``node`` in page order: references decoded, white space single, no empty ones."""
     out, run = [], []
 
@@ -168,7 +184,7 @@ def blocks(node: Node, gone: set[str] | frozenset[str] = frozenset(), drop: bool
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif drop and x is not node and (x.dropped or x.path in gone):
+        elif lists and x is not node and x.dropped:
             if x.tag not in INLINE:
                 flush()
         elif x.tag == "br":
@@ -178,22 +194,36 @@ def blocks(node: Node, gone: set[str] | frozenset[str] = frozenset(), drop: bool
             if block:
                 flush()
                 todo.append(None)
-            todo += reversed(x.children)
+            if x.path in gone:
+                todo += [c if not isinstance(c, str) else " " for c in reversed(x.children)]
+            else:
+                todo += reversed(x.children)
     flush()
     return out
 
 
-def style_rows(html: str | None) -> list[tuple[str, int, int]]:
-    """(path, content hash, presentation hash) of one page's style nodes; same-path elements are one node."""
-    content, shape, removed = defaultdict(list), defaultdict(list), set()
-    for node in walk(parse(html)):
-        if node.dropped or id(node.parent) in removed:
-            removed.add(id(node))
-            continue
-        texts = [" ".join(c.split()) for c in node.children if isinstance(c, str)]
-        content[node.path] += [t for t in texts if t]
+def style_rows(html: str | None) -> list[tuple[int, int, int, bool]]:
+    """(path, content hash, presentation hash, inside an article) of one page's style nodes; same-path elements are one node.
+
+    content is 0 for a node without text below it. Linear in the page, however deep it is.
+    """
+    nodes = walk(parse(html))
+    content, shape, inner = defaultdict(list), defaultdict(list), {}
+    for node in reversed(nodes):
+        parts = []
+        for c in node.children:
+            if not isinstance(c, str):
+                parts.append(str(c.content) if c.content else "")
+            elif not c.isspace():
+                parts.append(" ".join(c.split()))
+        text = "\n".join(filter(None, parts))
+        node.content = _number(text) if text else 0
+    for node in nodes:
+        if node.content:
+            content[node.path].append(node.content)
         shape[node.path] += [c.label for c in node.children if not isinstance(c, str)]
-    return [(p, _number("\n".join(content[p])) if content[p] else 0, _number(" ".join(dict.fromkeys(shape[p])))) for p in shape]
+        inner[node.path] = node.inner
+    return [(p, _number(" ".join(map(str, content[p]))) if content[p] else 0, _number(" ".join(dict.fromkeys(shape[p]))), inner[p]) for p in shape]
 
 
 def page_host(url_col: str = "url"):
@@ -201,8 +231,8 @@ def page_host(url_col: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, pages, importance, has_text) of each style node; has_text is 1 if it holds text of its own on some page.
+def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path, inner, pages, importance, has_text) of each style node; has_text is 1 if text lies below it on some page.
 
     Copies of a page count once. Counts are aggregated by content first and by node then, so a crowded host is no group.
     """
@@ -213,65 +243,70 @@ def style_trees(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 part = batch.slice(k, 256)
                 rows = [(h.as_py(), c.as_py(), *r) for h, c, t in zip(*part.columns) for r in style_rows(t.as_py())]
                 if rows:
-                    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["host", "page", "path", "content", "shape"])
+                    types = (pa.string(), *[pa.int64()] * 4, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["host", "page", "path", "content", "shape", "inner"])
 
     seen = pages.where(F.col(html_col).isNotNull()).select(page_host(url_col).alias("host"), F.xxhash64(html_col).alias("page"), F.col(html_col).cast("string"))
-    rows = seen.transform(arrow_map, run, "host string, page long, path string, content long, shape long").distinct()
-    by_content = rows.groupBy("host", "path", "content", "shape").agg(F.count("*").alias("n"))
-    texts = by_content.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).groupBy("host", "path")
-    forms = by_content.groupBy("host", "path", "shape").agg(F.sum("n").alias("n")).groupBy("host", "path")
+    rows = seen.transform(arrow_map, run, "host string, page long, path long, content long, shape long, inner boolean").distinct()
+    by_content = rows.groupBy("host", "path", "inner", "content", "shape").agg(F.count("*").alias("n"))
+    texts = by_content.groupBy("host", "path", "inner", "content").agg(F.sum("n").alias("n")).groupBy("host", "path", "inner")
+    forms = by_content.groupBy("host", "path", "inner", "shape").agg(F.sum("n").alias("n")).groupBy("host", "path", "inner")
     n = F.col("n")
     entropy = lambda: F.when(F.sum("n") > 1, (F.log(F.sum("n")) - F.sum(n * F.log(n)) / F.sum("n")) / F.log(F.sum("n"))).otherwise(1.0)
     text = texts.agg(F.sum("n").alias("pages"), entropy().alias("content"), F.max((F.col("content") != 0).cast("int")).alias("has_text"))
     form = forms.agg(entropy().alias("presentation"))
-    return text.join(form, ["host", "path"]).select("host", "path", "pages", F.greatest("content", "presentation").alias("importance"), "has_text")
+    return text.join(form, ["host", "path", "inner"]).select("host", "path", "inner", "pages", F.greatest("content", "presentation").alias("importance"), "has_text")
 
 
 def low_branches(trees: DataFrame) -> DataFrame:
-    """(host, gone): the paths to remove on each host that has any. A node below which anything is important stays."""
-    low = trees.where((F.col("importance") < LOW_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES) & (F.col("has_text") == 1))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.xxhash64(F.array_join(F.slice(parts, 1, k), "/")))
-    high = trees.where((F.col("importance") >= LOW_IMPORTANCE) & (F.size(parts) > 1)).select("host", F.explode(above).alias("node")).distinct()
-    low = low.withColumn("node", F.xxhash64("path")).join(high, ["host", "node"], "left_anti")
+    """(host, gone): hashes of the paths whose own text is removed on each host that has any."""
+    shared = ~F.col("inner") & (F.pow("pages", 1 - F.col("importance")) >= REPEATS)
+    low = trees.where(((F.col("importance") < LOW_IMPORTANCE) | shared) & (F.col("pages") >= LEAST_PAGES) & (F.col("has_text") == 1))
     return low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("gone"))
 
 
-def main_text(html: str | None, gone: set[str] | frozenset[str] = frozenset()) -> str:
+def main_text(html: str | None, gone: set[int] | frozenset[int] = frozenset(), lists: bool = True) -> str:
+    """The page's article: of the outermost article elements, else main ones, else the body, else the whole, the first that has text."""
     root = parse(html)
     tops: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
     removed, inside = set(), set()
     for node in walk(root):
-        if node.parent is not None and id(node.parent) in removed or node.dropped or node.path in gone:
+        above = node.parent
+        if above is not None and id(above) in removed or (lists and node.dropped):
             removed.add(id(node))
-        elif node.tag in tops and not (node.parent is not None and (id(node.parent), node.tag) in inside):
+        elif node.tag in tops and not (above is not None and (id(above), node.tag) in inside):
             tops[node.tag].append(node)
         for tag in tops:
-            if node.tag == tag or (node.parent is not None and (id(node.parent), tag) in inside):
+            if node.tag == tag or (above is not None and (id(above), tag) in inside):
                 inside.add((id(node), tag))
     for tag in ("article", "main", "body"):
-        if tops[tag] and (found := [t for n in tops[tag] for t in blocks(n, gone)]):
+        if tops[tag] and (found := [t for n in tops[tag] for t in blocks(n, gone, lists)]):
             return " ".join(found)
-    return " ".join(blocks(root, gone))
+    return " ".join(blocks(root, gone, lists))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lists: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
     Null or empty html gives an empty text. Null urls form one nameless host. Repeated rows stay and copies get equal
-    texts. Other columns are ignored, whatever their names; an empty table stays empty; pages may be of any length.
+    texts. Other columns are ignored, whatever their names; an empty table stays empty; pages may be of any length and
+    depth. Without ``lists`` the style trees alone decide what goes.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    gone = materialize(low_branches(materialize(style_trees(own, "page_id", "url", "html"), "style-trees")), "low-branches")
-    if gone.isEmpty():
-        joined = own.withColumn("gone", F.lit(None).cast("array<string>"))
+    gone = materialize(low_branches(materialize(style_trees(own), "style-trees")), "low-branches")
+    paths = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
+    hosted = own.withColumn("host", page_host("url"))
+    if not paths:
+        joined = own.withColumn("gone", F.lit(None).cast("array<long>"))
+    elif paths <= MOST_PATHS:
+        joined = hosted.join(F.broadcast(gone), "host", "left")
     else:
-        joined = own.withColumn("host", page_host("url")).join(gone, "host", "left")
+        sizes = hosted.groupBy("host").agg(F.count("*").alias("n")).join(gone, "host", "left")
+        joined = join_counted(hosted, sizes, "host", hot_limit(hosted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), frozenset(g.as_py() or ())) for h, g in zip(batch.column(2), batch.column(3))]
+            texts = [main_text(h.as_py(), frozenset(g.as_py() or ()), lists) for h, g in zip(batch.column(2), batch.column(3))]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lengths)], ["page_id", "url", "text", "n_chars"])
 

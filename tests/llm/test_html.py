@@ -1,8 +1,10 @@
 import re
+import time
 
 import html as entities
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import html_extract as H
 
@@ -24,6 +26,44 @@ def test_whole_table(spark):
         assert r.text == plain_article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def path(*labels):
+    at = 0
+    for x in labels:
+        at = H._number(x, at & H._MASK)
+    return at
+
+
+def test_tree_without_lists(spark):
+    """As pages of one host, with the lists off and the article element made a nameless one, the tree alone finds the articles."""
+    d = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    pages = {r.page_id: r for r in d.collect()}
+    bare = d.withColumn("url", F.lit("https://one.test/")).withColumn("html", F.regexp_replace(F.regexp_replace("html", "(</?)article>", "$1div>"), "[a-z.]+[.]example[.](com|net|org)", "one.test"))
+    low = H.low_branches(H.style_trees(bare)).collect()
+    assert len(low) == 1 and len(low[0].gone) >= 3
+    for r in H.extract(bare, lists=False).collect():
+        assert r.text == plain_article(pages[r.page_id].html)
+
+
+def test_only_the_tree_helps(spark):
+    """Unnamed menus and notices from a small stock beside an unmarked article; constant labels keep varying branches alive."""
+    notices = ["Save ten percent today", "Join our circle", "Read our rules"]
+    page = "<body><div class='q1'><a>Home</a><a>About</a></div><div class='q2'>{n}</div><div class='q3'><p>Story {k} of many</p><div class='q4'>Rated</div></div><div class='q5'>By staff <i>of room {k}</i></div></body>"
+    rows = [(k, f"https://plain.test/{k}", page.format(n=notices[k % 3], k=k)) for k in range(60)]
+    rows += [(1000 + k, f"https://a.test/{k}", f"<article>By the staff<p>Unique text {k}</p></article>") for k in range(20)]
+    rows += [(2000 + k, f"https://b.test/{k}", f"<body><div class=post>By the staff<p>Unique text {k}</p></div></body>") for k in range(20)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {k} of many By staff of room {k}" for k in range(60))
+    assert all(got[1000 + k] == got[2000 + k] == f"By the staff Unique text {k}" for k in range(20))
+
+
+@pytest.mark.parametrize("text", ['<a "' * 250000, '<a ="' * 200000, "<p a=" * 200000, "<p x='" * 100000 + '"', "<!--" * 250000, "<svg " * 200000, "=" * 1000000, "<b " + "a" * 1000000])
+def test_long_broken_pages_take_linear_time(text):
+    began = time.process_time()
+    H.main_text(text)
+    H.style_rows(text)
+    assert time.process_time() - began < 6
+
+
 CASES = {
     "<p>a</p><p>b &amp; c&nbsp;d</p>": "a b & c d",
     "<body><nav>x</nav><header>h</header><article><h1>T</h1><p>one<b>two</b> three</article><footer>f</footer>": "T onetwo three",
@@ -61,6 +101,7 @@ def test_deep_and_long_pages():
     assert H.main_text("<div>" * 30000 + "x" + "</div>" * 30000) == "x"
     assert H.main_text("<p>word</p>" * 20000) == " ".join(["word"] * 20000)
     assert H.main_text("<" * 50000).count("<") == 50000
+    assert len(H.style_rows("<div>" * 100000 + "x")) == 100001
 
 
 def test_style_tree_removes_what_repeats(spark):
@@ -72,9 +113,9 @@ def test_style_tree_removes_what_repeats(spark):
     assert all(got[k] == f"Story {k} {'ab' * k}".strip() for k in range(30))
     assert all(got[100 + k] == "Welcome same" for k in range(4)) and all(got[200 + k] == "Hello only story" for k in range(40))
     trees = {(r.host, r.path): r for r in H.style_trees(df).collect()}
-    node = trees["site.test", "//body/div.story/p"]
+    node = trees["site.test", path("", "body", "div.story", "p")]
     assert node.pages == 30 and node.importance == pytest.approx(1.0)
-    assert trees["site.test", "//body/div.tail"].importance == pytest.approx(0.0)
+    assert trees["site.test", path("", "body", "div.tail")].importance == pytest.approx(0.0)
 
 
 def test_constant_labels_beside_varying_text(spark):
