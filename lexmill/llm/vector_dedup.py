@@ -3,7 +3,7 @@
 Two codebooks, learnt apart on the two halves of the unit vectors, span a grid of cells. Each vector lies in one cell
 and probes cells in the order of the multi-sequence traversal (ascending sum of its two halves' squared distances), as
 many as a sample needs for the target recall. What lies in a probed cell is verified by cosine in double precision.
-Equal vectors are one class. A cell's residents are dealt into blocks, so that a crowded cell is spread over tasks;
+Vectors of each length have an index and cells of their own. Equal vectors are one class. A cell's residents are dealt into blocks, so that a crowded cell is spread over tasks;
 tasks send out link counts and spanning links only, never all pairs.
 """
 
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,10 @@ SAMPLE_ROWS = 8_000
 #: Words of a codebook: so many that a cell has about CELL_ROWS vectors, within these bounds.
 LEAST_WORDS, MOST_WORDS, CELL_ROWS = 4, 256, 64
 TARGET_RECALL = 0.995
-MOST_PROBES = 64
+#: Traversals are tried up to this length first, then four times as long, up to the whole grid, until the target is met.
+FIRST_PROBES = 64
+#: So many lengths have codebooks, the most frequent ones; a rarer length is one cell, so all its pairs are compared.
+FITTED_LENGTHS = 64
 BLOCK_ROWS = 1024
 ROUNDS, SEED = 12, 11
 
@@ -87,56 +91,86 @@ class MultiIndex:
         return out
 
 
+def one_cell(dim: int) -> MultiIndex:
+    """A grid of one cell: every vector meets every other."""
+    return MultiIndex(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), 1)
+
+
+def _sample_links(sample: np.ndarray, cosine: float) -> np.ndarray:
+    near = []
+    for k in range(0, len(sample), 512):
+        i, j = np.nonzero(sample[k : k + 512] @ sample.T >= cosine)
+        near.append(np.column_stack([i + k, j])[i + k != j])
+    return np.concatenate(near)
+
+
+def _at_limit(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """For each vector one in a random direction whose cosine with it is the limit."""
+    away = np.random.default_rng(SEED).normal(size=sample.shape)
+    away -= (away * sample).sum(1)[:, None] * sample
+    away /= np.maximum(np.linalg.norm(away, axis=1), 1e-300)[:, None]
+    return cosine * sample + np.sqrt(1 - cosine * cosine) * away
+
+
 def fit(sample: np.ndarray, rows: int, cosine: float = COSINE, target: float = TARGET_RECALL) -> MultiIndex:
-    """Codebooks for ``rows`` vectors in all, and the least traversal length that finds ``target`` of the sample's links."""
+    """Codebooks for ``rows`` vectors in all, and the least traversal length that finds ``target`` of the sample's links.
+
+    A sample without links is measured on made-up partners at the limit. If no shorter traversal meets the target, the
+    whole grid is traversed, which loses nothing.
+    """
     words = LEAST_WORDS
     while words < MOST_WORDS and words * words * 4 * CELL_ROWS <= rows:
         words *= 2
     if not len(sample):
-        return MultiIndex(np.zeros((1, 0)), np.zeros((1, 0)), 1)
+        return one_cell(sample.shape[1])
     h = sample.shape[1] // 2
     index = MultiIndex(_codebook(sample[:, :h], words), _codebook(sample[:, h:], words), 1)
-    most = min(MOST_PROBES, len(index.first) * len(index.second))
-    near = []
-    for k in range(0, len(sample), 512):
-        i, j = np.nonzero(sample[k : k + 512] @ sample.T >= cosine)
-        near.append(np.column_stack([i + k, j])[i + k != j])
-    pairs = np.concatenate(near)
-    if not len(pairs):
-        return MultiIndex(index.first, index.second, min(most, 16))
+    pairs = _sample_links(sample, cosine)
     pairs = pairs[np.random.default_rng(SEED).permutation(len(pairs))[:50_000]]
-    asked = np.unique(pairs[:, 0])
-    cells = index.cells(sample[asked], most)
     own = index.cells(sample, 1)[:, 0]
-    hit = cells[np.searchsorted(asked, pairs[:, 0])] == own[pairs[:, 1]][:, None]
-    rank = np.where(hit.any(1), hit.argmax(1), most)
+    if len(pairs):
+        asked, at = np.unique(pairs[:, 0], return_inverse=True)
+        vectors, home = sample[asked], own[pairs[:, 1]]
+    else:
+        at, vectors, home = np.arange(len(sample)), _at_limit(sample, cosine), own
     # a group's size must not drown the hard pairs: every asked vector weighs the same
-    weight = 1 / np.bincount(np.searchsorted(asked, pairs[:, 0]))[np.searchsorted(asked, pairs[:, 0])]
-    found = np.bincount(rank, weight, most + 1)[:most].cumsum() / weight.sum()
-    enough = np.flatnonzero(found >= target)
-    return MultiIndex(index.first, index.second, int(enough[0]) + 1 if len(enough) else most)
+    weight = 1 / np.bincount(at)[at]
+    grid, most = len(index.first) * len(index.second), FIRST_PROBES
+    while most < grid:
+        hit = index.cells(vectors, most)[at] == home[:, None]
+        rank = np.where(hit.any(1), hit.argmax(1), most)
+        found = np.bincount(rank, weight, most + 1)[:most].cumsum() / weight.sum()
+        if (enough := np.flatnonzero(found >= target)).size:
+            return MultiIndex(index.first, index.second, int(enough[0]) + 1)
+        most *= 4
+    hit = index.cells(vectors, grid)[at] == home[:, None]
+    found = np.bincount(hit.argmax(1), weight, grid).cumsum() / weight.sum()
+    return MultiIndex(index.first, index.second, int(np.flatnonzero(found >= min(target, found[-1]))[0]) + 1)
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equal length."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), "<f8")
-    return flat.reshape(-1, dim)
 
+def _place(indexes: dict[int, MultiIndex]):
+    """Unit vectors with their cell and the cells they probe; a cell's upper half is the length of its vectors."""
 
-def _place(index: MultiIndex, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            if not len(x):
-                continue
-            unit = x / np.linalg.norm(x, axis=1)[:, None]
-            cells = index.cells(unit)
-            vec = pa.array([r.tobytes() for r in unit.astype("<f8")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), vec, pa.array(cells[:, 0]), pa.array(list(cells), pa.list_(pa.int64()))], ["rep", "n", "vec", "cell", "probes"])
+            sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for dim in map(int, np.unique(sizes)):
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                unit = x / np.linalg.norm(x, axis=1)[:, None]
+                cells = (indexes.get(dim) or one_cell(dim)).cells(unit) + (dim << 32)
+                vec = pa.array([r.tobytes() for r in unit.astype("<f8")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), vec, pa.array(cells[:, 0]), pa.array(list(cells), pa.list_(pa.int64()))], ["rep", "n", "vec", "cell", "probes"])
 
     return run
 
 
-def _verify(dim: int, cosine: float):
+def _verify(cosine: float):
     """Per (cell, blk): first the residents, then the probes in a stream; link counts and spanning links go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +204,7 @@ def _verify(dim: int, cosine: float):
                 if s == e:
                     continue
                 part = batch.slice(s, e - s)
-                rows = {"rep": part.column(3).to_numpy(), "n": part.column(4).to_numpy(), "vec": _matrix(part.column(5), dim), "own": part.column(6).to_numpy()}
+                rows = {"rep": part.column(3).to_numpy(), "n": part.column(4).to_numpy(), "vec": _matrix(part.column(5)), "own": part.column(6).to_numpy()}
                 if kind[s] == 0:
                     probes = np.array(part.column(7).to_pylist(), np.int64).reshape(e - s, -1)
                     more = key == (cell[s], blk[s])
@@ -183,34 +217,43 @@ def _verify(dim: int, cosine: float):
     return run
 
 
+def _fit_lengths(classes: DataFrame, cosine: float) -> dict[int, MultiIndex]:
+    """An index for each of the FITTED_LENGTHS most frequent lengths, each on its share of the sample."""
+    size = F.size("v")
+    counts = {r.d: r["count"] for r in classes.groupBy(size.alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(FITTED_LENGTHS).collect()}
+    # the threshold lets through some rows more than the sample has, so that tasks don't send a sample each
+    place = F.pmod(F.xxhash64("rep", "v"), F.lit(1 << 40))
+    share = min(1.0, 1.2 * SAMPLE_ROWS / max(1, sum(counts.values())))
+    some = classes.where(size.isin(list(counts)) & (place < int(share * (1 << 40)))).orderBy(place, "rep").limit(SAMPLE_ROWS).select("v").collect()
+    out = {}
+    for dim, rows in counts.items():
+        sample = np.array([r.v for r in some if len(r.v) == dim], float).reshape(-1, dim)
+        norm = np.linalg.norm(sample, axis=1)
+        out[dim] = fit(sample / np.maximum(norm, 1e-300)[:, None], rows, cosine)
+    return out
+
+
 def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do those whose length
-    is not the most frequent one (of several, the greatest). Repeated rows count as separate vectors that link. A null
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; others link only with
+    vectors of their own length. Repeated rows count as separate vectors that link. A null
     vec_id is counted as a partner but has no component of its own: it shows that of its equals, else null, and is kept
     only then. Other columns are ignored; an empty table stays empty.
     """
     every = materialize(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")), "vectors")
-    spark = every.sparkSession
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    lengths = every.where(good).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = lengths.d if lengths else 1
-    usable = every.where(good & (F.size("v") == dim))
+    usable = every.where(good)
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep is not null").select("rep", "n", "v"), "vector-classes")
-    rows = classes.count()
-    sample = np.array([r.v for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_ROWS).select("v").collect()], float).reshape(-1, dim)
-    unit = sample / np.maximum(np.linalg.norm(sample, axis=1), 1e-300)[:, None]
-    index = fit(unit, rows, cosine)
-    placed = materialize(classes.transform(arrow_map, _place(index, dim), "rep long, n long, vec binary, cell long, probes array<long>"), "vector-cells")
+    placed = materialize(classes.transform(arrow_map, _place(_fit_lengths(classes, cosine)), "rep long, n long, vec binary, cell long, probes array<long>"), "vector-cells")
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("g"))
     residents = placed.join(cells, "cell").select("cell", F.pmod(F.xxhash64("rep"), "g").cast("int").alias("blk"), F.lit(0).alias("kind"), "rep", "n", "vec", F.col("cell").alias("own"), "probes")
     probes = placed.select(F.col("cell").alias("own"), F.explode("probes").alias("cell"), "rep", "n", "vec").join(cells, "cell")
     none = F.lit(None).cast("array<long>").alias("probes")
     probes = probes.select("cell", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("blk"), F.lit(1).alias("kind"), "rep", "n", "vec", "own", none)
     met = residents.unionByName(probes).repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
-    found = materialize(met.transform(arrow_map, _verify(dim, cosine), "a long, b long, links long"), "vector-links")
+    found = materialize(met.transform(arrow_map, _verify(cosine), "a long, b long, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     by_class = classes.join(counts, classes.rep == counts.node, "left").drop("node").join(components, F.col("rep") == F.col("node"), "left")

@@ -50,7 +50,7 @@ def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (11, [0.0, -1.0]), (11, [0.0, -1.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, n_links string")
     got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_components(df).collect())
-    alone = [(i, 0, i, True) for i in range(4, 11)]
+    alone = [(i, 0, i, True) for i in range(4, 11)]  # 10 has a length of its own
     assert got == [(0, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), *alone, (11, 1, 11, True), (11, 1, 11, True)]
     assert vector_dedup.vector_components(df.limit(0)).count() == 0
 
@@ -62,3 +62,47 @@ def test_multi_sequence(n):
     want = heapq.nsmallest(n, [x + y for x in a for y in b])
     got = vector_dedup.multi_sequence(a, b, n)
     assert np.allclose([a[i] + b[j] for i, j in got], want) and len(set(got)) == len(got)
+
+
+def test_every_length_links(spark):
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for dim, n in ((4, 40), (2, 2), (8, 30)):
+        centres = rng.normal(size=(n, dim))
+        for c in centres:
+            for scale in (1.0, 3.0):
+                rows.append((at, (scale * c).tolist()))
+                at += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.vector_components(df).collect()}
+    for dim in (2, 4, 8):
+        own = [r for r in rows if len(r[1]) == dim]
+        want = brute(np.array([i for i, _ in own]), np.array([v for _, v in own]))
+        assert {i: got[i] for i, _ in own} == want
+
+
+def test_rare_lengths_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "FITTED_LENGTHS", 1)
+    rows = [(k, [1.0, float(k)]) for k in range(6)] + [(10 + k, [1.0, 0.01 * k, 0.0]) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.vector_components(df).collect()}
+    assert all(got[10 + k] == (3, 10) for k in range(4))
+
+
+def test_traversal_grows_until_the_target(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = vector_dedup._at_limit(x, 0.95)
+    assert np.allclose((near * x).sum(1), 0.95) and np.allclose(np.linalg.norm(near, axis=1), 1)
+    both = np.vstack([x, near])
+    monkeypatch.setattr(vector_dedup, "LEAST_WORDS", 16)
+    monkeypatch.setattr(vector_dedup, "FIRST_PROBES", 1)
+    for sample in (both, x):  # with links of its own, and with partners made up at the limit
+        index = vector_dedup.fit(sample, len(sample))
+        assert index.probes > 1
+        fresh = vector_dedup._at_limit(x, 0.95)
+        home = index.cells(x, 1)[:, 0]
+        assert (index.cells(fresh) == home[:, None]).any(1).mean() >= 0.97
+    whole = vector_dedup.fit(both, len(both), target=1.0)
+    assert whole.probes <= 256
