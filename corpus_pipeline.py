@@ -14,17 +14,31 @@ from lexmill.llm.columns import kept_rows
 from lexmill.sources.tables import materialize, read_table
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside the columns that a stage reads, so that no column of the row can clash with results."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: the base rules and the log-likelihood ratio."""
+    """Rejected documents go: the base rules and the log-likelihood ratio.
+
+    Null and empty texts fail the base rules and go. Repeated rows are judged alike, each by itself, so there are no
+    ties. A null doc_id is never trusted. All columns pass, whatever their names; an empty table stays empty.
+    """
     trusted = quality_rules.trusted_ids(read_table(spark, sf_dir, "labels"))
-    judged = quality_rules.apply_rules(docs, quality_rules.fit_weights(docs, trusted))
-    return kept_rows(judged, F.col("kept"), docs.columns)
+    judged = quality_rules.apply_rules(_whole(docs), quality_rules.fit_weights(docs, trusted))
+    return kept_rows(judged, F.col("kept"), ["row.*"])
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble scores below its cut go."""
+    """Documents that the rule ensemble scores below its cut go.
+
+    Null and empty texts are scored like any. Repeated rows score alike; a score equal to the cut stays. Without labels
+    of both classes all documents score alike, and without any label 0 they all stay. All columns pass, whatever their
+    names; an empty table stays empty.
+    """
     model = rule_ensemble.train(docs, read_table(spark, sf_dir, "labels"))
-    return kept_rows(rule_ensemble.score(docs, model), F.col("predicted") == 1, docs.columns)
+    return kept_rows(rule_ensemble.score(_whole(docs), model), F.col("predicted") == 1, ["row.*"])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +47,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; n_chars follows the text."""
+    """Personal data is replaced by its kind in brackets; n_chars follows the text.
+
+    Null texts stay null, and so does their n_chars; empty ones have no span. Overlapping spans are masked as one; repeated rows are masked alike; an empty table stays empty.
+    """
     seen = materialize(pii.scan(docs), "pii")
     out = pii.mask(seen, pii.fit(seen))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

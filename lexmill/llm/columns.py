@@ -50,3 +50,11 @@ def kept_rows(df: DataFrame, condition: Column, columns: list[str]) -> DataFrame
     """
     marked_rows = df.withColumn("_settled", F.monotonically_increasing_id())
     return marked_rows.where(condition & (F.col("_settled") >= 0)).select(*columns)
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores in front until no column is named so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.columns import count_of, let, lines_of, marked, words_of
+from lexmill.llm.columns import count_of, let, lines_of, marked, spare_name, words_of
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -59,16 +59,17 @@ def repeat_words(words: Column) -> Column:
 def rule_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (null text: empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumns({"_words": words_of(text), "_lines": lines_of(text)})
+    words, lines = spare_name(docs, "_words"), spare_name(docs, "_lines")
+    out = docs.withColumns({words: words_of(text), lines: lines_of(text)})
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
             "n_symbols": count_of(text, SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeat_words(F.col("_words")),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_repeat_words": repeat_words(F.col(words)),
         }
-    ).drop("_words", "_lines")
+    ).drop(words, lines)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 

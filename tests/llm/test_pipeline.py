@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_pii import slow
 from test_quality import slow_rules
 from test_simhash import similar_groups
@@ -74,3 +75,14 @@ def test_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs.limit(0), "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_columns_named_like_results_stay(spark):
+    names = ("kept", "log_ratio", "n_words", "score", "predicted", "_words", "_lines", "_row", "row", "spans", "label", "hash")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        wide = stage(spark, wide, "/root/testdata/sf0.001")
+        rows = wide.collect()
+        assert rows and wide.columns == [*docs.columns, *names]
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
