@@ -42,9 +42,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), an own temporary one."""
+    """The folder in spark.checkpoint.dir; on a local master without one, an own temporary one."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
