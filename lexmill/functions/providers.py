@@ -15,6 +15,7 @@ import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+from lexmill.functions.text import normalized
 from lexmill.params import DEFAULT, Params
 
 DIMS = 512
@@ -30,15 +31,20 @@ def grams(text: str, n: int = 3) -> list[str]:
     return [text] if len(text) < n else [text[k : k + n] for k in range(len(text) - n + 1)]
 
 
+def bucket(gram: str, dims: int = DIMS) -> int:
+    """Fixed rule: the 4-byte BLAKE2b digest as a big-endian number, modulo the number of dimensions."""
+    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=4).digest(), "big") % dims
+
+
 class DevProvider:
-    """Hashed trigrams as embeddings, an echo as answer: deterministic, for tests and dry runs."""
+    """Hashed trigrams of the normalised text as embeddings, an echo as answer: deterministic, for tests and dry runs."""
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
             v = [0.0] * DIMS
-            for g in grams(text):
-                v[int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % DIMS] += 1.0
+            for g in grams(normalized(text)):
+                v[bucket(g)] += 1.0
             norm = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / norm for x in v])
         return out

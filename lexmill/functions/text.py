@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -97,6 +98,13 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+def normalized(text: str) -> str:
+    """The same as normalize, for one string."""
+    first = text.translate(str.maketrans(FIRST_FROM, FIRST_TO)).lower()
+    plain = re.sub("[\u0300-\u036f]+", "", first.translate(str.maketrans(*accent_table())))
+    return re.sub("[^a-z0-9]+", " ", plain).strip()
+
+
 def clean_text(text: Column) -> Column:
     """No-break spaces become spaces, zero-width ones vanish, runs of blanks shrink, ends are trimmed."""
     plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(" ")), F.lit("​"), F.lit(""))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.providers import DIMS, bucket
 from lexmill.functions.text import char_grams
 from lexmill.sources.tables import arrow_map
 
@@ -81,9 +82,20 @@ def _against(vectors: DataFrame, asked: list, k: int) -> DataFrame:
     return vectors.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).transform(arrow_map, run, "qid long, doc_id long, sim double")
 
 
-def hash_embedding(rows: DataFrame, text: Column, id_col: str, dims: int = 512) -> DataFrame:
-    """Sparse unit vectors (id, dim, weight) of hashed character trigrams: bucket = first 32 bits of md5 modulo dims."""
-    bucket = (F.conv(F.substring(F.md5(F.col("gram")), 1, 8), 16, 10).cast("long") % dims).cast("int")
-    counts = rows.select(F.col(id_col), F.explode(char_grams(text)).alias("gram")).groupBy(id_col, bucket.alias("dim")).agg(F.count("*").alias("n"))
+def hash_embedding(rows: DataFrame, text: Column, id_col: str, dims: int = DIMS) -> DataFrame:
+    """Sparse unit vectors (id, dim, weight) of hashed character trigrams, those of the development provider.
+
+    Null text counts as empty, whose only gram is the empty one. Only counts by dimension are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram = batch.column(1).dictionary_encode()
+            place = np.array([bucket(g, dims) for g in gram.dictionary.to_pylist()], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place[gram.indices.to_numpy(zero_copy_only=False)])], [id_col, "dim"])
+
+    id_type = rows.schema[id_col].dataType.simpleString()
+    grams = rows.select(F.col(id_col), F.explode(char_grams(text)).alias("gram"))
+    counts = grams.transform(arrow_map, run, f"`{id_col}` {id_type}, dim int").groupBy(id_col, "dim").agg(F.count("*").alias("n"))
     norm = counts.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     return counts.join(norm, id_col).select(id_col, "dim", F.round(F.col("n") / F.col("norm"), 6).alias("weight"))

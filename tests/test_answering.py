@@ -1,5 +1,6 @@
 """Providers, the answer pipeline and the command line."""
 
+import hashlib
 import json
 import sys
 import threading
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill import cli
 from lexmill.functions import providers
-from lexmill.operators import answering
+from lexmill.operators import answering, vectors
 from lexmill.params import Params
 
 DIR = "/root/testdata/sf0.001"
@@ -133,3 +134,25 @@ def test_command_line(spark, capsys, monkeypatch, tmp_path):
     monkeypatch.setattr("sys.stdin", iter(["madde 3\n", "exit\n"]))
     assert run("chat") == 0
     assert run("ingest", str(tmp_path / "out"), str(tmp_path / "mark")) == 0 and spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_hash_embedding_is_the_development_provider(spark):
+    texts = [(1, "Kira sözleşmesi, İHBAR süresi"), (2, ""), (3, None), (4, "ab"), (5, "ÇĞİÖŞÜ âîû Straße x" * 30), (6, "--")]
+    df = spark.createDataFrame(texts, "item_id long, text string")
+    want = providers.DevProvider().embed([t or "" for _, t in texts])
+    got = {}
+    for r in vectors.hash_embedding(df, F.col("text"), "item_id").collect():
+        got.setdefault(r.item_id, {})[r.dim] = r.weight
+    for (i, _), v in zip(texts, want):
+        assert got[i] == {d: round(x, 6) for d, x in enumerate(v) if x}
+    # fixed value: the digest of "abc" cut to four bytes
+    assert providers.bucket("abc") == int(hashlib.blake2b(b"abc", digest_size=4).hexdigest(), 16) % 512
+
+
+def test_semi_delete_leaves_and_deletes(spark):
+    from lexmill.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    every = {r.source for r in spark.read.parquet(f"{d}/documents.parquet").select("source").distinct().collect()}
+    left = {r.source for r in QUERIES["semi_delete"](spark, d).collect()}
+    assert left and left < every
