@@ -1,4 +1,4 @@
-"""Prefix full-text search for many queries at once: postings, document frequency, selective terms, BM25.
+"""Prefix full-text search for many queries at once: tokens, document frequency, selective terms, BM25.
 
 Inputs: docs(doc_id, field, ...) and queries(qid, text). Terms come from functions.text.query_terms; a term ending in *
 is a prefix, any other is exact. Prefixes meet tokens by equality of the token's own prefixes, so there is no theta join.
@@ -12,11 +12,16 @@ from pyspark.sql import Window as W
 
 from lexmill.functions.text import query_terms, words
 from lexmill.params import DEFAULT, Params
+from lexmill.sources.tables import materialize
 
 
-def postings(docs: DataFrame, normalized: Column, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, token, tf), aggregated per document before anything else sees the tokens."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(words(normalized)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+#: Pairs of a term and a token it stands for that may be broadcast; more of them meet the tokens by a shuffle.
+MOST_MATCHES = 1_000_000
+
+
+def tokens(docs: DataFrame, normalized: Column, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, words): one row a document; its tokens stay together, so nothing is shuffled before terms have chosen."""
+    return docs.select(F.col(id_col).alias("doc_id"), words(normalized).alias("words"))
 
 
 def terms(queries: DataFrame, text: Column | None = None) -> DataFrame:
@@ -24,12 +29,12 @@ def terms(queries: DataFrame, text: Column | None = None) -> DataFrame:
     return queries.select("qid", F.posexplode(query_terms(F.col("text") if text is None else text)).alias("place", "term"))
 
 
-def matches(post: DataFrame, wanted: DataFrame) -> DataFrame:
+def matches(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     """(term, token) for every vocabulary token that a term stands for."""
     distinct = wanted.select("term").distinct()
     key = distinct.select("term", F.regexp_replace("term", r"\*$", "").alias("key"), F.endswith(F.col("term"), F.lit("*")).alias("prefix"))
     longest = F.lit(64)  # terms are cut from words, and longer words than this stay exact below
-    vocabulary = post.select("token").distinct()
+    vocabulary = tokens.select(F.explode("words").alias("token")).distinct()
     starts = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), longest)), lambda n: F.substring(F.col("token"), F.lit(1), n))
     by_prefix = vocabulary.select("token", F.explode(starts).alias("key")).join(key.where("prefix and length(key) <= 64"), "key").select("term", "token")
     exact = vocabulary.join(key.where("not prefix"), F.col("token") == F.col("key")).select("term", "token")
@@ -37,9 +42,16 @@ def matches(post: DataFrame, wanted: DataFrame) -> DataFrame:
     return by_prefix.unionByName(exact).unionByName(long)
 
 
-def term_documents(post: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, doc_id, tf): a prefix term counts every token that it matches."""
-    return post.join(matches(post, wanted), "token").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+def term_documents(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, n_tokens): a prefix term counts every token that it matches; n_tokens is the document's length.
+
+    Only tokens that a term stands for leave the rows, counted per document in the map task.
+    """
+    met = materialize(matches(tokens, wanted), "term-tokens")
+    if met.count() <= MOST_MATCHES:
+        met = F.broadcast(met)
+    each = tokens.select("doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("token"))
+    return each.join(met, "token").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("n_tokens").alias("n_tokens"))
 
 
 def document_frequency(term_docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -58,19 +70,15 @@ def selective_terms(wanted: DataFrame, df: DataFrame, n_docs: int, p: Params = D
     return ranked.where(F.when(F.col("any_fits"), F.col("fits")).otherwise(F.col("rank") <= p.rare_terms)).select("qid", "place", "term", "df")
 
 
-def bm25(kept: DataFrame, term_docs: DataFrame, lengths: DataFrame, n_docs: int, average: float, p: Params = DEFAULT) -> DataFrame:
+def bm25(kept: DataFrame, term_docs: DataFrame, n_docs: int, average: float, p: Params = DEFAULT) -> DataFrame:
     """(qid, doc_id, score): the sum over a query's kept terms of idf * saturated tf."""
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, 1e-6).otherwise(idf)
     norm = p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("n_tokens") / F.lit(float(average)))
-    scored = kept.join(term_docs, "term").join(lengths, "doc_id")
+    scored = kept.join(term_docs, "term")
     return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(weight * F.col("tf") * (p.bm25_k1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
 
 
-def lengths(post: DataFrame) -> DataFrame:
-    return post.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"))
-
-
 def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_id") -> DataFrame:
     """The k best of each query with their 1-based rank; ties by id."""
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), id_col))

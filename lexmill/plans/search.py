@@ -36,27 +36,24 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class Index:
-    post: DataFrame
-    lengths: DataFrame
+    tokens: DataFrame
     n_docs: int
     average: float
 
 
 def build_index(docs: DataFrame) -> Index:
-    """Postings and document lengths, each used by several steps of a search; kept in memory or on disk as they fit."""
-    post = lexical.postings(docs, search_text()).cache()
-    sizes = lexical.lengths(post)
-    n_docs = docs.count()
-    average = sizes.agg(F.sum("n_tokens")).first()[0] or 0
-    return Index(post, sizes, n_docs, average / max(1, n_docs))
+    """Each document's tokens, used by several steps of a search; kept in memory or on disk as they fit."""
+    tokens = lexical.tokens(docs, search_text()).cache()
+    n_docs, total = tokens.agg(F.count("*"), F.sum(F.size("words"))).first()
+    return Index(tokens, n_docs, (total or 0) / max(1, n_docs))
 
 
 def lexical_channel(index: Index, asked: DataFrame, p: Params = DEFAULT, synonyms: bool = True) -> DataFrame:
     """(qid, doc_id, score) by BM25 over each question's selective terms."""
     wanted = lexical.terms(asked, synonym_expand(F.col("text")) if synonyms else None)
-    found = lexical.term_documents(index.post, wanted).cache()
+    found = lexical.term_documents(index.tokens, wanted).cache()
     kept = lexical.selective_terms(wanted, lexical.document_frequency(found, wanted), index.n_docs, p)
-    return lexical.bm25(kept, found, index.lengths, index.n_docs, index.average, p)
+    return lexical.bm25(kept, found, index.n_docs, index.average, p)
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_fusion_rules(spark):
 
 def test_rare_terms_when_all_are_frequent(spark):
     docs = spark.createDataFrame([(i, f"common word{i % 2} all") for i in range(10)], "doc_id long, content string")
-    post = lexical.postings(docs, F.col("content"))
+    post = lexical.tokens(docs, F.col("content"))
     asked = spark.createDataFrame([(1, "common all word0 absent")], "qid long, text string")
     wanted = lexical.terms(asked)
     df = lexical.document_frequency(lexical.term_documents(post, wanted), wanted)
@@ -96,7 +96,7 @@ def test_plans(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
     plan = QUERIES["chunk_documents"](spark, DIR)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
-    lex = lexical.matches(lexical.postings(search.corpus(spark, DIR), search.search_text()), lexical.terms(search.questions(spark, DIR)))
+    lex = lexical.matches(lexical.tokens(search.corpus(spark, DIR), search.search_text()), lexical.terms(search.questions(spark, DIR)))
     assert "NestedLoop" not in lex._jdf.queryExecution().toString() and "Cartesian" not in lex._jdf.queryExecution().toString()
 
 
