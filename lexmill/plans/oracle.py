@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexmill.functions.answers import IRRELEVANT, NOTHING, RELEVANT, SAMPLE, SYSTEM_PROMPT, UNKNOWN
-from lexmill.functions.html import ENTITIES
+from lexmill.functions.answers import CITATION, IRRELEVANT, NOTHING, RELEVANT, SAMPLE, SYSTEM_PROMPT, UNKNOWN
+from lexmill.functions.html import ENTITIES, FOOTNOTE_MARKS
 from lexmill.functions.text import FIRST_FROM, FIRST_TO, LAWS, STOP_WORDS, SYNONYMS
 from lexmill.params import DEFAULT as P
 
@@ -98,8 +98,8 @@ BODY = rf"body0 AS (SELECT page_id, {BODY_PLAIN} AS h FROM pages), body AS (SELE
 
 
 def plain(x: str) -> str:
-    for pattern in (r"(?is)<sup\b[^>]*>.*?</sup>", r"(?is)<span[^>]*vertical-align:\s*super[^>]*>.*?</span>", r"(?is)<a[^>]*href=[\"'']?#_ftn[^>]*>.*?</a>", r"(?is)<[^>]+>"):
-        x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+    for pattern in (FOOTNOTE_MARKS, r"(?is)<[^>]+>"):
+        x = f"regexp_replace({x}, {lit(pattern)}, ' ', 'g')"
     for name, char in ENTITIES.items():
         x = f"replace({x}, {lit(name)}, {lit(char)})"
     return rf"trim(regexp_replace(replace({x}, chr(160), ' '), '\s+', ' ', 'g'))"
@@ -114,14 +114,13 @@ texts AS (SELECT page_id, pl, tag, regexp_extract(attrs, 'class=["'']?([A-Za-z0-
 cleaned AS (SELECT *, trim(regexp_replace(regexp_replace(text_raw, '\[\d+\]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM texts WHERE NOT regexp_matches(css, '(?i)(footnotetext|footer)')),
 blocks AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pl) - 1 AS pos, tag, css, centered, text, length({norm('bold')}) AS bold_chars, length({norm('text_raw')}) AS chars FROM cleaned WHERE text <> '')"""
 
-CITE = r"(?:\[\s*)([A-ZÇĞİÖŞÜ]{2,6})\s*m\.?\s*((?:GEÇİCİ|EK)?\s*\d+(?:/[A-Za-zÇĞİÖŞÜçğıöşü])?)\s*[^\]]*\]"
-ANSWERS = r"""answers AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN left(text, 300) || ' [ABC m. ' || conv_id || '] ve [ABC m.  ' || (conv_id + 1) || ']' WHEN 1 THEN 'DAYANAK: [ABC m. ' || conv_id || ']' || chr(10) || 'CEVAP: ' || left(text, 300)
-  WHEN 2 THEN 'Bağlamda yok: ' || left(text, 300) WHEN 3 THEN '[ABC m. EK ' || conv_id || '/a] ' || left(text, 300) ELSE left(text, 300) END AS answer,
+ANSWERS = r"""answers AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN text || ' [ABC m. ' || conv_id || '] ve [ABC m.  ' || (conv_id + 1) || ']' WHEN 1 THEN 'DAYANAK: [ABC m. ' || conv_id || ']' || chr(10) || 'CEVAP: ' || text
+  WHEN 2 THEN 'Bağlamda yok: ' || text WHEN 3 THEN '[ABC m. EK ' || conv_id || '/a] ' || text ELSE text END AS answer,
   'ABC m. ' || conv_id AS shown1, 'ABC m. EK ' || conv_id || '/A' AS shown2, conv_id % 7 <> 0 AS in_scope FROM conversations WHERE role = 'assistant')"""
 
 
 def cited_of(source: str, text: str, name: str) -> str:
-    return rf"""{name}_e AS (SELECT conv_id, turn, unnest(regexp_extract_all({text}, '{CITE}', 1)) AS a, unnest(regexp_extract_all({text}, '{CITE}', 2)) AS b, unnest(range(len(regexp_extract_all({text}, '{CITE}', 1)))) AS pl FROM {source}),
+    return rf"""{name}_e AS (SELECT conv_id, turn, unnest(regexp_extract_all({text}, {lit(CITATION)}, 1)) AS a, unnest(regexp_extract_all({text}, {lit(CITATION)}, 2)) AS b, unnest(range(len(regexp_extract_all({text}, {lit(CITATION)}, 1)))) AS pl FROM {source}),
 {name} AS (SELECT conv_id, turn, upper(a) || ' m. ' || upper(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS cite, min(pl) AS pl FROM {name}_e GROUP BY ALL)"""
 
 
@@ -205,8 +204,8 @@ SELECT doc_id, part_no, parts, length(chunk) AS chars, md5(chunk) AS md5 FROM (S
 
 # the made-up statutes hold no section switch and no end mark, so neither is in this SQL; the tests hold both against a state machine
 OUTLINED = r"""WITH l AS (SELECT doc_id AS source_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
-b AS (SELECT source_id, pos, (pos + source_id) % 12 AS k, CASE WHEN (pos + source_id) % 12 = 0 THEN 'BİRİNCİ BÖLÜM' WHEN (pos + source_id) % 12 = 2 THEN 'A. ' || left(line, 30) WHEN (pos + source_id) % 12 = 3 THEN 'I. ' || left(line, 30)
-  WHEN (pos + source_id) % 12 IN (4, 6, 9) THEN 'MADDE ' || (pos + 1) || '- ' || line WHEN (pos + source_id) % 12 = 8 THEN '2. ' || left(line, 30) WHEN (pos + source_id) % 12 = 11 THEN 'İKİNCİ AYIRIM' ELSE trim(line) END AS text FROM l),
+b AS (SELECT source_id, pos, (pos + source_id) % 12 AS k, CASE WHEN (pos + source_id) % 12 = 0 THEN 'BİRİNCİ BÖLÜM' WHEN (pos + source_id) % 12 = 2 THEN 'A. ' || line WHEN (pos + source_id) % 12 = 3 THEN 'I. ' || line
+  WHEN (pos + source_id) % 12 IN (4, 6, 9) THEN 'MADDE ' || (pos + 1) || '- ' || line WHEN (pos + source_id) % 12 = 8 THEN '2. ' || line WHEN (pos + source_id) % 12 = 11 THEN 'İKİNCİ AYIRIM' ELSE trim(line) END AS text FROM l),
 e AS (SELECT *, CASE WHEN k IN (0, 11) THEN 'structure' WHEN k IN (4, 6, 9) THEN 'article' WHEN k IN (2, 3, 8) THEN 'heading' ELSE 'body' END AS kind, lag(k) OVER (PARTITION BY source_id ORDER BY pos) IN (0, 11) AS waited, lag(text) OVER (PARTITION BY source_id ORDER BY pos) AS label,
   lag(k) OVER (PARTITION BY source_id ORDER BY pos) AS was FROM b WHERE text <> ''),
 s AS (SELECT source_id, pos::double AS p, CASE WHEN waited AND kind IN ('heading', 'body') THEN 'name' ELSE kind END AS kind, text, CASE WHEN waited AND kind IN ('heading', 'body') THEN was END AS lev, label || ' ' || text AS val FROM e
@@ -240,7 +239,7 @@ def sql() -> dict[str, str]:
     from lexmill.plans.queries import ABLATION, GRID_LIMITS, GRID_POOLS, GRID_WEIGHTS
 
     keys = "[" + ", ".join(lit(k) for k in SYNONYMS) + "]"
-    statute = f"({keys}[(item_id * 3 % {len(SYNONYMS)} + 1)::int] || ' nedir ' || {keys}[(item_id * 7 % {len(SYNONYMS)} + 1)::int] || ' ' || left(text, 40))"
+    statute = f"({keys}[(item_id * 3 % {len(SYNONYMS)} + 1)::int] || ' nedir ' || {keys}[(item_id * 7 % {len(SYNONYMS)} + 1)::int] || ' ' || text)"
     kind = "CASE WHEN doc_id % 11 = 0 THEN 'gecici' WHEN doc_id % 13 = 0 THEN 'ek' ELSE 'madde' END"
     return {
         "normalize_text": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
@@ -272,7 +271,7 @@ SELECT q.item_id, (SELECT string_agg(number, ',' ORDER BY o) FROM d WHERE d.item
  CASE WHEN doc_id % 7 = 0 THEN 'Not: İŞLENEMEYEN HÜKÜM' END) || chr(10) || '---' || chr(10) || content AS embedding_text FROM corpus""",
         "header_meta": "SELECT doc_id AS source_id, (doc_id % 28 + 1) || '/1/2011' AS accepted, '4/2/' || (doc_id % 30 + 1990) || ' tarihli, ' || doc_id || ' sayılı Resmî Gazete' AS gazette FROM documents",
         "chunk_source_join": f"WITH {CORPUS}, s AS (SELECT upper(source) AS law, min(doc_id) AS source_id, count(*) AS source_docs FROM documents GROUP BY 1) SELECT c.doc_id, c.law, s.source_id, s.source_docs, c.label FROM corpus c JOIN s ON c.law = s.law",
-        "semi_delete": "SELECT source, count(*) AS docs, max(doc_id) AS last_doc FROM documents GROUP BY source HAVING count(*) % 2 <> 0",
+        "semi_delete": "SELECT source, count(*) AS docs, max(doc_id) AS last_doc FROM documents GROUP BY source HAVING min(doc_id) % 3 <> 0",
         "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels UNION ALL SELECT doc_id + 1000000, quality, toxic FROM labels",
         "latest_version": "SELECT conv_id, role, turn, length(text) AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) = 1",
         "lookup_by_key": f"WITH {CORPUS} SELECT b.item_id AS qid, c.doc_id, c.label FROM benchmark b JOIN corpus c ON c.doc_id = b.item_id * 3",
@@ -280,8 +279,6 @@ SELECT q.item_id, (SELECT string_agg(number, ',' ORDER BY o) FROM d WHERE d.item
         "df_filter": f"WITH {LEX_PLAIN}, {kept_of('terms', 'kept')} SELECT qid, term, df FROM kept",
         "bm25_search": f"WITH {LEX_PLAIN}, {kept_of('terms', 'kept')}, {bm25_of('terms', 'kept', 'lex')} SELECT qid, doc_id, score, rank FROM lex",
         "vector_search": f"WITH {VECTOR_ASKED} SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc_id) AS rank FROM sims QUALIFY rank <= {P.candidates}",
-        "hash_embedding": f"""WITH n AS (SELECT item_id, {norm('text')} AS t FROM benchmark), g AS (SELECT item_id, CASE WHEN length(t) < 3 THEN t ELSE substr(t, i, 3) END AS gram FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM n)),
-c AS (SELECT item_id, cast(('0x' || left(md5(gram), 8))::bigint % 512 AS int) AS dim, count(*) AS n FROM g GROUP BY ALL) SELECT item_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)::double), 6) AS weight FROM c""",
         "number_search": f"WITH {CORPUS}, {ASKED}, {NUM} SELECT qid, doc_id, rank FROM num",
         "rrf_fusion": f"WITH {LEX_PLAIN}, {kept_of('terms', 'kept')}, {bm25_of('terms', 'kept', 'lex')}, {SIMS}, {vec_of()}, {NUM}, {FUSED} SELECT qid, doc_id, score, sources, tie FROM fused",
         "relevance_gate": f"""WITH {CORPUS}, {ASKED}, {SIMS}, {NUM}, g AS (SELECT q.qid, coalesce((SELECT max(sim) FROM sims s WHERE s.qid = q.qid AND s.doc_id <> s.qid), 0) AS max_sim, EXISTS (SELECT 1 FROM num n WHERE n.qid = q.qid) AS by_number FROM asked q)

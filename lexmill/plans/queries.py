@@ -104,7 +104,7 @@ def _statute_question() -> Column:
     keys = F.array(*[F.lit(k) for k in text.SYNONYMS])
     n = len(text.SYNONYMS)
     pick = lambda k: F.element_at(keys, (F.col("item_id") * k % n + 1).cast("int"))
-    return F.concat_ws(" ", pick(3), F.lit("nedir"), pick(7), F.substring("text", 1, 40))
+    return F.concat_ws(" ", pick(3), F.lit("nedir"), pick(7), F.col("text"))
 
 
 @query
@@ -143,8 +143,8 @@ def _statute_blocks(spark: SparkSession, d: str) -> DataFrame:
     line = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     k = (F.col("pos") + F.col("source_id")) % 12
     said = (
-        F.when(k == 0, F.lit("BİRİNCİ BÖLÜM")).when(k == 2, F.concat(F.lit("A. "), F.substring("line", 1, 30))).when(k == 3, F.concat(F.lit("I. "), F.substring("line", 1, 30)))
-        .when(k.isin(4, 6, 9), F.concat(F.lit("MADDE "), F.col("pos") + 1, F.lit("- "), F.col("line"))).when(k == 8, F.concat(F.lit("2. "), F.substring("line", 1, 30)))
+        F.when(k == 0, F.lit("BİRİNCİ BÖLÜM")).when(k == 2, F.concat(F.lit("A. "), F.col("line"))).when(k == 3, F.concat(F.lit("I. "), F.col("line")))
+        .when(k.isin(4, 6, 9), F.concat(F.lit("MADDE "), F.col("pos") + 1, F.lit("- "), F.col("line"))).when(k == 8, F.concat(F.lit("2. "), F.col("line")))
         .when(k == 11, F.lit("İKİNCİ AYIRIM")).otherwise(F.trim("line"))
     )
     out = line.select("source_id", "pos", said.alias("text"), k.isin(2, 3, 8).alias("is_heading"))
@@ -175,8 +175,8 @@ def chunk_source_join(spark, d):
 
 @query
 def semi_delete(spark, d):
-    parent = docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
-    gone = parent.where(F.col("n") % 2 == 0).select("source")
+    parent = docs(spark, d).groupBy("source").agg(F.min("doc_id").alias("first_doc"))
+    gone = parent.where(F.col("first_doc") % 3 == 0).select("source")
     left, child = store.delete_sources(parent, docs(spark, d), gone, "source")
     return child.groupBy("source").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc")).join(left, "source", "left_semi")
 
@@ -208,7 +208,7 @@ def lookup_by_key(spark, d):
 def _lexical(spark: SparkSession, d: str):
     index, asked = search.build_index(search.corpus(spark, d)), search.questions(spark, d)
     wanted = lexical.terms(asked)
-    found = lexical.term_documents(index.post, wanted).cache()
+    found = lexical.term_documents(index.tokens, wanted).cache()
     return index, asked, wanted, found
 
 
@@ -339,7 +339,7 @@ def stream_budget(spark, d):
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Assistant turns made into answers: some cite a shown article, some another one, some refuse, some cite nothing."""
     a = read_table(spark, d, "conversations").where("role = 'assistant'")
-    n, t = F.col("conv_id"), F.substring("text", 1, 300)
+    n, t = F.col("conv_id"), F.col("text")
     said = (
         F.when(n % 5 == 0, F.concat(t, F.lit(" [ABC m. "), n, F.lit("] ve [ABC m.  "), n + 1, F.lit("]"))).when(n % 5 == 1, F.concat(F.lit("DAYANAK: [ABC m. "), n, F.lit("]\nCEVAP: "), t))
         .when(n % 5 == 2, F.concat(F.lit("Bağlamda yok: "), t)).when(n % 5 == 3, F.concat(F.lit("[ABC m. EK "), n, F.lit("/a] "), t)).otherwise(t)
@@ -473,11 +473,11 @@ def _grid(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
     ranked.append(search.number_channel(c, asked).select("qid", "doc_id", F.lit("number").alias("channel"), F.lit("-").alias("variant"), "rank"))
     for synonyms in sorted({r[4] for r in rows}):
         wanted = lexical.terms(asked, text.synonym_expand(F.col("text")) if synonyms else None)
-        found = lexical.term_documents(index.post, wanted).cache()
+        found = lexical.term_documents(index.tokens, wanted).cache()
         df = lexical.document_frequency(found, wanted)
         for limit in sorted({r[3] for r in rows if r[4] == synonyms}):
             kept = lexical.selective_terms(wanted, df, index.n_docs, Params(df_limit=limit))
-            scored = lexical.bm25(kept, found, index.lengths, index.n_docs, index.average)
+            scored = lexical.bm25(kept, found, index.n_docs, index.average)
             ranked.append(lexical.top(scored, most).select("qid", "doc_id", F.lit("lexical").alias("channel"), F.lit(f"{limit}{synonyms}").alias("variant"), "rank"))
     params = spark.createDataFrame([(k, pool, wv, wl, 3.0, f"{limit}{syn}") for k, (pool, wv, wl, limit, syn) in enumerate(rows)], "param_id int, pool int, w_vector double, w_lexical double, w_number double, lexical_variant string")
     best = evaluation.grid_results(reduce(DataFrame.unionByName, ranked), params)
