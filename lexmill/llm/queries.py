@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, html_extract, packing, pii, piece_fst, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
+from lexmill.llm import chat, html_extract, importance, packing, pii, piece_fst, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
 from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
@@ -66,6 +66,10 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sentencepiece": op2_sentencepiece,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_rule_ensemble": op10_rule_ensemble,
+    "op12_importance_resample": op12_importance_resample,
 }
 
 def _control_pattern() -> str:
@@ -106,4 +111,18 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= 0.95),
 c AS (SELECT vec_id AS a, vec_id AS r FROM u UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.a), m AS (SELECT a, min(r) AS component_id FROM c GROUP BY a)
 SELECT m.a AS vec_id, (SELECT count(*) FROM l WHERE l.a = m.a) AS n_links, m.component_id, m.a = m.component_id AS kept FROM m""",
+    # the checksum byte by byte from its table, once a distinct word
+    "op12_importance_resample": rf"""WITH RECURSIVE b AS (SELECT range AS i, range::ubigint AS c, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::ubigint) ELSE c >> 1 END, k + 1 FROM b WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM b WHERE k = 8),
+w AS MATERIALIZED (SELECT o, id, word FROM (SELECT o, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+ FROM (SELECT 0 AS o, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark))),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM w)),
+k AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(x), 2), lambda j: ('0x' || x[j:j + 1])::ubigint)), lambda a, c: xor(a >> 8, tab[(xor(a & 255, c) + 1)::bigint])), 4294967295::ubigint) % {importance.BUCKETS} AS bucket FROM h, crc),
+g AS (SELECT bucket, count(*) FILTER (o = 0) AS s, count(*) FILTER (o = 1) AS t FROM w JOIN k USING (word) GROUP BY bucket), n AS (SELECT sum(s) AS s, sum(t) AS t FROM g),
+gain AS (SELECT bucket, floor(1000 * ln((g.t + 1)::double * (n.s + {importance.BUCKETS}) / ((g.s + 1)::double * (n.t + {importance.BUCKETS}))))::bigint AS v FROM g, n),
+f AS (SELECT id, count(*) AS n, floor(sum(v)::double / count(*))::bigint AS weight FROM w JOIN k USING (word) JOIN gain USING (bucket) WHERE o = 0 GROUP BY id),
+d AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || left(sha256('{importance.SEED}:' || doc_id), 8))::ubigint::double AS h FROM documents LEFT JOIN f ON id = doc_id),
+e AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint AS score FROM d),
+r AS (SELECT *, CASE WHEN n_features >= {importance.LEAST_WORDS} THEN row_number() OVER (PARTITION BY n_features >= {importance.LEAST_WORDS} ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_features >= {importance.LEAST_WORDS}) OVER () AS m FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * m // 100 THEN place END AS rank FROM r""",
 }
