@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, html_extract, importance, packing, pii, piece_fst, quality_rules, rule_ensemble, simhash, token_files, vector_dedup
+from lexmill.llm import chat, html_extract, importance, packing, pii, piece_fst, quality_rules, rule_ensemble, simhash, token_files, toxicity, vector_dedup
 from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
@@ -66,6 +66,12 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", rule_ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_rule_ensemble": op10_rule_ensemble,
+    "op11_toxicity": op11_toxicity,
     "op12_importance_resample": op12_importance_resample,
 }
 
