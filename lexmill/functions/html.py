@@ -41,11 +41,12 @@ def plain_text(fragment: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(out, F.lit(" "), F.lit(" ")), r"\s+", " "))
 
 
-def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep_empty: bool = False) -> DataFrame:
     """One row a heading or paragraph: pos, tag, class, centered, text, text_raw, bold_chars, chars, is_heading.
 
     A block runs from its open tag to the next one and is cut at its first closing tag, so unclosed paragraphs are fine.
     Footnote and footer classes and empty blocks go; pos counts the blocks that stay. No shuffle: rows stay where they are.
+    keep_empty leaves a row of nulls for a page without blocks.
     """
     pieces = F.filter(F.split(page_body(F.col(html_col)), r"(?i)(?=<(?:h[1-6]|p)\b[^>]*>)"), lambda x: x.rlike(_OPEN))
 
@@ -72,7 +73,8 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         ),
     )
     out = pages.select(F.col(id_col), F.filter(cleaned, lambda b: b["text"] != "").alias("_blocks"))
-    out = out.select(id_col, F.posexplode("_blocks").alias("pos", "b")).select(id_col, "pos", "b.*")
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    out = out.select(id_col, explode("_blocks").alias("pos", "b")).select(id_col, "pos", "b.*")
     out = out.withColumns({"bold_chars": F.length(normalize(F.col("bold"))), "chars": F.length(normalize(F.col("text_raw")))}).drop("bold")
     return out.withColumn("is_heading", heading_role(F.col("tag"), F.col("class"), F.col("centered"), (F.col("bold_chars") > 0) & (F.col("bold_chars") >= 0.9 * F.col("chars")), F.col("text")))
 

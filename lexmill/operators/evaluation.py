@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexmill.operators.bounded import top_rows
 
 #: Numbers that one window orders.
 NUMBER_BUCKET = 1 << 20
+#: Missing numbers that are spelled out at most.
+MOST_MISSING = 1_000_000_000
+CHECKS = ("empty", "short", "contaminated", "longest", "shortest", "repeated", "gap")
+#: The head of an article inside another's text.
+HEAD_INSIDE = r"(?i)\bMADDE\s+\d+\s*-"
 
 
 def first_hits(results: DataFrame, relevant: Column, queries: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -60,19 +68,67 @@ def grid_results(ranked: DataFrame, params: DataFrame, k: int = 5, rrf_k: int =
     return fused.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def missing_numbers(found: DataFrame, number: str, *by: str) -> DataFrame:
-    """Numbers from 1 to the greatest one that do not occur, per group; nulls and numbers below 1 are ignored.
+def missing_ranges(found: DataFrame, number: str, *by: str) -> DataFrame:
+    """(by, first, last): the gaps between 1 and the greatest number of each group, one row a gap however wide it is.
 
-    Gaps are found between neighbours inside buckets of NUMBER_BUCKET numbers, so a crowded group is many windows; what
-    precedes a bucket's first number comes from a table of one row a bucket. Only the gaps are spelled out.
+    Nulls and numbers below 1 are ignored. Gaps are found between neighbours inside buckets of NUMBER_BUCKET numbers, so a
+    crowded group is many windows; what precedes a bucket's first number comes from a table of one row a bucket.
     """
     own = found.where(F.col(number) >= 1).select(*by, F.col(number).cast("long").alias("number")).distinct()
     own = own.withColumn("bucket", F.floor(F.col("number") / NUMBER_BUCKET))
     last = own.groupBy(*by, "bucket").agg(F.max("number").alias("last"))
     last = last.select(*by, "bucket", F.coalesce(F.lag("last").over(W.partitionBy(*by).orderBy("bucket")), F.lit(0)).alias("earlier"))
     inside = F.lag("number").over(W.partitionBy(*by, "bucket").orderBy("number"))
-    gaps = own.withColumn("inside", inside).join(last, [*by, "bucket"]).withColumn("before", F.coalesce("inside", "earlier")).where("number - before > 1")
-    return gaps.select(*by, F.explode(F.sequence(F.col("before") + 1, F.col("number") - 1)).alias("number"))
+    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"last.{c}")) for c in (*by, "bucket")]
+    met = own.withColumn("inside", inside).alias("own").join(last.alias("last"), reduce(lambda a, c: a & c, same))
+    gaps = met.select(*[F.col(f"own.{c}") for c in by], "number", F.coalesce("inside", "earlier").alias("before")).where("number - before > 1")
+    return gaps.select(*by, (F.col("before") + 1).alias("first"), (F.col("number") - 1).alias("last"))
+
+
+def missing_numbers(found: DataFrame, number: str, *by: str, most: int = MOST_MISSING) -> DataFrame:
+    """The numbers in missing_ranges, spelled out. They are counted first: more than ``most`` raise, ranges say it then."""
+    gaps = missing_ranges(found, number, *by)
+    n = gaps.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    if n > most:
+        raise ValueError(f"{n} numbers are missing, {most} may be spelled out; use missing_ranges")
+    pieces = gaps.select(*by, "last", F.explode(F.sequence("first", "last", F.lit(NUMBER_BUCKET))).alias("from"))
+    return pieces.select(*by, F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + NUMBER_BUCKET - 1))).alias("number"))
+
+
+def audit(articles: DataFrame, short: int = 40, k: int = 3) -> DataFrame:
+    """Findings over articles(law, article_no long, content): (check, law, rank, article_no, value).
+
+    For every law and check a row of rank 0 holds in value how many there are, and the rows of rank 1 to k the first ones:
+    * empty, short (fewer than ``short`` characters), contaminated (another article's head inside): by number; value: characters
+    * longest, shortest: by length; value: characters (their count is that of the articles)
+    * repeated: numbers that several rows have; value: rows
+    * gap: runs of missing numbers from article_no to value; their count is that of the missing numbers
+    Null texts are empty, null laws one law; articles without a number are in no gap and not repeated, and come last.
+
+    One pass over the texts; each task keeps k rows a law and check.
+    """
+    text = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
+    seen = articles.select("law", F.col("article_no").cast("long").alias("article_no"), text.alias("_t"))
+    seen = seen.select("law", "article_no", F.length("_t").cast("long").alias("value"), (F.col("_t").rlike(HEAD_INSIDE) | F.startswith("_t", F.lit("(1)"))).alias("_mixed"))
+    tests = {"empty": F.col("value") == 0, "short": F.col("value").between(1, short - 1), "contaminated": F.col("_mixed")}
+    row = lambda check, by: F.struct(F.lit(check).alias("check"), by.cast("long").alias("_by"))
+    marks = F.array(row("longest", -F.col("value")), row("shortest", F.col("value")), *[F.when(t, row(c, F.lit(0))) for c, t in tests.items()])
+    flagged = seen.select("law", "article_no", "value", F.inline(F.array_compact(marks)))
+    numbers = seen.where("article_no is not null").groupBy("law", "article_no").agg(F.count("*").alias("value")).where("value > 1")
+    gaps = missing_ranges(articles, "article_no", "law")
+    same = lambda df, check, no, value: df.select("law", F.col(no).alias("article_no"), F.col(value).alias("value"), F.lit(check).alias("check"), F.lit(0).cast("long").alias("_by"))
+    every = flagged.unionByName(same(numbers, "repeated", "article_no", "value")).unionByName(same(gaps, "gap", "first", "last"))
+    first = top_rows(every, ["law", "check"], [("_by", True), ("article_no", True)], k).drop("_by")
+
+    totals = seen.groupBy("law").agg(F.count("*").alias("longest"), F.count("*").alias("shortest"), *[F.count_if(t).alias(c) for c, t in tests.items()])
+    more = numbers.groupBy("law").agg(F.count("*").alias("repeated")).alias("n"), gaps.groupBy("law").agg(F.sum(F.col("last") - F.col("first") + 1).alias("gap")).alias("g")
+    totals = totals.alias("t")
+    for other in more:
+        name = "n" if other is more[0] else "g"
+        totals = totals.join(other, F.col("t.law").eqNullSafe(F.col(f"{name}.law")), "left")
+    counts = F.array(*[F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).cast("long").alias("value")) for c in CHECKS])
+    zero = totals.select(F.col("t.law").alias("law"), F.inline(counts)).withColumns({"rank": F.lit(0), "article_no": F.lit(None).cast("long")})
+    return zero.unionByName(first).select("check", "law", "rank", "article_no", "value")
 
 
 def integrity(chunks: DataFrame, short: int = 40) -> DataFrame:

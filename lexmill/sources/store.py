@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def replace_sources(rows: DataFrame, path: str, partition: str = "source") -> None:
-    """Write rows partitioned by source; a source that is written again replaces its former rows, others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def replace_sources(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Write rows partitioned by source (or the columns given); a partition written again replaces its former rows, others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(partitions or ("source",))).parquet(path)
 
 
 def latest(rows: DataFrame, key: list[str], version: str, tie: str) -> DataFrame:
