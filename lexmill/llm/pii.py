@@ -148,6 +148,8 @@ MISSHAPEN = {
     "national_id": r"([0-9])\1{5}",
     "birth_date": r"-(?:00|1[3-9])-|-(?:00|3[2-9])$|^(?:0?0|3[2-9])[./]|[./](?:0?0|1[3-9])[./]|20[3-9][0-9]$|^20[3-9]",
 }
+#: Digests in hexadecimal figures of 32, 40 and 64 places.
+DIGEST = "^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
 
 
 def _vote(m: Column, yes: str | Column | None, no: str | Column | None) -> Column:
@@ -165,8 +167,9 @@ def _ballot(kind: str, m: Column, before: Column) -> list[Column]:
     if kind == "secret":
         digits, n = F.length(_digits(m)) * 8, F.length(m)
         mixed = digits.between(n, n * 7)
-        # digests are as random as keys, and a word may end in a number: their form says nothing
-        form = _vote(m, mixed & ~m.rlike(MISSHAPEN[kind] + "|^[a-z]+[_-]|^[a-z]{4,}[0-9]+[a-z]*$|^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), ~mixed | m.rlike(MISSHAPEN[kind]))
+        # digests are as random as keys, whatever they repeat, and a word may end in a number: their form says nothing
+        shaped = _vote(m, mixed & ~m.rlike(MISSHAPEN[kind] + "|^[a-z]+[_-]|^[a-z]{4,}[0-9]+[a-z]*$"), ~mixed | m.rlike(MISSHAPEN[kind]))
+        form = F.when(m.rlike(DIGEST), ABSTAIN).otherwise(shaped)
     elif kind == "account":
         form = _vote(m, None, F.length(_digits(m)).between(13, 19))  # of a card's length, but the sum is wrong
     elif kind == "iban":
@@ -291,6 +294,9 @@ PRIOR = ((1.0, 4.0), (4.0, 1.0))
 def em(counts: dict[tuple[str, int], int]) -> tuple[list[tuple[list[float], list[float]]], dict[str, float], dict[tuple[str, int], float]]:
     """Two-class expectation-maximisation over votes, counts by (kind, votes). An abstention says nothing.
 
+    A labeler's rates are learned from spans on which another one votes too: where it is alone there is nothing to hold
+    it against, and its own votes would only confirm or refute themselves.
+
     Returns per labeler the rates of (no, yes) among its votes on true and on other spans, each kind's share of true spans,
     and the posterior of every (kind, votes). Base kinds are true by contract and anchor the rates.
     """
@@ -311,6 +317,8 @@ def em(counts: dict[tuple[str, int], int]) -> tuple[list[tuple[list[float], list
             share[kind] = (sum(n * p for n, p in own) + 2) / (sum(n for n, _ in own) + 4)
         tally = [(list(PRIOR[0]), list(PRIOR[1])) for _ in LABELERS]
         for key, ballot in ballots.items():
+            if sum(v != ABSTAIN for v in ballot) < 2:
+                continue
             n = counts[key] * (scale if key[0] in BASE else 1.0)
             for k, v in enumerate(ballot):
                 if v != ABSTAIN:
