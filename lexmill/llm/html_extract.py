@@ -7,6 +7,10 @@ both normalised by the number of pages. Text that is the same on page after page
 small stock a low one. The own text of low nodes is removed from each page; a branch vanishes when all nodes in it are low,
 so an important descendant keeps its place whatever is around it.
 
+Inside article and main entropy removes nothing: what a page marks as its article stays, also where other pages carry the
+same. Copies of an unmarked article look like boilerplate too; so a page that would be left with few words, and lose a long
+block that is the same on all pages, keeps what is the same (LONG_BLOCK, FEW_WORDS).
+
 All branches are in the tree, but entropy alone can't tell a menu that differs from page to page from an article. So tags,
 roles and whole class names that can only be menus, adverts, notices, forms or comments mean importance 0 beforehand;
 outside article and main some more names and ids count. Of the rest, the article is taken where the page marks one.
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,12 @@ from pyspark.sql import functions as F
 from lexmill.llm.graph import hot_limit, join_counted
 from lexmill.sources.tables import arrow_map, materialize
 
-#: A node's text is removed below this importance, if at least so many distinct pages of the host hold the node; outside
-#: article and main also if, going by its entropy, its content or shape is shared by so many pages each on average. (Pages
+#: A node's text, outside article and main, is removed below this importance, if at least so many distinct pages of the
+#: host hold the node; also if, going by its entropy, its content or shape is shared by so many pages each on average. (Pages
 #: come in a few variants, as for print; text from a small stock recurs more often the more pages there are.)
 LOW_IMPORTANCE, LEAST_PAGES, REPEATS = 0.2, 8, 5.0
+#: Words of a block the same on all pages, at least twice those left, that bring such blocks back if fewer than so many words are left.
+LONG_BLOCK, FEW_WORDS = 8, 25
 #: Paths of low nodes of all hosts that may be broadcast (8 bytes each).
 MOST_PATHS = 1_000_000
 
@@ -259,13 +265,13 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def low_branches(trees: DataFrame) -> DataFrame:
-    """(host, gone): hashes of the paths whose own text is removed on each host that has any."""
-    shared = ~F.col("inner") & (F.pow("pages", 1 - F.col("importance")) >= REPEATS)
-    low = trees.where(((F.col("importance") < LOW_IMPORTANCE) | shared) & (F.col("pages") >= LEAST_PAGES) & (F.col("has_text") == 1))
-    return low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("gone"))
+    """(host, gone, same): hashes of the paths whose own text is removed on each host that has any; same: those alike on all pages."""
+    shared = F.pow("pages", 1 - F.col("importance")) >= REPEATS
+    low = trees.where(~F.col("inner") & ((F.col("importance") < LOW_IMPORTANCE) | shared) & (F.col("pages") >= LEAST_PAGES) & (F.col("has_text") == 1))
+    return low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("gone"), F.array_sort(F.collect_set(F.when(F.col("importance") < 1e-9, F.col("path")))).alias("same"))
 
 
-def main_text(html: str | None, gone: set[int] | frozenset[int] = frozenset(), lists: bool = True) -> str:
+def main_text(html: str | None, gone: set[int] | frozenset[int] = frozenset(), lists: bool = True, same: set[int] | frozenset[int] = frozenset()) -> str:
     """The page's article: of the outermost article elements, else main ones, else the body, else the whole, the first that has text."""
     root = parse(html)
     tops: dict[str, list[Node]] = {"article": [], "main": [], "body": []}
@@ -280,9 +286,21 @@ def main_text(html: str | None, gone: set[int] | frozenset[int] = frozenset(), l
             if node.tag == tag or (above is not None and (id(above), tag) in inside):
                 inside.add((id(node), tag))
     for tag in ("article", "main", "body"):
-        if tops[tag] and (found := [t for n in tops[tag] for t in blocks(n, gone, lists)]):
+        if tops[tag] and (found := [t for n in tops[tag] for t in _kept_blocks(n, gone, same, lists)]):
             return " ".join(found)
-    return " ".join(blocks(root, gone, lists))
+    return " ".join(_kept_blocks(root, gone, same, lists))
+
+
+def _kept_blocks(node: Node, gone: set[int] | frozenset[int], same: set[int] | frozenset[int], lists: bool) -> list[str]:
+    """The blocks without those of the paths in ``gone``, unless the page's own text seems to be among those in ``same``."""
+    found = blocks(node, gone, lists)
+    left = sum(len(t.split()) for t in found)
+    if same and left < FEW_WORDS:
+        whole = blocks(node, gone - same, lists)
+        lost = Counter(whole) - Counter(found)
+        if any((n := len(t.split())) >= LONG_BLOCK and n >= 2 * left for t in lost):
+            return whole
+    return found
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lists: bool = True) -> DataFrame:
@@ -295,19 +313,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     gone = materialize(low_branches(materialize(style_trees(own), "style-trees")), "low-branches")
     paths = gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0]
-    hosted = own.withColumn("host", page_host("url"))
-    if not paths:
-        joined = own.withColumn("gone", F.lit(None).cast("array<long>"))
-    elif paths <= MOST_PATHS:
-        joined = hosted.join(F.broadcast(gone), "host", "left")
+    hosted, known = own.withColumn("host", page_host("url")), {}
+    if paths <= MOST_PATHS:  # one table a task, not a list a page
+        known = {r.host: (frozenset(r.gone), frozenset(r.same)) for r in gone.collect()}
+        joined = hosted.withColumns({"gone": F.lit(None).cast("array<long>"), "same": F.lit(None).cast("array<long>")})
     else:
         sizes = hosted.groupBy("host").agg(F.count("*").alias("n")).join(gone, "host", "left")
         joined = join_counted(hosted, sizes, "host", hot_limit(hosted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), frozenset(g.as_py() or ()), lists) for h, g in zip(batch.column(2), batch.column(3))]
+            low = (known.get(h.as_py()) or (frozenset(g.as_py() or ()), frozenset(s.as_py() or ())) for h, g, s in zip(batch.column(3), batch.column(4), batch.column(5)))
+            texts = [main_text(h.as_py(), g, lists, s) for h, (g, s) in zip(batch.column(2), low)]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(lengths)], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "gone").transform(arrow_map, run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "gone", "same").transform(arrow_map, run, "page_id long, url string, text string, n_chars long")

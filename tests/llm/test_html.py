@@ -130,3 +130,24 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "<p>a"), (1, None, "<p>a"), (None, "u", None), (2, "::", "")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in H.extract(df).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_the_tree_spares_articles_and_copies(spark):
+    post = "This is the same long post that the site shows under ten addresses of its own, word by word."
+    rows = [(k, f"https://copies.test/{k}", f"<body><nav>menu {k}</nav><article><h1>Title</h1><p>{post}</p></article></body>") for k in range(12)]
+    rows += [(100 + k, f"https://lead.test/{k}", f"<article><p class=lead>Chapter of the annual report</p><h2>Abstract</h2><p>text {k} of it</p><h3>References</h3><p>list {k}</p></article>") for k in range(12)]
+    rows += [(200 + k, f"https://post.test/{k}", f"<body><div class=bar>menu {k}</div><div class=post><p>{post}</p></div></body>") for k in range(12)]
+    rows += [(300 + k, f"https://main.test/{k}", f"<body><div class=x>Site of the club</div><main><p>Same words</p></main><div>{k}</div></body>") for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[k] == f"Title {post}" for k in range(12))
+    assert all(got[100 + k] == f"Chapter of the annual report Abstract text {k} of it References list {k}" for k in range(12))
+    assert all(post in got[200 + k] for k in range(12)) and all(got[300 + k] == "Same words" for k in range(12))
+
+
+def test_many_low_paths_are_joined(spark, monkeypatch):
+    rows = [(k, f"https://site.test/{k}", f"<body><div class='lead'>Welcome to us</div><p>Story number {k}</p></body>") for k in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, H.extract(df).collect()))
+    monkeypatch.setattr(H, "MOST_PATHS", 0)
+    assert sorted(map(tuple, H.extract(df).collect())) == want and want[3][2] == "Story number 3"
