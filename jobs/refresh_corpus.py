@@ -27,7 +27,7 @@ DOCUMENTS = "doc_id long, text string, source string"
 def chunk_rows(docs: DataFrame, p: Params) -> DataFrame:
     """At least one chunk a document: a text without any is one chunk as it is, null as empty."""
     rows = docs.select("doc_id", F.upper("source").alias("law"), F.coalesce("text", F.lit("")).alias("text"), "arrived", "sha256", "place")
-    parts = chunk(rows, F.split("text", "\n"), F.col("text"), p).drop("text")
+    parts = chunk(rows, F.split("text", "\n"), F.col("text"), p).drop("text").hint("rebalance", "law")  # a law's chunks go to few files, a large law's to several
     label = citation_label(F.coalesce("law", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("madde"), F.lit(""), F.col("part_no"), F.col("parts"))
     return parts.withColumns({"label": label, "norm": normalize(F.col("chunk"))})
 
@@ -41,8 +41,7 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, files_a_
     def told(batch_id: int, rows: DataFrame) -> DataFrame:
         seen = Observation(f"batch {batch_id}")
         watched.append((batch_id, seen))
-        # one law's chunks go to few files, a large law's to several
-        return rows.observe(seen, F.count(F.lit(1)).alias("chunks")).hint("rebalance", "law")
+        return rows.observe(seen, F.count(F.lit(1)).alias("chunks"))
 
     rows = ingest.new_files(spark, documents, DOCUMENTS, "text", files_a_batch)
     query = ingest.start(rows, lambda docs: chunk_rows(docs, p), out, checkpoint, ("law",), told)

@@ -26,7 +26,7 @@ def _provider() -> Provider:
 def find(spark: SparkSession, data: str, question: str, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Question, corpus and the top results by words and numbers, marked for context."""
     docs, asked = search.corpus(spark, data), spark.createDataFrame([(0, question)], "qid long, text string")
-    lex = lexical.top(search.lexical_channel(search.build_index(docs), asked, p), p.candidates)
+    lex = lexical.top(search.lexical_channel(search.index_of(spark, data), asked, p), p.candidates)
     num = search.number_channel(docs, asked)
     fused = fusion.top_fused(fusion.fuse({"lexical": (lex, p.w_lexical), "number": (num, p.w_number)}, p), p.top_k)
     rows = fused.withColumns({"sim": F.lit(0.0), "max_sim": F.lit(0.0), "relevant": F.lit(True)})

@@ -112,7 +112,7 @@ def clean_text(text: Column) -> Column:
 
 
 def words(normalized: Column) -> Column:
-    return F.filter(F.split(normalized, " "), lambda w: w != "")
+    return F.array_remove(F.split(normalized, " "), "")
 
 
 def extract_numbers(text: Column) -> Column:

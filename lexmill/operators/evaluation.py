@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexmill.operators.bounded import top_rows
+from lexmill.sources.tables import materialize
 
 #: Numbers that one window orders.
 NUMBER_BUCKET = 1 << 20
@@ -105,17 +106,18 @@ def audit(articles: DataFrame, short: int = 40, k: int = 3) -> DataFrame:
     * gap: runs of missing numbers from article_no to value; their count is that of the missing numbers
     Null texts are empty, null laws one law; articles without a number are in no gap and not repeated, and come last.
 
-    One pass over the texts; each task keeps k rows a law and check.
+    One pass over the texts, when this is called; each task keeps k rows a law and check.
     """
     text = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
     seen = articles.select("law", F.col("article_no").cast("long").alias("article_no"), text.alias("_t"))
     seen = seen.select("law", "article_no", F.length("_t").cast("long").alias("value"), (F.col("_t").rlike(HEAD_INSIDE) | F.startswith("_t", F.lit("(1)"))).alias("_mixed"))
+    seen = materialize(seen, "audit")  # the texts are read once; what follows works on numbers
     tests = {"empty": F.col("value") == 0, "short": F.col("value").between(1, short - 1), "contaminated": F.col("_mixed")}
     row = lambda check, by: F.struct(F.lit(check).alias("check"), by.cast("long").alias("_by"))
     marks = F.array(row("longest", -F.col("value")), row("shortest", F.col("value")), *[F.when(t, row(c, F.lit(0))) for c, t in tests.items()])
     flagged = seen.select("law", "article_no", "value", F.inline(F.array_compact(marks)))
     numbers = seen.where("article_no is not null").groupBy("law", "article_no").agg(F.count("*").alias("value")).where("value > 1")
-    gaps = missing_ranges(articles, "article_no", "law")
+    gaps = missing_ranges(seen, "article_no", "law")
     same = lambda df, check, no, value: df.select("law", F.col(no).alias("article_no"), F.col(value).alias("value"), F.lit(check).alias("check"), F.lit(0).cast("long").alias("_by"))
     every = flagged.unionByName(same(numbers, "repeated", "article_no", "value")).unionByName(same(gaps, "gap", "first", "last"))
     first = top_rows(every, ["law", "check"], [("_by", True), ("article_no", True)], k).drop("_by")

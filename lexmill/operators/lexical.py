@@ -1,4 +1,4 @@
-"""Prefix full-text search for many queries at once: tokens, document frequency, selective terms, BM25.
+"""Prefix full-text search for many queries at once: matching tokens, document frequency, selective terms, BM25.
 
 Inputs: docs(doc_id, field, ...) and queries(qid, text). Terms come from functions.text.query_terms; a term ending in *
 is a prefix, any other is exact. Prefixes meet tokens by equality of the token's own prefixes, so there is no theta join.
@@ -14,13 +14,14 @@ from lexmill.functions.text import query_terms, words
 from lexmill.params import DEFAULT, Params
 from lexmill.sources.tables import materialize
 
-
-#: Pairs of a term and a token it stands for that may be broadcast; more of them meet the tokens by a shuffle.
+#: Rows of terms, of pairs of a term and a token, or of kept terms that may be broadcast; more of them are shuffled.
 MOST_MATCHES = 1_000_000
+#: Beginnings of tokens are compared up to this length first. Shares of the documents that a term's rows are dealt to.
+LONGEST, SHARES = 64, 64
 
 
 def tokens(docs: DataFrame, normalized: Column, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, words): one row a document; its tokens stay together, so nothing is shuffled before terms have chosen."""
+    """(doc_id, words): one row a document."""
     return docs.select(F.col(id_col).alias("doc_id"), words(normalized).alias("words"))
 
 
@@ -29,25 +30,28 @@ def terms(queries: DataFrame, text: Column | None = None) -> DataFrame:
     return queries.select("qid", F.posexplode(query_terms(F.col("text") if text is None else text)).alias("place", "term"))
 
 
-def matches(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, token) for every vocabulary token that a term stands for."""
+def matches(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, token) for every token of vocabulary(token) that a term stands for.
+
+    Tokens meet prefix terms by equality of their own beginnings, of just the lengths that terms have.
+    """
     distinct = wanted.select("term").distinct()
-    key = distinct.select("term", F.regexp_replace("term", r"\*$", "").alias("key"), F.endswith(F.col("term"), F.lit("*")).alias("prefix"))
-    longest = F.lit(64)  # terms are cut from words, and longer words than this stay exact below
-    vocabulary = tokens.select(F.explode("words").alias("token")).distinct()
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), longest)), lambda n: F.substring(F.col("token"), F.lit(1), n))
-    by_prefix = vocabulary.select("token", F.explode(starts).alias("key")).join(key.where("prefix and length(key) <= 64"), "key").select("term", "token")
-    exact = vocabulary.join(key.where("not prefix"), F.col("token") == F.col("key")).select("term", "token")
-    long = vocabulary.where("length(token) > 64").join(key.where("prefix and length(key) > 64"), F.expr("left(token, 64) = left(key, 64) and startswith(token, key)")).select("term", "token")
-    return by_prefix.unionByName(exact).unionByName(long)
+    keys = distinct.select("term", F.regexp_replace("term", r"\*$", "").alias("key"), F.endswith(F.col("term"), F.lit("*")).alias("prefix"))
+    sizes = {r[0]: r[1] for r in keys.groupBy(F.when(F.col("prefix"), F.least(F.length("key"), F.lit(LONGEST))).otherwise(0)).count().collect()}  # LONGEST + 1 rows at most
+    if sum(sizes.values()) <= MOST_MATCHES:
+        keys = F.broadcast(keys)
+    lengths = sorted(n for n in sizes if n)
+    starts = F.filter(F.array(*[F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths]) if lengths else F.array().cast("array<string>"), lambda x: x.isNotNull())
+    started = vocabulary.select("token", F.explode(starts).alias("start"))
+    by_prefix = started.join(keys.where("prefix").withColumn("start", F.left("key", F.lit(LONGEST))), "start").where(F.startswith("token", F.col("key"))).select("term", "token")
+    exact = vocabulary.join(keys.where("not prefix"), F.col("token") == F.col("key")).select("term", "token")
+    return by_prefix.unionByName(exact)
 
 
 def term_documents(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, n_tokens): a prefix term counts every token that it matches; n_tokens is the document's length.
-
-    Only tokens that a term stands for leave the rows, counted per document in the map task.
-    """
-    met = materialize(matches(tokens, wanted), "term-tokens")
+    """(term, doc_id, tf, n_tokens) of rows that are in no index: a prefix term counts every token that it matches; n_tokens
+    is the document's length. Only tokens that a term stands for leave the rows."""
+    met = materialize(matches(tokens.select(F.explode("words").alias("token")).distinct(), wanted), "term-tokens")
     if met.count() <= MOST_MATCHES:
         met = F.broadcast(met)
     each = tokens.select("doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("token"))
@@ -75,10 +79,20 @@ def bm25(kept: DataFrame, term_docs: DataFrame, n_docs: int, average: float, p:
     idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, 1e-6).otherwise(idf)
     norm = p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("n_tokens") / F.lit(float(average)))
-    scored = kept.join(term_docs, "term")
+    scored = _with_terms(kept, term_docs)
     return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(weight * F.col("tf") * (p.bm25_k1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
 
 
+def _with_terms(kept: DataFrame, term_docs: DataFrame) -> DataFrame:
+    """kept(qid, term, df) joined with term_docs by term. A term may stand in a large share of all documents, so its rows are
+    never dealt to one task: few kept terms are broadcast; else both sides are dealt by term and a share of the documents."""
+    kept = materialize(kept, "kept-terms")
+    if kept.count() <= MOST_MATCHES:
+        return term_docs.join(F.broadcast(kept), "term")
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))
+    return term_docs.withColumn("_share", share).join(kept.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))), ["term", "_share"]).drop("_share")
+
+
 def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_id") -> DataFrame:
     """The k best of each query with their 1-based rank; ties by id."""
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), id_col))

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import answers, html, text
-from lexmill.operators import chunking, evaluation, fusion, lexical, outline, vectors
+from lexmill.operators import chunking, evaluation, fusion, lexical, outline, postings, vectors
 from lexmill.params import DEFAULT, Params
 from lexmill.plans import search
 from lexmill.sources import store
-from lexmill.sources.tables import read_table
+from lexmill.sources.tables import materialize, read_table
 
 QUERIES: dict = {}
 
@@ -206,10 +206,9 @@ def lookup_by_key(spark, d):
 
 
 def _lexical(spark: SparkSession, d: str):
-    index, asked = search.build_index(search.corpus(spark, d)), search.questions(spark, d)
+    index, asked = search.index_of(spark, d), search.questions(spark, d)
     wanted = lexical.terms(asked)
-    found = lexical.term_documents(index.tokens, wanted).cache()
-    return index, asked, wanted, found
+    return index, asked, wanted, postings.term_documents(index, wanted)
 
 
 @query
@@ -227,7 +226,7 @@ def df_filter(spark, d):
 @query
 def bm25_search(spark, d):
     asked = search.questions(spark, d)
-    return lexical.top(search.lexical_channel(search.build_index(search.corpus(spark, d)), asked, synonyms=False), DEFAULT.candidates).select("qid", "doc_id", "score", "rank")
+    return lexical.top(search.lexical_channel(search.index_of(spark, d), asked, synonyms=False), DEFAULT.candidates).select("qid", "doc_id", "score", "rank")
 
 
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -248,8 +247,8 @@ def hash_embedding(spark, d):
 
 def _channels(spark: SparkSession, d: str):
     c, asked = search.corpus(spark, d), search.questions(spark, d)
-    lex = search.lexical_channel(search.build_index(c), asked, synonyms=False)
-    sims = search.vector_channel(spark, d, asked, DEFAULT.candidates).cache()
+    lex = search.lexical_channel(search.index_of(spark, d), asked, synonyms=False)
+    sims = materialize(search.vector_channel(spark, d, asked, DEFAULT.candidates), "similarities")
     return asked, lex, sims, search.number_channel(c, asked)
 
 
@@ -467,13 +466,13 @@ ABLATION = ((25, 1.0, 1.0, 1.0, False), (12, 1.0, 1.0, 1.0, False), (12, 1.0, 1.
 def _grid(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
     """rows: (pool, w_vector, w_lexical, limit, synonyms). One ranking per channel and lexical variant, then one join."""
     c, asked = search.corpus(spark, d), search.questions(spark, d)
-    index = search.build_index(c)
+    index = search.index_of(spark, d)
     most = max(r[0] for r in rows)
     ranked = [lexical.top(search.vector_channel(spark, d, asked, most), most, "sim").select("qid", "doc_id", F.lit("vector").alias("channel"), F.lit("-").alias("variant"), "rank")]
     ranked.append(search.number_channel(c, asked).select("qid", "doc_id", F.lit("number").alias("channel"), F.lit("-").alias("variant"), "rank"))
     for synonyms in sorted({r[4] for r in rows}):
         wanted = lexical.terms(asked, text.synonym_expand(F.col("text")) if synonyms else None)
-        found = lexical.term_documents(index.tokens, wanted).cache()
+        found = postings.term_documents(index, wanted, tuple(r[3] for r in rows))
         df = lexical.document_frequency(found, wanted)
         for limit in sorted({r[3] for r in rows if r[4] == synonyms}):
             kept = lexical.selective_terms(wanted, df, index.n_docs, Params(df_limit=limit))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import extract_numbers, normalize, synonym_expand
-from lexmill.operators import fusion, lexical, vectors
+from lexmill.operators import fusion, lexical, postings, vectors
 from lexmill.params import DEFAULT, Params
-from lexmill.sources.tables import read_table
+from lexmill.sources.tables import materialize, read_table, scratch_path
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,24 +32,28 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("qid"), F.concat("text", named).alias("text"))
 
 
-@dataclass
-class Index:
-    tokens: DataFrame
-    n_docs: int
-    average: float
+_indexes: dict[tuple, str] = {}
+
 
+def index_of(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The stored index of a folder's documents: built by the first search of an application, read by all others.
 
-def build_index(docs: DataFrame) -> Index:
-    """Each document's tokens, used by several steps of a search; kept in memory or on disk as they fit."""
-    tokens = lexical.tokens(docs, search_text()).cache()
-    n_docs, total = tokens.agg(F.count("*"), F.sum(F.size("words"))).first()
-    return Index(tokens, n_docs, (total or 0) / max(1, n_docs))
+    It is known by the documents' files, their sizes and times; other files mean another index.
+    """
+    files = read_table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *mark)
+    if key not in _indexes:
+        path = scratch_path(spark, "index")
+        postings.write_index(corpus(spark, sf_dir), search_text(), path)
+        _indexes[key] = path
+    return postings.read_index(spark, _indexes[key])
 
 
-def lexical_channel(index: Index, asked: DataFrame, p: Params = DEFAULT, synonyms: bool = True) -> DataFrame:
+def lexical_channel(index: postings.Index, asked: DataFrame, p: Params = DEFAULT, synonyms: bool = True) -> DataFrame:
     """(qid, doc_id, score) by BM25 over each question's selective terms."""
     wanted = lexical.terms(asked, synonym_expand(F.col("text")) if synonyms else None)
-    found = lexical.term_documents(index.tokens, wanted).cache()
+    found = postings.term_documents(index, wanted, (p.df_limit,))
     kept = lexical.selective_terms(wanted, lexical.document_frequency(found, wanted), index.n_docs, p)
     return lexical.bm25(kept, found, index.n_docs, index.average, p)
 
@@ -81,8 +83,8 @@ def number_channel(docs: DataFrame, asked: DataFrame) -> DataFrame:
 def hybrid(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
     """The top results of every question with score, channels, similarity, relevance and context mark."""
     docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
-    lex = lexical.top(lexical_channel(build_index(docs), asked, p), p.candidates)
-    sims = vector_channel(spark, sf_dir, asked, p.candidates).cache()
+    lex = lexical.top(lexical_channel(index_of(spark, sf_dir), asked, p), p.candidates)
+    sims = materialize(vector_channel(spark, sf_dir, asked, p.candidates), "similarities")
     vec = lexical.top(sims, p.candidates, "sim")
     num = number_channel(docs, asked)
     fused = fusion.top_fused(fusion.fuse({"vector": (vec, p.w_vector), "lexical": (lex, p.w_lexical), "number": (num, p.w_number)}, p), p.top_k)

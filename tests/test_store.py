@@ -96,7 +96,7 @@ def test_plans(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
     plan = QUERIES["chunk_documents"](spark, DIR)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan
-    lex = lexical.matches(lexical.tokens(search.corpus(spark, DIR), search.search_text()), lexical.terms(search.questions(spark, DIR)))
+    lex = lexical.matches(search.index_of(spark, DIR).vocabulary, lexical.terms(search.questions(spark, DIR)))
     assert "NestedLoop" not in lex._jdf.queryExecution().toString() and "Cartesian" not in lex._jdf.queryExecution().toString()
 
 
@@ -108,3 +108,40 @@ def test_missing_numbers_across_buckets(spark, monkeypatch):
     got = evaluation.missing_numbers(spark.createDataFrame(rows, "grp string, n long"), "n", "grp").collect()
     want = {("a", n) for n in range(1, 41) if n not in (2, 3, 7, 8, 40)} | {("c", n) for n in range(1, 17)}
     assert sorted((r.grp, r.number) for r in got) == sorted(want)
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    from lexmill.operators import postings
+
+    docs = search.corpus(spark, DIR)
+    postings.write_index(docs, search.search_text(), str(tmp_path / "i"), parts=16)
+    index = postings.read_index(spark, str(tmp_path / "i"))
+    tokens = lexical.tokens(docs, search.search_text())
+    sizes = tokens.agg(F.count("*").alias("n"), F.sum(F.size("words")).alias("t")).first()
+    assert index.n_docs == sizes.n and index.average == sizes.t / sizes.n and index.vocabulary.count() == index.vocabulary.select("token").distinct().count()
+    one = spark.createDataFrame([(1, "the zqx 17 idiot"), (2, ""), (3, None)], "qid long, text string")
+    for asked in (one, search.questions(spark, DIR)):
+        wanted = lexical.terms(asked)
+        got = {tuple(r) for r in postings.term_documents(index, wanted).select("term", "doc_id", "tf", "n_tokens").collect()}
+        assert got == {tuple(r) for r in lexical.term_documents(tokens, wanted).select("term", "doc_id", "tf", "n_tokens").collect()} and got
+    # few tokens: only their folders are opened
+    met = lexical.matches(index.vocabulary, lexical.terms(spark.createDataFrame([(1, "17")], "qid long, text string")))
+    plan = postings.postings_of(index, met)._jdf.queryExecution().toString()
+    assert "part#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    # many kept terms are dealt by shares of the documents, with the same scores
+    wanted = lexical.terms(search.questions(spark, DIR))
+    found = postings.term_documents(index, wanted, (0.12,))
+    kept = lexical.selective_terms(wanted, lexical.document_frequency(found, wanted), index.n_docs)
+    want = sorted(map(tuple, lexical.bm25(kept, found, index.n_docs, index.average).collect()))
+    monkeypatch.setattr(lexical, "MOST_MATCHES", 0)
+    assert sorted(map(tuple, lexical.bm25(kept, found, index.n_docs, index.average).collect())) == want and want
+
+
+def test_postings_of_frequent_terms_stay_unread(spark):
+    from lexmill.operators import postings
+
+    known = spark.createDataFrame([("all*", "all", 90), ("all*", "alloy", 2), ("rare*", "rare", 3), ("mid*", "middle", 8), ("mid*", "midst", 7)], "term string, token string, df long")
+    wanted = spark.createDataFrame([(1, "all*"), (1, "rare*"), (2, "all*"), (2, "mid*"), (3, "mid*")], "qid long, term string")
+    need = lambda *limits: sorted(r.term for r in postings.needed_terms(known, wanted, 100, limits).collect())
+    assert need(0.12) == ["all*", "mid*", "rare*"]  # query 2 may lack a selective term
+    assert need(0.2) == ["mid*", "rare*"] and need(0.02, 0.2) == ["all*", "mid*", "rare*"] and need(0.95) == ["all*", "mid*", "rare*"]
