@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,22 +34,24 @@ def embed(rows: DataFrame, column: Column, provider: Callable[[], Provider], id_
 
 
 def generate(prompts: DataFrame, provider: Callable[[], Provider], p: Params = DEFAULT) -> DataFrame:
-    """prompts(qid, messages) with the model's raw answer, or the error of that one question; the others go on."""
+    """prompts(qid, messages) with the model's raw answer, how long it took, or the error of that one question; the others go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = provider()
         for b in batches:
-            said, failed = [], []
+            said, failed, took = [], [], []
             for messages in b.column(1).to_pylist():
+                began = time.monotonic()
                 try:
                     said.append(ask(model, messages or [], p))
                     failed.append("")
                 except (OSError, RuntimeError, ValueError) as e:
                     said.append("")
                     failed.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(failed, pa.string())], ["qid", "raw", "error"])
+                took.append(1000 * (time.monotonic() - began))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array(failed, pa.string()), pa.array(took, pa.float64())], ["qid", "raw", "error", "generation_ms"])
 
-    return prompts.select(F.col("qid").cast("long"), F.col("messages").cast(_MESSAGES)).transform(arrow_map, run, "qid long, raw string, error string")
+    return prompts.select(F.col("qid").cast("long"), F.col("messages").cast(_MESSAGES)).transform(arrow_map, run, "qid long, raw string, error string, generation_ms double")
 
 
 def finish(raw: DataFrame) -> DataFrame:

@@ -46,6 +46,28 @@ def summary(hits: DataFrame, *by: str) -> DataFrame:
     return hits.groupBy(*by).agg(*cols) if by else hits.agg(*cols)
 
 
+def report(rows: DataFrame, k: int = 20) -> DataFrame:
+    """One row of measures over rows(id, answerable, first_hit, hit1, hit3, hit5, rr, relevant) of a question set: rates of the
+    answerable questions, the gate's accuracy on both classes, and the first ``k`` ids without a hit.
+
+    Rows with cited_expected, unsupported, refused, success, auto_cited, error and generation_ms give the measures of answers
+    too; times are merged as quantile sketches, so no task holds them all.
+    """
+    yes, no = F.col("answerable"), ~F.col("answerable")
+    over = lambda test, among: F.coalesce(half_up(100 * F.avg(F.when(among, F.when(test, 1.0).otherwise(0.0))), 1), F.lit(0.0))
+    cols = [F.count("*").alias("questions"), F.count_if(yes).alias("answerable"), F.count_if(no).alias("out_of_scope")]
+    cols += [over(F.col(f"hit{n}"), yes).alias(f"hit_at_{n}") for n in (1, 3, 5)]
+    cols += [F.coalesce(half_up(F.avg(F.when(yes, F.col("rr"))), 4), F.lit(0.0)).alias("mrr"), F.count_if(yes & F.col("first_hit").isNull()).alias("missed")]
+    cols += [over(F.col("relevant"), yes).alias("gate_answerable"), over(~F.col("relevant"), no).alias("gate_out_of_scope")]
+    if "success" in rows.columns:
+        ms = F.when(F.col("generation_ms") > 0, F.col("generation_ms"))
+        cols += [over(F.col("cited_expected"), yes).alias("cited_expected"), F.count_if(F.size("unsupported") > 0).alias("with_unsupported"), over(F.col("refused"), no).alias("refused"), percent(F.coalesce("success", F.lit(False))).alias("success")]
+        cols += [F.count_if(F.col("error") != "").alias("errors"), F.count_if(yes & F.col("auto_cited")).alias("auto_cited"), F.coalesce(F.round(F.avg(ms), 1), F.lit(0.0)).alias("mean_ms"), F.coalesce(F.round(F.percentile_approx(ms, 0.5), 1), F.lit(0.0)).alias("median_ms")]
+    lost = top_rows(rows.where(yes & F.col("first_hit").isNull()).select(F.lit(0).alias("all"), "id"), ["all"], [("id", True)], k)
+    ids = lost.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("missed_ids"))  # k rows at most
+    return rows.agg(*cols).crossJoin(ids)  # one row each
+
+
 def grid_results(ranked: DataFrame, params: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
     """Fused top-k for every parameter row at once.
 

@@ -13,8 +13,9 @@ from lexmill.functions.providers import DIMS, bucket
 from lexmill.functions.text import char_grams
 from lexmill.sources.tables import arrow_map
 
-#: Query vectors that meet all rows at once; a larger query set is worked off in blocks.
-QUERY_BLOCK = 2000
+#: Bytes of query vectors that meet all rows in one scan; a larger query set is worked off in so many scans. Similarities
+#: that a task has at once.
+QUERY_BYTES, MOST_SIMS = 64 << 20, 8 << 20
 
 
 def unit(vector: Column) -> Column:
@@ -24,18 +25,23 @@ def unit(vector: Column) -> Column:
     return F.when((norm > 0) & (norm < F.lit(float("inf"))), F.transform(v, lambda x: x / norm))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, strict: bool = False) -> DataFrame:
     """(qid, doc_id, sim rounded to 6 places): every query's k best rows, and more of them, for vectors(doc_id, vec) and
     queries(qid, vec). A window over the result picks the k best; the best one is the greatest similarity of all rows.
 
-    The query vectors are collected block by block (QUERY_BLOCK bounds one) and multiplied as a matrix with each Arrow
-    batch of rows. Only what can be among the k best of a query, ties included, leaves a batch, so the output is a small
-    share of queries times rows. A vector of another length raises; null, zero and non-finite vectors give no rows.
+    A stated query set against all rows, in blocks: queries are counted first, and dealt to blocks of QUERY_BYTES by a hash
+    of qid; a block is one matrix on every task, and one scan of the rows. A task keeps the k best of each query, ties by
+    doc_id, so it sends at most k rows a query. Vectors meet those of their own length; with ``strict`` a row whose length
+    no query has raises. Null, zero and non-finite vectors, and those with null components, give no rows.
     """
-    asked = queries.select("qid", "vec").where("vec is not null").orderBy("qid").collect()
+    size = F.size("vec")
+    asked = queries.where("vec is not null").select(F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec"))
+    total = asked.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] * 8
+    blocks = max(1, -(-total // QUERY_BYTES))
     out = None
-    for at in range(0, max(1, len(asked)), QUERY_BLOCK):
-        part = _against(vectors, asked[at : at + QUERY_BLOCK], k)
+    for n in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
+        part = _against(vectors, block.toArrow(), k, strict)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -49,35 +55,72 @@ def pair_similarities(pairs: DataFrame, vectors: DataFrame, queries: DataFrame)
     return both.withColumn("sim", F.coalesce(F.round(dot, 6), F.lit(0.0))).drop("_d", "_q")
 
 
-def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Usable rows, and their unit vectors in double."""
-    rows = [(k, v) for k, v in enumerate(column.to_pylist()) if v and None not in v]
-    at = np.array([k for k, _ in rows], np.int64)
-    x = np.array([v for _, v in rows], float)
-    norm = np.linalg.norm(x, axis=1) if len(x) else np.empty(0)
-    good = np.isfinite(norm) & (norm > 0)
-    return at[good], x[good] / norm[good][:, None] if len(x) else x
+def _usable(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the ids and unit vectors, in double, of the usable rows."""
+    lists = vectors.cast(pa.list_(pa.float64()))
+    values = lists.values.to_numpy(zero_copy_only=False)  # nulls become NaN
+    start, end = (lists.offsets.to_numpy(zero_copy_only=False)[x].astype(np.int64) for x in (slice(None, -1), slice(1, None)))
+    length = np.where(lists.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False), end - start, 0)
+    out, names = {}, ids.fill_null(0).to_numpy(zero_copy_only=False)
+    for n in np.unique(length[length > 0]).tolist():
+        at = np.flatnonzero(length == n)
+        x = values[start[at][:, None] + np.arange(n)]
+        with np.errstate(invalid="ignore", over="ignore"):
+            norm = np.linalg.norm(x, axis=1)
+        good = np.isfinite(norm) & (norm > 0)
+        out[n] = names[at[good]], x[good] / norm[good][:, None]
+    return out
 
 
-def _against(vectors: DataFrame, asked: list, k: int) -> DataFrame:
-    ids = [r.qid for r in asked]
-    at, matrix = _rows(pa.array([list(r.vec) for r in asked], pa.list_(pa.float64()))) if asked else (np.empty(0, np.int64), np.empty((0, 0)))
-    names = np.array([ids[n] for n in at], np.int64)
+class _Best:
+    """The k best (sim, then smaller id) of each of n queries; candidates wait until there are many."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -2.0)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting, self.limit = 0, max(200_000, 4 * n * k)
+
+    def add(self, ids: np.ndarray, sims: np.ndarray) -> None:
+        row, query = np.nonzero(sims >= self.least)
+        self.parts.append((query, ids[row], sims[row, query]))
+        self.waiting += len(row)
+        if self.waiting > self.limit:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, ids, sims = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -sims, query))
+        query = query[order]
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]][: len(query)])
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+        kept = order[place < self.k]
+        self.parts = [(query[place < self.k], ids[kept], sims[kept])]
+        self.waiting = len(kept)
+        last = place == self.k - 1
+        self.least[query[last]] = sims[order[last]]
+        return self.parts[0]
+
+
+def _against(vectors: DataFrame, asked: pa.Table, k: int, strict: bool) -> DataFrame:
+    queries = _usable(asked.column("qid").combine_chunks(), asked.column("vec").combine_chunks()) if asked.num_rows else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: _Best(len(names), k) for n, (names, _) in queries.items()}
         for batch in batches:
-            for s in range(0, batch.num_rows, 2048):
-                part = batch.slice(s, 2048)
-                own, x = _rows(part.column(1))
-                if not len(own) or not len(names):
+            for n, (ids, x) in _usable(batch.column(0), batch.column(1)).items():
+                if n not in queries:
+                    if strict and queries:
+                        raise ValueError(f"vectors of length {n} meet queries of length {sorted(queries)}")
                     continue
-                if x.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"vectors of length {x.shape[1]} meet queries of length {matrix.shape[1]}")
-                sims = np.round(x @ matrix.T, 6)
-                least = np.partition(sims, -k, axis=0)[-k] if k < len(sims) else np.full(len(names), -2.0)
-                row, col = np.nonzero(sims >= least)
-                doc = part.column(0).to_numpy(zero_copy_only=False)[own[row]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[col]), pa.array(doc.astype(np.int64)), pa.array(sims[row, col])], ["qid", "doc_id", "sim"])
+                matrix = queries[n][1]
+                step = max(1, MOST_SIMS // max(1, len(matrix)))
+                for s in range(0, len(ids) if len(matrix) else 0, step):
+                    best[n].add(ids[s : s + step], np.round(x[s : s + step] @ matrix.T, 6))
+        for n, kept in best.items():
+            query, ids, sims = kept.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(queries[n][0][query].astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(sims)], ["qid", "doc_id", "sim"])
 
     return vectors.select(F.col("doc_id").cast("long"), F.col("vec").cast("array<double>")).transform(arrow_map, run, "qid long, doc_id long, sim double")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexmill.functions.answers import CITATION, IRRELEVANT, NOTHING, RELEVANT, SAMPLE, SYSTEM_PROMPT, UNKNOWN
 from lexmill.functions.html import ENTITIES, FOOTNOTE_MARKS
 from lexmill.functions.text import FIRST_FROM, FIRST_TO, LAWS, STOP_WORDS, SYNONYMS
+from lexmill.operators.outline import ACCEPTED, GAZETTE, OUTSIDE_NOTE, OUTSIDE_START, TABLE_START
 from lexmill.params import DEFAULT as P
 
 
@@ -97,6 +98,9 @@ BODY_PLAIN = r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^
 BODY = rf"body0 AS (SELECT page_id, {BODY_PLAIN} AS h FROM pages), body AS (SELECT page_id, CASE WHEN regexp_matches(h, '(?is)<body[^>]*>.*</body>') THEN regexp_extract(h, '(?is)<body[^>]*>(.*)</body>', 1) ELSE h END AS body FROM body0)"
 
 
+MARKED = """marked AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?i)(<p\\b[^>]*>[^<]*)', '\\1<sup>1</sup><span style="vertical-align: super">2</span><a href="#_ftn3">3</a>', 'g') AS html FROM pages)"""
+
+
 def plain(x: str) -> str:
     for pattern in (FOOTNOTE_MARKS, r"(?is)<[^>]+>"):
         x = f"regexp_replace({x}, {lit(pattern)}, ' ', 'g')"
@@ -142,6 +146,10 @@ RATES = """coalesce(floor(1000 * avg(CASE WHEN first_hit <= 1 THEN 1.0::double E
  coalesce(floor(1000 * avg(CASE WHEN first_hit <= 5 THEN 1.0::double ELSE 0 END) + 0.5 + 1e-6) / 10, 0) AS hit_at_5, coalesce(floor(avg(coalesce(1.0::double / first_hit, 0)) * 10000 + 0.5 + 1e-6) / 10000, 0) AS mrr, count_if(first_hit IS NULL) AS missed, count(*) AS n"""
 
 
+def _share(test: str, among: str) -> str:
+    return f"coalesce(floor(1000 * avg(CASE WHEN {among} THEN CASE WHEN {test} THEN 1.0::double ELSE 0 END END) + 0.5 + 1e-6) / 10, 0)"
+
+
 def grid_sql(rows: list[tuple]) -> str:
     """rows as in plans.queries._grid."""
     most = max(r[0] for r in rows)
@@ -202,23 +210,25 @@ kept AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY k
 whole AS (SELECT doc_id, text AS chunk, 1 AS part_no, 1 AS parts FROM documents d WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = d.doc_id))
 SELECT doc_id, part_no, parts, length(chunk) AS chars, md5(chunk) AS md5 FROM (SELECT * FROM kept UNION ALL SELECT doc_id, chunk, part_no, parts FROM whole)"""
 
-# the made-up statutes hold no section switch and no end mark, so neither is in this SQL; the tests hold both against a state machine
-OUTLINED = r"""WITH l AS (SELECT doc_id AS source_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
-b AS (SELECT source_id, pos, (pos + source_id) % 12 AS k, CASE WHEN (pos + source_id) % 12 = 0 THEN 'BİRİNCİ BÖLÜM' WHEN (pos + source_id) % 12 = 2 THEN 'A. ' || line WHEN (pos + source_id) % 12 = 3 THEN 'I. ' || line
-  WHEN (pos + source_id) % 12 IN (4, 6, 9) THEN 'MADDE ' || (pos + 1) || '- ' || line WHEN (pos + source_id) % 12 = 8 THEN '2. ' || line WHEN (pos + source_id) % 12 = 11 THEN 'İKİNCİ AYIRIM' ELSE trim(line) END AS text FROM l),
+OUTLINED = rf"""WITH l AS (SELECT doc_id AS source_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+b0 AS (SELECT *, CASE WHEN pos = 20 AND source_id % 3 = 1 THEN -1 WHEN pos = 40 AND source_id % 5 = 2 THEN -2 ELSE (pos + source_id) % 12 END AS k FROM l),
+b1 AS (SELECT source_id, pos, k, CASE WHEN k = -1 THEN '6098 {OUTSIDE_START}' WHEN k = -2 THEN '6098 {TABLE_START} LİSTE' WHEN k = 0 THEN 'BİRİNCİ BÖLÜM' WHEN k = 2 THEN 'A. ' || line WHEN k = 3 THEN 'I. ' || line
+  WHEN k = 4 THEN 'MADDE ' || (pos + 1) || '- ' || line WHEN k = 6 THEN 'GEÇİCİ MADDE ' || (pos + 1) || '- ' || line WHEN k = 9 THEN 'EK MADDE ' || (pos + 1) || '/a- ' || line WHEN k = 8 THEN '2. ' || line WHEN k = 11 THEN 'İKİNCİ AYIRIM' ELSE trim(line) END AS text FROM b0),
+b AS (SELECT * FROM (SELECT *, min(CASE WHEN k = -2 OR (pos = 30 AND source_id % 5 = 3) THEN pos END) OVER (PARTITION BY source_id) AS stop FROM b1 WHERE text <> '') WHERE stop IS NULL OR pos < stop),
 e AS (SELECT *, CASE WHEN k IN (0, 11) THEN 'structure' WHEN k IN (4, 6, 9) THEN 'article' WHEN k IN (2, 3, 8) THEN 'heading' ELSE 'body' END AS kind, lag(k) OVER (PARTITION BY source_id ORDER BY pos) IN (0, 11) AS waited, lag(text) OVER (PARTITION BY source_id ORDER BY pos) AS label,
-  lag(k) OVER (PARTITION BY source_id ORDER BY pos) AS was FROM b WHERE text <> ''),
+  lag(k) OVER (PARTITION BY source_id ORDER BY pos) AS was FROM b WHERE k >= 0),
 s AS (SELECT source_id, pos::double AS p, CASE WHEN waited AND kind IN ('heading', 'body') THEN 'name' ELSE kind END AS kind, text, CASE WHEN waited AND kind IN ('heading', 'body') THEN was END AS lev, label || ' ' || text AS val FROM e
- UNION ALL SELECT source_id, pos - 0.5, 'name', text, was, label FROM e WHERE waited AND kind IN ('article', 'structure')),
+ UNION ALL SELECT source_id, pos - 0.5, 'name', text, was, label FROM e WHERE waited AND kind IN ('article', 'structure') UNION ALL SELECT source_id, pos, 'outside', text, NULL, NULL FROM b WHERE k = -1),
 m AS (SELECT *, CASE WHEN kind = 'heading' THEN CASE WHEN regexp_matches(text, '^(A|I|2)[.] +\S') THEN CASE text[1] WHEN 'A' THEN 1 WHEN 'I' THEN 2 ELSE 3 END ELSE 0 END END AS depth FROM s),
-f AS (SELECT *, max(CASE WHEN kind IN ('structure', 'name') OR depth = 0 THEN p END) OVER w AS reset, max(CASE WHEN kind = 'structure' THEN p END) OVER w AS closed, max(CASE WHEN kind = 'article' THEN p END) OVER w AS art,
+f AS (SELECT *, max(CASE WHEN kind IN ('structure', 'name', 'outside') OR depth = 0 THEN p END) OVER w AS reset, max(CASE WHEN kind IN ('structure', 'outside') THEN p END) OVER w AS closed, max(CASE WHEN kind = 'article' THEN p END) OVER w AS art, max(CASE WHEN kind = 'outside' THEN p END) OVER w AS out,
   max(CASE WHEN depth IN (0, 1) THEN p END) OVER w AS h1, last_value(CASE WHEN depth IN (0, 1) THEN text END IGNORE NULLS) OVER w AS t1, max(CASE WHEN depth = 2 THEN p END) OVER w AS h2, last_value(CASE WHEN depth = 2 THEN text END IGNORE NULLS) OVER w AS t2,
   max(CASE WHEN depth = 3 THEN p END) OVER w AS h3, last_value(CASE WHEN depth = 3 THEN text END IGNORE NULLS) OVER w AS t3, max(CASE WHEN lev = 0 THEN p END) OVER w AS s3, last_value(CASE WHEN lev = 0 THEN val END IGNORE NULLS) OVER w AS v3,
   max(CASE WHEN lev = 11 THEN p END) OVER w AS s4, last_value(CASE WHEN lev = 11 THEN val END IGNORE NULLS) OVER w AS v4 FROM m WINDOW w AS (PARTITION BY source_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-a AS (SELECT source_id, p, regexp_extract(text, '^MADDE (\d+)', 1) AS article_no, row_number() OVER (PARTITION BY source_id ORDER BY p) AS ordinal, CASE WHEN h1 >= coalesce(reset, -1) THEN t1 END AS x1, CASE WHEN h2 > greatest(coalesce(reset, -1), coalesce(h1, -1)) THEN t2 END AS x2,
+a AS (SELECT source_id, p, text[1] AS first, regexp_extract(text, 'MADDE (\d+)', 1) AS no, CASE WHEN out IS NOT NULL THEN '{OUTSIDE_NOTE}' ELSE '' END AS note, row_number() OVER (PARTITION BY source_id ORDER BY p) AS ordinal, CASE WHEN h1 >= coalesce(reset, -1) THEN t1 END AS x1, CASE WHEN h2 > greatest(coalesce(reset, -1), coalesce(h1, -1)) THEN t2 END AS x2,
   CASE WHEN h3 > greatest(coalesce(reset, -1), coalesce(h1, -1), coalesce(h2, -1)) THEN t3 END AS x3, coalesce(v3, '') AS chapter, CASE WHEN s4 > coalesce(s3, -1) THEN v4 ELSE '' END AS section FROM f WHERE kind = 'article'),
-t AS (SELECT source_id, art AS p, count(*) AS paragraphs, md5(string_agg(said, chr(10) ORDER BY q)) AS md5 FROM (SELECT source_id, art, p AS q, CASE WHEN kind = 'article' THEN trim(regexp_replace(text, '^MADDE \d+\s*[-–—]?\s*', '')) ELSE text END AS said FROM f WHERE kind IN ('article', 'body') AND art > coalesce(closed, -1)) WHERE said <> '' GROUP BY ALL)
-SELECT a.source_id, a.article_no, 'madde' AS kind, coalesce(x3, x2, x1, '') AS heading, concat_ws(' > ', x1, x2, x3) AS topic, chapter, section, ordinal, paragraphs, md5 FROM a JOIN t ON a.source_id = t.source_id AND a.p = t.p"""
+t AS (SELECT source_id, art AS p, count(*) AS paragraphs, md5(string_agg(said, chr(10) ORDER BY q)) AS md5 FROM (SELECT source_id, art, p AS q, CASE WHEN kind = 'article' THEN trim(regexp_replace(text, '^(GEÇİCİ |EK )?MADDE \d+(/a)?\s*[-–—]?\s*', '')) ELSE text END AS said FROM f WHERE kind IN ('article', 'body') AND art > coalesce(closed, -1)) WHERE said <> '' GROUP BY ALL)
+SELECT a.source_id, CASE first WHEN 'G' THEN 'GEÇİCİ ' || no WHEN 'E' THEN 'EK ' || no || '/A' ELSE no END AS article_no, CASE first WHEN 'G' THEN 'gecici' WHEN 'E' THEN 'ek' ELSE 'madde' END AS kind, coalesce(x3, x2, x1, '') AS heading, concat_ws(' > ', x1, x2, x3) AS topic, chapter, section, note, ordinal, paragraphs, md5
+FROM a JOIN t ON a.source_id = t.source_id AND a.p = t.p"""
 
 CLEANED = rf"""WITH {ANSWERS}, c AS (SELECT conv_id, turn, '[ABC m. 1] I. Genel' || chr(10) || 'kopya satır' || chr(10) || chr(10) || '**Özetle:** ' || answer AS t FROM answers),
 g AS (SELECT *, trim(regexp_extract(t, '(?im)^[ 	]*\**[ 	]*dayanak[ 	]*\**[ 	]*:[ 	]*\**(.*)$', 1)) AS grounds, regexp_replace(t, '(?im)^[ 	]*\**[ 	]*dayanak[ 	]*\**[ 	]*:[ 	]*\**(.*)$
@@ -232,6 +242,37 @@ j AS (SELECT n.conv_id, n.turn, string_agg(n.line, chr(10) ORDER BY n.i) AS body
 z AS (SELECT r.conv_id, r.turn, grounds, regexp_replace(regexp_replace(regexp_replace(CASE WHEN trim(coalesce(body, '')) = '' THEN rest ELSE body END, {STRIP}), '(?i)^\s*(\*\*)?\s*(özet|özetle|sonuç|yanıt)\s*(\*\*)?\s*:\s*(\*\*)?\s*', ''), {STRIP}) AS x FROM r LEFT JOIN j ON r.conv_id = j.conv_id AND r.turn = j.turn)
 SELECT conv_id, turn, CASE WHEN grounds <> '' AND NOT contains(x, grounds) THEN regexp_replace(x || chr(10) || chr(10) || 'DAYANAK: ' || grounds, {STRIP}) ELSE x END AS answer FROM z"""
 
+# The digest's initial state, and where in each round's order of message words the first one stands.
+BLAKE_IV = (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+BLAKE_PLACE = (0, 10, 3, 13, 1, 4, 8, 9, 6, 15, 0, 10)
+
+
+def digest_of(grams: str, dims: int = 512) -> str:
+    """bucket(gram, dim): the 4-byte BLAKE2b digest of each of {grams}(gram), of at most 7 ASCII characters, modulo dims.
+
+    A gram fills part of the first message word and the others are zero, so of each round's sixteen words only the place
+    of the first one matters. 96 steps over the state as a list; a step turns four of its words.
+    """
+    word = lambda x: f"{x}::uhugeint"
+    full = word((1 << 64) - 1)
+    turned = lambda x, n: f"((({x}) >> {n}) | ((({x}) << {64 - n}) & {full}))"
+    first = [BLAKE_IV[0] ^ 0x01010004, *BLAKE_IV[1:], *BLAKE_IV]
+    first[14] ^= (1 << 64) - 1
+    state = ", ".join(f"xor({word(v)}, length(gram)::uhugeint)" if k == 12 else word(v) for k, v in enumerate(first))
+    return f"""m0 AS (SELECT gram, list_sum([ord(gram[i])::uhugeint << ((i - 1) * 8)::uhugeint FOR i IN range(1, length(gram) + 1)])::uhugeint AS m FROM (SELECT DISTINCT gram FROM {grams})),
+steps AS (SELECT k, g, CASE WHEN g < 4 THEN g ELSE g - 4 END + 1 AS a, CASE WHEN g < 4 THEN g + 4 ELSE 4 + (g - 3) % 4 END + 1 AS b, CASE WHEN g < 4 THEN g + 8 ELSE 8 + (g - 2) % 4 END + 1 AS c, CASE WHEN g < 4 THEN g + 12 ELSE 12 + (g - 1) % 4 END + 1 AS d,
+  spot = 2 * g AS x, spot = 2 * g + 1 AS y FROM (SELECT range AS k, range % 8 AS g, {list(BLAKE_PLACE)}[range // 8 + 1] AS spot FROM range(96))),
+run AS (SELECT gram, coalesce(m, 0::uhugeint) AS m, 0::bigint AS k, [{state}] AS v FROM m0
+ UNION ALL SELECT gram, m, k + 1, list_transform(v, lambda e, i: CASE i WHEN a THEN a2 WHEN b THEN b2 WHEN c THEN c2 WHEN d THEN d2 ELSE e END) FROM (SELECT *, {turned('xor(b1, c2)', 63)} AS b2 FROM (SELECT *, (c1 + d2) & {full} AS c2 FROM (SELECT *, {turned('xor(d1, a2)', 16)} AS d2 FROM (
+  SELECT *, (a1 + b1 + CASE WHEN y THEN m ELSE 0::uhugeint END) & {full} AS a2 FROM (SELECT *, {turned('xor(v[b], c1)', 24)} AS b1 FROM (SELECT *, (v[c] + d1) & {full} AS c1 FROM (SELECT *, {turned('xor(v[d], a1)', 32)} AS d1 FROM (
+  SELECT run.gram, run.m, run.v, steps.*, (run.v[a] + run.v[b] + CASE WHEN x THEN run.m ELSE 0::uhugeint END) & {full} AS a1 FROM run JOIN steps ON steps.k = run.k))))))))),
+bucket AS (SELECT gram, ((h & 255) * 16777216 + ((h >> 8) & 255) * 65536 + ((h >> 16) & 255) * 256 + ((h >> 24) & 255)) % {dims} AS dim FROM (SELECT gram, (xor(xor({word(first[0])}, v[1]), v[9]) & 4294967295::uhugeint)::bigint AS h FROM run WHERE k = 96))"""
+
+
+HASHED = f"""WITH RECURSIVE n AS (SELECT item_id, {norm('text')} AS t FROM benchmark), grams AS (SELECT item_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE [substring(t, i, 3) FOR i IN range(1, length(t) - 1)] END) AS gram FROM n),
+{digest_of('grams')}, c AS (SELECT item_id, dim, count(*) AS n FROM grams JOIN bucket USING (gram) GROUP BY ALL)
+SELECT item_id, dim::int AS dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM c"""
+
 NUMBER_LINE = "'Madde ' || item_id || '/A ve TBK ' || (item_id + 1) || ' ile ' || (item_id % 9) || '. maddesi, m. ' || item_id || ' ' || text"
 
 
@@ -248,6 +289,9 @@ def sql() -> dict[str, str]:
         "page_admission": "SELECT page_id, strlen(coalesce(html, '')) >= 4000 AND contains(upper(html), '</ARTICLE>') AS admitted, CASE WHEN strlen(coalesce(html, '')) < 4000 THEN 'short' WHEN NOT contains(upper(html), '</ARTICLE>') THEN 'no marker' ELSE '' END AS reason FROM pages",
         "page_body": f"WITH {BODY} SELECT page_id, body FROM body",
         "page_text": f"WITH {BODY} SELECT page_id, {plain('body')} AS text FROM body",
+        "page_notes": f"WITH {BODY.replace('FROM pages)', 'FROM marked)').replace('body0 AS', MARKED + ', body0 AS', 1)} SELECT page_id, {plain('body')} AS text FROM body",
+        "page_stream": f"WITH {BLOCKS} SELECT page_id, pos, tag, css, centered, text FROM blocks",
+        "source_urls": "SELECT doc_id, 'https://example.org/file/' || (doc_id % 3 + 1) || '.' || (doc_id % 5 + 1) || '.' || doc_id || '.htm' AS url FROM documents",
         "page_blocks": f"WITH {BLOCKS} SELECT page_id, pos, tag, css, centered, text FROM blocks",
         "page_headings": rf"""WITH {BLOCKS} SELECT page_id, count_if(CASE WHEN starts_with(tag, 'h') OR centered OR regexp_matches(css, '(?i)^stil') THEN true WHEN bold_chars > 0 AND bold_chars >= 0.9 * chars THEN true
  WHEN regexp_matches(css, '(?i)title|heading') THEN NOT regexp_matches(text, '[.!?;:]$') AND length(text) <= 60 ELSE false END) AS headings, count(*) AS blocks, sum(chars) AS chars, sum(bold_chars) AS bold_chars FROM blocks GROUP BY page_id""",
@@ -260,6 +304,7 @@ n AS (SELECT item_id, 1 AS k, unnest(regexp_extract_all(line, '(?i)\bmadde\s*(\d
 d AS (SELECT item_id, CASE WHEN coalesce(b, '') = '' THEN a ELSE a || '/' || lower(b) END AS number, min(k * 1000 + pl) AS o FROM n GROUP BY ALL)
 SELECT q.item_id, (SELECT string_agg(number, ',' ORDER BY o) FROM d WHERE d.item_id = q.item_id) AS numbers, upper(regexp_extract(line, '(?i)\b({LAWS})\b', 1)) AS law FROM q""",
         "query_terms": f"WITH asked AS (SELECT item_id AS qid, text FROM benchmark), {terms_of('asked', 'terms')} SELECT qid AS item_id, place, term FROM terms",
+        "fts_expression": f"WITH asked AS (SELECT item_id AS qid, text FROM benchmark), {terms_of('asked', 'terms')} SELECT item_id, coalesce((SELECT string_agg(term, ' OR ' ORDER BY place) FROM terms WHERE qid = item_id), '') AS expression FROM benchmark",
         "synonym_expand": f"WITH asked AS (SELECT item_id AS qid, {statute} AS text FROM benchmark), {SYN}, {expand_of('asked', 'ex')} SELECT qid AS item_id, expanded FROM ex",
         "search_fields": f"WITH {CORPUS} SELECT doc_id, {norm('content')} AS content_norm, {norm('heading')} AS heading_norm, {norm('label')} AS label_norm FROM corpus",
         "citation_label": f"""WITH {CORPUS} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN law || '''ya işlenemeyen hüküm — ' || CASE WHEN {kind} = 'gecici' THEN 'Geçici m. ' ELSE 'm. ' END || article_no
@@ -269,7 +314,9 @@ SELECT q.item_id, (SELECT string_agg(number, ',' ORDER BY o) FROM d WHERE d.item
         "clean_answer": CLEANED,
         "context_header": f"""WITH {CORPUS} SELECT doc_id, concat_ws(chr(10), 'Law ' || law || ' (6098) — ' || label, CASE WHEN heading <> '' THEN 'Kenar başlığı: ' || heading END, CASE WHEN doc_id % 3 <> 0 THEN 'Konu: A. > ' || heading END,
  CASE WHEN doc_id % 7 = 0 THEN 'Not: İŞLENEMEYEN HÜKÜM' END) || chr(10) || '---' || chr(10) || content AS embedding_text FROM corpus""",
-        "header_meta": "SELECT doc_id AS source_id, (doc_id % 28 + 1) || '/1/2011' AS accepted, '4/2/' || (doc_id % 30 + 1990) || ' tarihli, ' || doc_id || ' sayılı Resmî Gazete' AS gazette FROM documents",
+        "header_meta": rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+h AS (SELECT doc_id AS source_id, string_agg(CASE WHEN pos = doc_id % 45 THEN line || ' Kabul Tarihi : ' || (doc_id % 28 + 1) || '/1/2011 Resmî Gazete : Tarih : 4/2/' || (doc_id % 30 + 1990) || ' Sayı : ' || doc_id ELSE line END, ' ' ORDER BY pos) AS t FROM l WHERE pos < 40 GROUP BY doc_id)
+SELECT source_id, regexp_extract(t, {lit(ACCEPTED)}, 1) AS accepted, CASE WHEN regexp_extract(t, {lit(GAZETTE)}, 1) <> '' THEN regexp_extract(t, {lit(GAZETTE)}, 1) || ' tarihli, ' || regexp_extract(t, {lit(GAZETTE)}, 2) || ' sayılı Resmî Gazete' ELSE '' END AS gazette FROM h""",
         "chunk_source_join": f"WITH {CORPUS}, s AS (SELECT upper(source) AS law, min(doc_id) AS source_id, count(*) AS source_docs FROM documents GROUP BY 1) SELECT c.doc_id, c.law, s.source_id, s.source_docs, c.label FROM corpus c JOIN s ON c.law = s.law",
         "semi_delete": "SELECT source, count(*) AS docs, max(doc_id) AS last_doc FROM documents GROUP BY source HAVING min(doc_id) % 3 <> 0",
         "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels UNION ALL SELECT doc_id + 1000000, quality, toxic FROM labels",
@@ -279,6 +326,7 @@ SELECT q.item_id, (SELECT string_agg(number, ',' ORDER BY o) FROM d WHERE d.item
         "df_filter": f"WITH {LEX_PLAIN}, {kept_of('terms', 'kept')} SELECT qid, term, df FROM kept",
         "bm25_search": f"WITH {LEX_PLAIN}, {kept_of('terms', 'kept')}, {bm25_of('terms', 'kept', 'lex')} SELECT qid, doc_id, score, rank FROM lex",
         "vector_search": f"WITH {VECTOR_ASKED} SELECT qid, doc_id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc_id) AS rank FROM sims QUALIFY rank <= {P.candidates}",
+        "hash_embedding": HASHED,
         "number_search": f"WITH {CORPUS}, {ASKED}, {NUM} SELECT qid, doc_id, rank FROM num",
         "rrf_fusion": f"WITH {LEX_PLAIN}, {kept_of('terms', 'kept')}, {bm25_of('terms', 'kept', 'lex')}, {SIMS}, {vec_of()}, {NUM}, {FUSED} SELECT qid, doc_id, score, sources, tie FROM fused",
         "relevance_gate": f"""WITH {CORPUS}, {ASKED}, {SIMS}, {NUM}, g AS (SELECT q.qid, coalesce((SELECT max(sim) FROM sims s WHERE s.qid = q.qid AND s.doc_id <> s.qid), 0) AS max_sim, EXISTS (SELECT 1 FROM num n WHERE n.qid = q.qid) AS by_number FROM asked q)
@@ -306,10 +354,15 @@ SELECT doc_id, length(a) >= {P.loop_tail} AND (length(a) - length(replace(a, rig
  count_if(coalesce(heading, '') = '') AS no_heading, count_if(coalesce(topic, '') = '') AS no_topic, round(avg(length(content)), 1) AS mean_chars, max(length(content)) AS longest, min(length(content)) AS shortest,
  (SELECT count(*) FROM (SELECT source, article_no FROM chunks GROUP BY ALL HAVING count(*) > 1 AND max(parts) <= 1)) AS repeated_numbers, (SELECT count(*) FROM (SELECT label FROM chunks GROUP BY label HAVING count(*) > 1)) AS repeated_labels FROM chunks""",
         "missing_numbers": "WITH m AS (SELECT quality AS grp, max(doc_id) AS top FROM labels GROUP BY 1), n AS (SELECT grp, unnest(range(1, top + 1)) AS number FROM m) SELECT n.grp, n.number FROM n WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = n.grp AND l.doc_id = n.number)",
+        "missing_ranges": "SELECT grp, before + 1 AS first, doc_id - 1 AS last FROM (SELECT quality AS grp, doc_id, coalesce(lag(doc_id) OVER (PARTITION BY quality ORDER BY doc_id), 0) AS before FROM (SELECT DISTINCT quality, doc_id FROM labels WHERE doc_id >= 1)) WHERE doc_id - before > 1",
         "reassemble": "SELECT source, doc_id AS article_no, len(string_split(coalesce(text, ''), chr(10))) AS parts, md5(coalesce(text, '')) AS md5 FROM documents",
         "anchor_check": "SELECT doc_id AS article_no, contains(text, CASE WHEN doc_id % 4 = 0 THEN 'no such phrase' ELSE string_split(text, '.')[1] END) AS found FROM documents",
         "eval_hits": f"WITH {HITS} SELECT qid, first_hit, coalesce(first_hit <= 1, false) AS hit1, coalesce(first_hit <= 3, false) AS hit3, coalesce(first_hit <= 5, false) AS hit5, round(coalesce(1.0::double / first_hit, 0), 6) AS rr FROM hits",
         "eval_summary": f"WITH {HITS} SELECT {RATES} FROM hits",
+        "eval_report": f"""WITH {HITS}, r AS (SELECT h.*, q.label % 4 <> 0 AS yes, coalesce((SELECT max(sim) FROM best b WHERE b.qid = h.qid), 0) >= {P.relevance_min} AS relevant FROM hits h JOIN embeddings q ON q.vec_id = h.qid)
+SELECT count(*) AS questions, count_if(yes) AS answerable, count_if(NOT yes) AS out_of_scope, {', '.join(f"{_share(f'coalesce(first_hit <= {n}, false)', 'yes')} AS hit_at_{n}" for n in (1, 3, 5))},
+ coalesce(floor(avg(CASE WHEN yes THEN coalesce(1.0::double / first_hit, 0) END) * 10000 + 0.5 + 1e-6) / 10000, 0) AS mrr, count_if(yes AND first_hit IS NULL) AS missed, {_share('relevant', 'yes')} AS gate_answerable, {_share('NOT relevant', 'NOT yes')} AS gate_out_of_scope,
+ coalesce((SELECT string_agg(qid, ',' ORDER BY qid) FROM (SELECT qid FROM r WHERE yes AND first_hit IS NULL ORDER BY qid LIMIT 20)), '') AS missed_ids FROM r""",
         "tuning_grid": grid_sql([(pool, 1.0, w, limit, False) for pool in GRID_POOLS for w in GRID_WEIGHTS for limit in GRID_LIMITS]),
         "ablation": grid_sql(list(ABLATION)),
     }

@@ -12,7 +12,8 @@ from lexmill.operators import chunking, evaluation, fusion, lexical, outline, po
 from lexmill.params import DEFAULT, Params
 from lexmill.plans import search
 from lexmill.sources import store
-from lexmill.sources.tables import materialize, read_table
+from lexmill.sources.tables import materialize, read_table, scratch_path
+from lexmill.streaming import ingest
 
 QUERIES: dict = {}
 
@@ -75,6 +76,29 @@ def page_headings(spark, d):
     return b.groupBy("page_id").agg(F.count_if("is_heading").alias("headings"), F.count("*").alias("blocks"), F.sum("chars").alias("chars"), F.sum("bold_chars").alias("bold_chars"))
 
 
+@query
+def page_notes(spark, d):
+    """Page text where every third paragraph's end carries footnote marks, which go with their content."""
+    marks = '<sup>1</sup><span style="vertical-align: super">2</span><a href="#_ftn3">3</a>'
+    marked = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?i)(<p\b[^>]*>[^<]*)", f"$1{marks}")
+    return pages(spark, d).select("page_id", html.plain_text(html.page_body(marked)).alias("text"))
+
+
+@query
+def page_stream(spark, d):
+    """Pages taken as a stream, twice into one folder: the second run finds nothing new."""
+    folder = scratch_path(spark, "page-stream")
+    for _ in range(2):
+        ingest.ingest_stream(spark, f"{d}/pages*.parquet", f"{folder}/blocks", f"{folder}/checkpoint", "*.parquet").awaitTermination()
+    return ingest.current_blocks(spark, f"{folder}/blocks").select("page_id", "pos", "tag", F.col("class").alias("css"), "centered", "text")
+
+
+@query
+def source_urls(spark, d):
+    named = docs(spark, d).select("doc_id", (F.col("doc_id") % 3 + 1).alias("kind"), (F.col("doc_id") % 5 + 1).alias("edition"), F.col("doc_id").alias("number"))
+    return named.select("doc_id", store.source_url().alias("url"))
+
+
 @query
 def sentence_split(spark, d):
     s = docs(spark, d).select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "sentence"))
@@ -100,6 +124,11 @@ def query_terms(spark, d):
     return read_table(spark, d, "benchmark").select("item_id", F.posexplode(text.query_terms(F.col("text"))).alias("place", "term"))
 
 
+@query
+def fts_expression(spark, d):
+    return read_table(spark, d, "benchmark").select("item_id", F.array_join(text.query_terms(F.col("text")), " OR ").alias("expression"))
+
+
 def _statute_question() -> Column:
     keys = F.array(*[F.lit(k) for k in text.SYNONYMS])
     n = len(text.SYNONYMS)
@@ -139,28 +168,35 @@ def context_header(spark, d):
 
 
 def _statute_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's lines as a block stream with structure, articles and headings at fixed places."""
+    """Each document's lines as a block stream with structure, articles and headings at fixed places; some documents switch to
+    provisions outside the law, some end at a table or at a footnote's text."""
     line = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    k = (F.col("pos") + F.col("source_id")) % 12
+    n, at = F.col("source_id"), F.col("pos")
+    k = (at + n) % 12
+    switch, table, note = (at == 20) & (n % 3 == 1), (at == 40) & (n % 5 == 2), (at == 30) & (n % 5 == 3)
     said = (
-        F.when(k == 0, F.lit("BİRİNCİ BÖLÜM")).when(k == 2, F.concat(F.lit("A. "), F.col("line"))).when(k == 3, F.concat(F.lit("I. "), F.col("line")))
-        .when(k.isin(4, 6, 9), F.concat(F.lit("MADDE "), F.col("pos") + 1, F.lit("- "), F.col("line"))).when(k == 8, F.concat(F.lit("2. "), F.col("line")))
-        .when(k == 11, F.lit("İKİNCİ AYIRIM")).otherwise(F.trim("line"))
+        F.when(switch, F.lit(f"6098 {outline.OUTSIDE_START}")).when(table, F.lit(f"6098 {outline.TABLE_START} LİSTE"))
+        .when(k == 0, F.lit("BİRİNCİ BÖLÜM")).when(k == 2, F.concat(F.lit("A. "), F.col("line"))).when(k == 3, F.concat(F.lit("I. "), F.col("line")))
+        .when(k == 4, F.concat(F.lit("MADDE "), at + 1, F.lit("- "), F.col("line"))).when(k == 6, F.concat(F.lit("GEÇİCİ MADDE "), at + 1, F.lit("- "), F.col("line"))).when(k == 9, F.concat(F.lit("EK MADDE "), at + 1, F.lit("/a- "), F.col("line")))
+        .when(k == 8, F.concat(F.lit("2. "), F.col("line"))).when(k == 11, F.lit("İKİNCİ AYIRIM")).otherwise(F.trim("line"))
     )
-    out = line.select("source_id", "pos", said.alias("text"), k.isin(2, 3, 8).alias("is_heading"))
-    return out.where("text != ''").withColumn("text_raw", F.col("text"))
+    out = line.select("source_id", "pos", said.alias("text"), (k.isin(2, 3, 8) & ~switch & ~table).alias("is_heading"), note.alias("note"))
+    return out.where("text != ''").withColumn("text_raw", F.when(F.col("note"), F.concat(F.lit("[1] "), F.col("text"))).otherwise(F.col("text"))).drop("note")
 
 
 @query
 def outline_articles(spark, d):
     a = outline.articles(_statute_blocks(spark, d))
-    return a.select("source_id", "article_no", "kind", "heading", "topic", "chapter", "section", "ordinal", F.size("paragraphs").alias("paragraphs"), F.md5(F.array_join("paragraphs", "\n")).alias("md5"))
+    return a.select("source_id", "article_no", "kind", "heading", "topic", "chapter", "section", "note", "ordinal", F.size("paragraphs").alias("paragraphs"), F.md5(F.array_join("paragraphs", "\n")).alias("md5"))
 
 
 @query
 def header_meta(spark, d):
-    line = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.lit(0).alias("pos"), F.concat(F.lit("Kabul Tarihi : "), F.col("doc_id") % 28 + 1, F.lit("/1/2011 Resmî Gazete : Tarih : 4/2/"), F.col("doc_id") % 30 + 1990, F.lit(" Sayı : "), F.col("doc_id")).alias("text"))
-    return outline.header_meta(line)
+    """Dates behind one line of each document: found where that is among the first blocks."""
+    line = docs(spark, d).select(F.col("doc_id").alias("source_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "text"))
+    n = F.col("source_id")
+    dated = F.concat("text", F.lit(" Kabul Tarihi : "), n % 28 + 1, F.lit("/1/2011 Resmî Gazete : Tarih : 4/2/"), n % 30 + 1990, F.lit(" Sayı : "), n)
+    return outline.header_meta(line.withColumn("text", F.when(F.col("pos") == n % 45, dated).otherwise(F.col("text"))))
 
 
 # ---- relational
@@ -422,6 +458,11 @@ def missing_numbers(spark, d):
     return evaluation.missing_numbers(rows, "doc_id", "grp")
 
 
+@query
+def missing_ranges(spark, d):
+    return evaluation.missing_ranges(read_table(spark, d, "labels").withColumn("grp", F.col("quality")), "doc_id", "grp")
+
+
 @query
 def reassemble(spark, d):
     out = evaluation.reassemble(_chunks(spark, d), "source", "article_no")
@@ -456,6 +497,16 @@ def eval_summary(spark, d):
     return evaluation.summary(evaluation.first_hits(best, F.col("label") == F.col("own"), asked))
 
 
+@query
+def eval_report(spark, d):
+    """Rates of answerable questions, the gate on both classes, and the first missed ones; questions of every fourth label are out of scope."""
+    best, asked = _labelled_results(spark, d)
+    near = best.groupBy("qid").agg(F.max("sim").alias("max_sim"), F.first("own").alias("own"))
+    hits = evaluation.first_hits(best, F.col("label") == F.col("own"), asked).join(near, "qid", "left")
+    rows = hits.select("*", F.col("qid").alias("id"), F.coalesce(F.col("own") % 4 != 0, F.lit(True)).alias("answerable"), F.coalesce(F.col("max_sim") >= DEFAULT.relevance_min, F.lit(False)).alias("relevant"))
+    return evaluation.report(rows).withColumn("missed_ids", F.array_join("missed_ids", ","))
+
+
 # The parameter grid, and the ablation's configurations (pool, weights, document-frequency limit).
 GRID_POOLS = (8, 10, 12, 15, 20, 25, 40)
 GRID_WEIGHTS = (0.2, 0.4, 0.6, 0.8, 1.0, 1.3, 1.6)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.providers import Provider
 from lexmill.functions.text import extract_numbers, normalize, synonym_expand
 from lexmill.operators import fusion, lexical, postings, vectors
+from lexmill.operators.answering import embed
 from lexmill.params import DEFAULT, Params
 from lexmill.sources.tables import materialize, read_table, scratch_path
 
@@ -80,15 +85,34 @@ def number_channel(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return hits.withColumn("rank", order).select("qid", "doc_id", "rank")
 
 
-def hybrid(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
-    """The top results of every question with score, channels, similarity, relevance and context mark."""
-    docs, asked = corpus(spark, sf_dir), questions(spark, sf_dir)
+def embedded(spark: SparkSession, sf_dir: str, provider: Callable[[], Provider], path: str = "") -> DataFrame:
+    """(doc_id, vec) of the documents by a provider: read from ``path``; made first, and written there, if nothing is there."""
+    if path:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:  # no such folder yet
+            pass
+    made = embed(corpus(spark, sf_dir), F.col("content"), provider, "doc_id")
+    if not path:
+        return materialize(made, "embeddings")
+    made.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def fused(spark: SparkSession, sf_dir: str, docs: DataFrame, asked: DataFrame, rows: DataFrame, own: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The top results of every question with score, channels, similarity, relevance and context mark, for the embeddings
+    rows(doc_id, vec) of the corpus and own(qid, vec) of the questions."""
     lex = lexical.top(lexical_channel(index_of(spark, sf_dir), asked, p), p.candidates)
-    sims = materialize(vector_channel(spark, sf_dir, asked, p.candidates), "similarities")
+    sims = materialize(vectors.nearest(rows, own, p.candidates), "similarities")
     vec = lexical.top(sims, p.candidates, "sim")
     num = number_channel(docs, asked)
-    fused = fusion.top_fused(fusion.fuse({"vector": (vec, p.w_vector), "lexical": (lex, p.w_lexical), "number": (num, p.w_number)}, p), p.top_k)
+    best = fusion.top_fused(fusion.fuse({"vector": (vec, p.w_vector), "lexical": (lex, p.w_lexical), "number": (num, p.w_number)}, p), p.top_k)
     gate = fusion.relevance_gate(num, sims.groupBy("qid").agg(F.max("sim").alias("max_sim")), asked, p)
     # fuse ids first, look vectors up for what is left
-    rows = vectors.pair_similarities(fused, embeddings(spark, sf_dir), question_vectors(spark, sf_dir, asked)).join(gate, "qid")
-    return fusion.context_filter(rows, p)
+    return fusion.context_filter(vectors.pair_similarities(best, rows, own).join(gate, "qid"), p)
+
+
+def hybrid(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
+    """The top results of every question of the folder: see fused."""
+    asked = questions(spark, sf_dir)
+    return fused(spark, sf_dir, corpus(spark, sf_dir), asked, embeddings(spark, sf_dir), question_vectors(spark, sf_dir, asked), p)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexmill.functions.html import admission
+from lexmill.sources.tables import materialize
+
 
 def replace_sources(rows: DataFrame, path: str, *partitions: str) -> None:
     """Write rows partitioned by source (or the columns given); a partition written again replaces its former rows, others stay."""
@@ -50,6 +54,35 @@ def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
     details.write.mode("overwrite").json(f"{path}/questions")
 
 
+QUESTIONS = "id string, question string, kind string, expected array<string>, topic string"
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """A question file: JSON, an array or one object a line; kind is answerable or out_of_scope."""
+    return spark.read.schema(QUESTIONS).option("multiLine", not path.endswith("l")).json(path)
+
+
+def admitted(files: DataFrame, cache: str, least: int, marker: str, force: bool = False) -> DataFrame:
+    """binaryFile rows (path, content) through a cache folder: (name, content, sha256, reason).
+
+    A payload that the cache holds is taken from there unless ``force``; a new one is judged, and only one that is fit goes
+    into the cache. A refused payload leaves what the cache holds and comes with the reason; an unchanged one isn't written.
+    """
+    spark = files.sparkSession
+    new = files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content").withColumns({"sha256": F.sha2("content", 256), "reason": admission(F.decode("content", "ISO-8859-1"), least, marker)})
+    try:
+        held = spark.read.parquet(cache).select("name", F.col("content").alias("old"), F.col("sha256").alias("old_sha256"))
+    except AnalysisException:  # nothing cached yet
+        held = spark.createDataFrame([], "name string, old binary, old_sha256 string")
+    met = new.join(held, "name", "full")
+    take = F.col("content").isNotNull() & F.col("reason").isNull() & (F.col("old").isNull() | (F.lit(force) & (F.col("sha256") != F.col("old_sha256"))))
+    fresh = materialize(met.where(take).select("name", "content", "sha256"), "admitted")
+    out = met.select("name", F.when(take, F.col("content")).otherwise(F.col("old")).alias("content"), F.when(take, F.col("sha256")).otherwise(F.col("old_sha256")).alias("sha256"), F.when(F.col("old").isNull() | F.lit(force), F.col("reason")).alias("reason"))
+    out = materialize(out, "payloads")  # read before the cache changes
+    fresh.withColumn("part", F.sha2("name", 256)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(cache)
+    return out
+
+
 def decode_pages(files: DataFrame, charset: str = "windows-1254") -> DataFrame:
     """binaryFile rows (path, content) as (path, html, sha256).
 
@@ -61,6 +94,6 @@ def decode_pages(files: DataFrame, charset: str = "windows-1254") -> DataFrame:
     return files.select("path", F.translate(latin, upper.decode("latin-1"), table).alias("html"), F.sha2("content", 256).alias("sha256"))
 
 
-def source_url(base: str = "https://example.org/file"):
+def source_url(base: str = "https://example.org/file", pattern: str = "/%s.%s.%s.htm") -> Column:
     """URL of a source from its kind, edition and number columns."""
-    return F.format_string(base + "/%s.%s.%s.htm", F.col("kind"), F.col("edition"), F.col("number"))
+    return F.format_string(base + pattern, F.col("kind"), F.col("edition"), F.col("number"))

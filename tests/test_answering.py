@@ -130,7 +130,15 @@ def test_command_line(spark, capsys, monkeypatch, tmp_path):
     assert run("search", "madde 7 the ering") == 0
     assert "SRC7 m. 7" in capsys.readouterr().out
     assert run("ask", "madde 7") == 0 and "sources:" in capsys.readouterr().out
+    vec = str(tmp_path / "vec")
+    assert run("--vectors", vec, "ask", "madde 7") == 0 and "out of scope" not in capsys.readouterr().out
+    assert run("--vectors", vec, "search", "madde 7 the ering") == 0 and "vector" in capsys.readouterr().out
+    # nothing in the corpus is like this question, so it is refused, by the vectors written before
+    assert run("--vectors", vec, "ask", "zzxq wqqk vvvj 0xqz") == 0 and "out of scope" in capsys.readouterr().out
     assert run("diagnose") == 0 and run("health") == 0
+    with pytest.raises(RuntimeError, match="no provider"):
+        run("--provider", "http", "--url", "http://127.0.0.1:1", "diagnose")
+    assert run("--provider", "http,dev", "--url", "http://127.0.0.1:1", "diagnose") == 0
     monkeypatch.setattr("sys.stdin", iter(["madde 3\n", "exit\n"]))
     assert run("chat") == 0
     assert run("ingest", str(tmp_path / "out"), str(tmp_path / "mark")) == 0 and spark.read.parquet(str(tmp_path / "out")).count() > 0

@@ -65,8 +65,35 @@ def test_vector_edge_cases(spark):
     assert vectors.nearest(v, q.limit(0), 5).count() == 0
     pairs = spark.createDataFrame([(7, 4), (7, 2), (8, 1), (9, 99)], "qid long, doc_id long")
     assert {(r.qid, r.doc_id): r.sim for r in vectors.pair_similarities(pairs, v, q).collect()} == {(7, 4): 0.6, (7, 2): 0.0, (8, 1): 0.0, (9, 99): 0.0}
+    short = spark.createDataFrame([(7, [1.0]), (8, [0.0, 3.0])], "qid long, vec array<double>")
+    both = v.unionByName(spark.createDataFrame([(9, [-2.0]), (10, [1.0, None])], "doc_id long, vec array<double>"))
+    assert sorted(map(tuple, vectors.nearest(both, short, 5).collect())) == [(7, 9, -1.0), (8, 1, 0.0), (8, 4, 0.8)]  # each meets its own length
     with pytest.raises(Exception, match="length"):
-        vectors.nearest(v, spark.createDataFrame([(7, [1.0])], "qid long, vec array<double>"), 5).collect()
+        vectors.nearest(v, short.limit(1), 5, strict=True).collect()
+
+
+def test_nearest_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(600, 8)), 1)
+    x[100:140] = x[0]  # ties
+    v = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "doc_id long, vec array<double>").repartition(3)
+    q = v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = np.round(u[::20] @ u.T, 6)
+    want = sorted((20 * i, int(j), float(sims[i, j])) for i in range(len(sims)) for j in np.lexsort((np.arange(600), -sims[i]))[:7])
+    for most, size in ((8 << 20, 64 << 20), (50, 400)):  # the second: many scans, small steps
+        monkeypatch.setattr(vectors, "MOST_SIMS", most)
+        monkeypatch.setattr(vectors, "QUERY_BYTES", size)
+        got = lexical.top(vectors.nearest(v, q, 7), 7, "sim")
+        assert sorted((r.qid, r.doc_id, r.sim) for r in got.collect()) == want
+    best = vectors._Best(2, 3)
+    best.limit = 4
+    for s in range(0, 600, 50):
+        best.add(np.arange(s, s + 50), sims[:2, s : s + 50].T)
+    query, ids, found = best.settle()
+    assert sorted(zip(query.tolist(), ids.tolist())) == sorted((i, int(j)) for i in range(2) for j in np.lexsort((np.arange(600), -sims[i]))[:3])
 
 
 def test_fusion_rules(spark):
