@@ -15,7 +15,8 @@ ENTITIES = {
     "&ccedil;": "ç", "&Ccedil;": "Ç", "&ouml;": "ö", "&Ouml;": "Ö", "&uuml;": "ü", "&Uuml;": "Ü", "&acirc;": "â", "&icirc;": "î",
     "&amp;": "&",
 }
-# Footnote marks, removed with their content, and outline markers of headings.
+# Footnote marks, removed with their content, outline markers of headings, and how a block opens, closes, names
+# its class and shows bold.
 FOOTNOTE_MARKS = (
     r"(?is)<sup\b[^>]*>.*?</sup>"
     r"|<span[^>]*vertical-align:\s*super[^>]*>.*?</span>"
@@ -24,6 +25,9 @@ FOOTNOTE_MARKS = (
 )
 OUTLINE = r"^([A-ZÇĞİÖŞÜ]|[IVXLCDM]{1,5}|\d{1,2}|[a-zçğıöşü]{1,3})\s*[.)]\s+(\S.*)$"
 _OPEN = r"(?is)^<(h[1-6]|p)\b([^>]*)>"
+_CLASS = r"class=[\"']?([A-Za-z0-9_-]+)"
+_CLOSE = r"(?is)</(?:p|h[1-6])\s*>.*$"
+_BOLD = r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>"
 
 
 def page_body(html: Column) -> Column:
@@ -54,14 +58,14 @@ def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
         attrs = F.regexp_extract(x, _OPEN, 2)
         return F.struct(
             F.lower(F.regexp_extract(x, _OPEN, 1)).alias("tag"),
-            F.regexp_extract(attrs, r"class=[\"']?([A-Za-z0-9_-]+)", 1).alias("class"),
+            F.regexp_extract(attrs, _CLASS, 1).alias("class"),
             F.contains(F.lower(attrs), F.lit("center")).alias("centered"),
-            F.regexp_replace(F.regexp_replace(x, _OPEN, ""), r"(?is)</(?:p|h[1-6])\s*>.*$", "").alias("inner"),
+            F.regexp_replace(F.regexp_replace(x, _OPEN, ""), _CLOSE, "").alias("inner"),
         )
 
     def texts(b: Column) -> Column:
         raw = plain_text(b["inner"])
-        bold = F.regexp_extract_all(b["inner"], F.lit(r"(?is)<(?:b|strong)\b[^>]*>(.*?)</(?:b|strong)\s*>"), F.lit(1))
+        bold = F.regexp_extract_all(b["inner"], F.lit(_BOLD), F.lit(1))
         return F.struct(b["tag"].alias("tag"), b["class"].alias("class"), b["centered"].alias("centered"), raw.alias("text_raw"), plain_text(F.array_join(bold, " ")).alias("bold"))
 
     parts = F.transform(F.filter(F.transform(pieces, block), lambda b: ~b["class"].rlike(r"(?i)(footnotetext|footer)")), texts)

@@ -19,6 +19,8 @@ from lexmill.functions.text import normalized
 from lexmill.params import DEFAULT, Params
 
 DIMS = 512
+#: How a server is asked to answer.
+DEFAULT_TEMPERATURE, DEFAULT_TOKENS = 0.1, 400
 
 
 class Provider(Protocol):
@@ -58,26 +60,65 @@ class DevProvider:
 
 
 class HttpProvider:
-    """A local server with /v1/models, /v1/embeddings and /v1/chat/completions."""
+    """A local server with /v1/models, /v1/embeddings and /v1/chat/completions.
+
+    base: one address, or several with commas between, of which the first that answers is taken, when it is first needed.
+    Models that aren't named are chosen from the server's catalogue then: one whose name tells that it embeds, and the
+    first other one to chat; the first of all where there is no such one. A full name or a beginning of one will do.
+    """
 
     def __init__(self, base: str, chat_model: str = "", embed_model: str = "", timeout: float = 60.0):
-        self.base, self.chat_model, self.embed_model, self.timeout = base.rstrip("/"), chat_model, embed_model, timeout
+        self.bases, self.timeout = [x.strip().rstrip("/").removesuffix("/v1") for x in base.split(",") if x.strip()], timeout
+        self.chat_model, self.embed_model = chat_model, embed_model
+        self._base, self._catalogue = "", None
+
+    @property
+    def base(self) -> str:
+        """The address that answers; an OSError with all reasons if none does."""
+        if not self._base:
+            said = []
+            for address in self.bases:
+                try:
+                    with urllib.request.urlopen(f"{address}/v1/models", timeout=min(self.timeout, 2.0)):
+                        self._base = address
+                        break
+                except OSError as e:
+                    said.append(f"{address}: {e}")
+            else:
+                raise OSError("no server: " + "; ".join(said))
+        return self._base
+
+    def catalogue(self) -> list[str]:
+        """Names of the server's models, asked for once."""
+        if self._catalogue is None:
+            self._catalogue = [m["id"] for m in self._call("/v1/models")["data"]]
+        return self._catalogue
+
+    def model(self, wanted: str, embeds: bool) -> str:
+        names = [m for m in self.catalogue() if m.startswith(wanted)] if wanted else [m for m in self.catalogue() if ("embed" in m.lower()) == embeds] or self.catalogue()
+        if not names:
+            raise ValueError(f"no model {wanted or ('to embed' if embeds else 'to chat')} among {', '.join(self.catalogue()) or 'none'}")
+        return wanted if wanted in names else names[0]
 
     def _call(self, path: str, body: dict | None = None) -> dict:
         data = None if body is None else json.dumps(body).encode()
         request = urllib.request.Request(f"{self.base}{path}", data, {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-            return json.load(reply)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                return json.load(reply)
+        except urllib.error.HTTPError as e:
+            raise OSError(f"{path}: {e.code} {e.read()[:400].decode(errors='replace')}") from e
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        rows = self._call("/v1/embeddings", {"model": self.embed_model, "input": texts})["data"]
+        rows = self._call("/v1/embeddings", {"model": self.model(self.embed_model, True), "input": texts})["data"]
         return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
 
     def stream(self, messages: list[dict]) -> Iterator[str]:
-        yield self._call("/v1/chat/completions", {"model": self.chat_model, "messages": messages, "temperature": 0.1, "max_tokens": 400})["choices"][0]["message"]["content"]
+        body = {"model": self.model(self.chat_model, False), "messages": messages, "temperature": DEFAULT_TEMPERATURE, "max_tokens": DEFAULT_TOKENS}
+        yield self._call("/v1/chat/completions", body)["choices"][0]["message"]["content"]
 
     def diagnose(self) -> str:
-        return "models: " + ", ".join(m["id"] for m in self._call("/v1/models")["data"])
+        return "models: " + ", ".join(self.catalogue())
 
 
 PROVIDERS: dict[str, Callable[..., Provider]] = {"dev": DevProvider, "http": HttpProvider}

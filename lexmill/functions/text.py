@@ -16,57 +16,59 @@ FIRST_FROM = "İIıŞşÇçĞğÖöÜüÂâÎîÛûÊê'’‘–—−"
 FIRST_TO = "iiissccggoouuaaiiuuee" + " " * 6
 
 # Words without weight in a query.
-STOP_WORDS = (
-    "ve veya ile ama fakat ancak ise de da ki bir bu su o the icin gibi kadar gore daha cok az her hic ne nedir nasil neden nicin "
-    "kim kimdir hangi hangisi mi mu midir var yok olur olmaz olarak sonra once en tum butun bazi ben sen biz siz onlar beni bana "
-    "yapmak etmek olmak diye eger ya hem ayni"
-).split()
+STOP_WORDS = [
+    "ve", "veya", "ile", "ama", "fakat", "ancak", "ise", "de", "da", "ki", "bir", "bu", "su", "o", "the", "icin",
+    "gibi", "kadar", "gore", "daha", "cok", "az", "her", "hic", "ne", "nedir", "nasil", "neden", "nicin", "kim",
+    "kimdir", "hangi", "hangisi", "mi", "mu", "midir", "var", "yok", "olur", "olmaz", "olarak", "sonra", "once",
+    "en", "tum", "butun", "bazi", "ben", "sen", "biz", "siz", "onlar", "beni", "bana", "yapmak", "etmek", "olmak",
+    "diye", "eger", "ya", "hem", "ayni",
+]
 
 # Query word or pair -> words of the corpus. The key "isten cikarma" is spelled so that it matches.
 SYNONYMS = {
-    "ihtiyac": "gereksinim",
-    "ihtiyaci": "gereksinim",
-    "depozito": "guvence",
-    "teminat": "guvence",
-    "tahliye": "sona erdirme geri verme",
-    "cikarmak": "sona erdirme fesih",
-    "cikarabilir": "sona erdirme fesih",
-    "cikarma": "sona erdirme fesih",
-    "zam": "kira bedeli artis",
-    "zammi": "kira bedeli artis",
-    "kontrat": "sozlesme",
-    "emlakci": "kiraya veren",
-    "evsahibi": "kiraya veren",
-    "gabin": "asiri yararlanma",
-    "cezai": "ceza kosulu",
-    "cezai sart": "ceza kosulu",
-    "iptal": "gecersiz hukumsuz",
-    "gecersizlik": "hukumsuzluk",
-    "butlan": "kesin hukumsuzluk",
-    "fesih": "sona erdirme",
-    "vade": "muaccel",
-    "vadesi": "muaccel",
-    "gecikme faizi": "temerrut faizi",
-    "borcun ifasi": "ifa",
-    "odenmemesi": "temerrut",
-    "odememe": "temerrut",
-    "kaza": "haksiz fiil zarar",
-    "isveren sorumlulugu": "adam calistiran",
-    "patron": "adam calistiran isveren",
-    "bina": "yapi eseri",
-    "binadan": "yapi eseri",
-    "hayvan": "hayvan bulunduran",
-    "kefil": "kefalet",
-    "vekalet": "vekil",
-    "avukatlik": "vekalet",
-    "muteahhit": "yuklenici",
-    "insaat": "eser sozlesmesi yuklenici",
-    "tamir": "eser sozlesmesi",
-    "isci": "hizmet sozlesmesi iscinin",
-    "maas": "ucret",
-    "isten cikarma": "fesih",
-    "zaman asimi": "zamanasimi",
-    "hak dusurucu": "zamanasimi",
+    "ihtiyac": ["gereksinim"],
+    "ihtiyaci": ["gereksinim"],
+    "depozito": ["guvence"],
+    "teminat": ["guvence"],
+    "tahliye": ["sona", "erdirme", "geri", "verme"],
+    "cikarmak": ["sona", "erdirme", "fesih"],
+    "cikarabilir": ["sona", "erdirme", "fesih"],
+    "cikarma": ["sona", "erdirme", "fesih"],
+    "zam": ["kira", "bedeli", "artis"],
+    "zammi": ["kira", "bedeli", "artis"],
+    "kontrat": ["sozlesme"],
+    "emlakci": ["kiraya", "veren"],
+    "evsahibi": ["kiraya", "veren"],
+    "gabin": ["asiri", "yararlanma"],
+    "cezai": ["ceza", "kosulu"],
+    "cezai sart": ["ceza", "kosulu"],
+    "iptal": ["gecersiz", "hukumsuz"],
+    "gecersizlik": ["hukumsuzluk"],
+    "butlan": ["kesin", "hukumsuzluk"],
+    "fesih": ["sona", "erdirme"],
+    "vade": ["muaccel"],
+    "vadesi": ["muaccel"],
+    "gecikme faizi": ["temerrut", "faizi"],
+    "borcun ifasi": ["ifa"],
+    "odenmemesi": ["temerrut"],
+    "odememe": ["temerrut"],
+    "kaza": ["haksiz", "fiil", "zarar"],
+    "isveren sorumlulugu": ["adam", "calistiran"],
+    "patron": ["adam", "calistiran", "isveren"],
+    "bina": ["yapi", "eseri"],
+    "binadan": ["yapi", "eseri"],
+    "hayvan": ["hayvan", "bulunduran"],
+    "kefil": ["kefalet"],
+    "vekalet": ["vekil"],
+    "avukatlik": ["vekalet"],
+    "muteahhit": ["yuklenici"],
+    "insaat": ["eser", "sozlesmesi", "yuklenici"],
+    "tamir": ["eser", "sozlesmesi"],
+    "isci": ["hizmet", "sozlesmesi", "iscinin"],
+    "maas": ["ucret"],
+    "isten cikarma": ["fesih"],
+    "zaman asimi": ["zamanasimi"],
+    "hak dusurucu": ["zamanasimi"],
 }
 
 # Abbreviations of statutes, and how article numbers are written in questions.
@@ -153,11 +155,11 @@ def query_terms(text: Column) -> Column:
 
 def synonym_words(text: Column) -> Column:
     """Words that the synonym list adds: single words' entries first, then pairs', without words already there."""
-    table = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
+    table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     own = words(normalize(text))
     pairs = F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(own, i + 1)))
     hits = F.filter(F.transform(F.concat(own, pairs), lambda k: F.element_at(table, k)), lambda v: v.isNotNull())
-    return F.array_except(F.array_distinct(F.flatten(F.transform(hits, lambda v: F.split(v, " ")))), own)
+    return F.array_except(F.array_distinct(F.flatten(hits)), own)
 
 
 def synonym_expand(text: Column) -> Column:

@@ -172,3 +172,15 @@ def reassemble(chunks: DataFrame, *by: str) -> DataFrame:
     """Each article's chunks joined in order."""
     parts = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part_no", "content"))).alias("p"))
     return parts.select(*by, F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("text"), F.size("p").alias("parts"))
+
+
+def reassemble_pieces(chunks: DataFrame, *by: str, size: int = 1 << 20) -> DataFrame:
+    """The same in pieces, for articles of any length: (by, piece, first_part, parts, text). A piece holds the chunks, in order,
+    that begin in one stretch of ``size`` characters, so no row is longer than that and its last chunk; the joined pieces are
+    the article. The running length is a window that keeps one number a group, however many chunks there are.
+    """
+    own = W.partitionBy(*by).orderBy("part_no").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("content") + 1).over(own), F.lit(0))
+    placed = chunks.withColumn("piece", F.floor(before / size).cast("long"))
+    parts = placed.groupBy(*by, "piece").agg(F.array_sort(F.collect_list(F.struct("part_no", F.coalesce("content", F.lit("")).alias("content")))).alias("p"))
+    return parts.select(*by, "piece", F.element_at("p", 1)["part_no"].alias("first_part"), F.size("p").alias("parts"), F.array_join(F.transform("p", lambda x: x["content"]), "\n").alias("text"))

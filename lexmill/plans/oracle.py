@@ -71,7 +71,7 @@ FUSED = f"""adds AS (SELECT qid, doc_id, 'vector' AS source, {P.w_vector}::doubl
  UNION ALL SELECT qid, doc_id, 'lexical', {P.w_lexical}::double / ({P.rrf_k} + rank), 1000000 + rank FROM lex
  UNION ALL SELECT qid, doc_id, 'number', {P.w_number}::double / ({P.rrf_k} + rank), 2000000 + rank FROM num),
 fused AS (SELECT qid, doc_id, round(sum(add), 6) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min(ord) AS tie FROM adds GROUP BY qid, doc_id)"""
-SYN = "syn AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(k)}, {lit(v)})" for k, v in SYNONYMS.items()) + ") v(k, words))"
+SYN = "syn AS (SELECT * FROM (VALUES " + ", ".join(f"({lit(k)}, {lit(' '.join(v))})" for k, v in SYNONYMS.items()) + ") v(k, words))"
 
 
 def expand_of(source: str, name: str, text: str = "text") -> str:
@@ -356,6 +356,8 @@ SELECT doc_id, length(a) >= {P.loop_tail} AND (length(a) - length(replace(a, rig
         "missing_numbers": "WITH m AS (SELECT quality AS grp, max(doc_id) AS top FROM labels GROUP BY 1), n AS (SELECT grp, unnest(range(1, top + 1)) AS number FROM m) SELECT n.grp, n.number FROM n WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = n.grp AND l.doc_id = n.number)",
         "missing_ranges": "SELECT grp, before + 1 AS first, doc_id - 1 AS last FROM (SELECT quality AS grp, doc_id, coalesce(lag(doc_id) OVER (PARTITION BY quality ORDER BY doc_id), 0) AS before FROM (SELECT DISTINCT quality, doc_id FROM labels WHERE doc_id >= 1)) WHERE doc_id - before > 1",
         "reassemble": "SELECT source, doc_id AS article_no, len(string_split(coalesce(text, ''), chr(10))) AS parts, md5(coalesce(text, '')) AS md5 FROM documents",
+        "reassemble_pieces": f"""WITH {CHUNKS}, p AS (SELECT *, coalesce(sum(length(content) + 1) OVER (PARTITION BY source, article_no ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint // 1000 AS piece FROM chunks)
+SELECT source, article_no, piece, min(part_no) AS first_part, count(*) AS parts, md5(string_agg(content, chr(10) ORDER BY part_no)) AS md5 FROM p GROUP BY source, article_no, piece""",
         "anchor_check": "SELECT doc_id AS article_no, contains(text, CASE WHEN doc_id % 4 = 0 THEN 'no such phrase' ELSE string_split(text, '.')[1] END) AS found FROM documents",
         "eval_hits": f"WITH {HITS} SELECT qid, first_hit, coalesce(first_hit <= 1, false) AS hit1, coalesce(first_hit <= 3, false) AS hit3, coalesce(first_hit <= 5, false) AS hit5, round(coalesce(1.0::double / first_hit, 0), 6) AS rr FROM hits",
         "eval_summary": f"WITH {HITS} SELECT {RATES} FROM hits",

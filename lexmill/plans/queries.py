@@ -469,6 +469,12 @@ def reassemble(spark, d):
     return out.select("source", "article_no", "parts", F.md5("text").alias("md5"))
 
 
+@query
+def reassemble_pieces(spark, d):
+    out = evaluation.reassemble_pieces(_chunks(spark, d), "source", "article_no", size=1000)
+    return out.select("source", "article_no", "piece", "first_part", "parts", F.md5("text").alias("md5"))
+
+
 @query
 def anchor_check(spark, d):
     """Whether the phrase kept for an article, its first sentence, occurs in the article put together again."""

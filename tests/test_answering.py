@@ -90,6 +90,42 @@ def test_http_provider():
     server.shutdown()
 
 
+def test_http_provider_finds_server_and_models():
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [{"id": "big-embed-1"}, {"id": "talker-4b"}, {"id": "talker-9b"}]}).encode())
+
+        def do_POST(self):
+            got = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(got["model"])
+            self.send_response(500 if got["model"] == "talker-9b" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": [{"index": 0, "embedding": [1.0]}], "choices": [{"message": {"content": "yes"}}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    found = f"http://127.0.0.1:1, http://127.0.0.1:{server.server_port}/v1"
+    p = providers.HttpProvider(found)
+    assert not asked  # nothing is asked before it is needed
+    assert p.embed(["a"]) == [[1.0]] and providers.ask(p, [{"role": "user", "content": "hi"}]) == "yes" and providers.ask(p, [{"role": "user", "content": "hi"}]) == "yes"
+    assert asked.count("/v1/models") == 2 and asked[2:] == ["big-embed-1", "talker-4b", "talker-4b"]
+    with pytest.raises(OSError, match="500"):
+        providers.ask(providers.HttpProvider(found, chat_model="talker-9"), [{"role": "user", "content": "hi"}])
+    with pytest.raises(ValueError, match="no model absent"):
+        providers.HttpProvider(found, chat_model="absent").model("absent", False)
+    server.shutdown()
+    with pytest.raises(OSError, match="no server"):
+        providers.HttpProvider("http://127.0.0.1:1").base
+
+
 def test_answer_pipeline(spark):
     asked = spark.createDataFrame([(1, "kira?"), (2, "other?"), (3, "nothing?")], "qid long, text string")
     corpus = spark.createDataFrame([(10, "ABC m. 1", "I. Kira", "text one"), (11, "ABC m. 2 (1/2)", "", "text two")], "doc_id long, label string, heading string, content string")

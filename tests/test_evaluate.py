@@ -98,3 +98,9 @@ def test_rare_cases_occur_in_the_queries(spark):
 def test_provider_fall_through():
     with pytest.raises(RuntimeError, match="nosuch"):
         providers.choose([("nosuch", {})])
+
+
+def test_pieces_of_a_long_article(spark):
+    rows = spark.range(30_000).select(F.lit("law").alias("source"), F.lit(1).alias("article_no"), F.col("id").alias("part_no"), F.format_string("part %06d", "id").alias("content"))
+    got = evaluation.reassemble_pieces(rows.repartition(5), "source", "article_no", size=50_000).orderBy("piece").collect()
+    assert len(got) == 8 and max(len(r.text) for r in got) <= 50_000 + 12 and "\n".join(r.text for r in got) == "\n".join(f"part {k:06d}" for k in range(30_000))
