@@ -42,7 +42,11 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id."""
+    """One document of each SimHash group stays, the one with the smallest id.
+
+    Null and empty texts link with each other; texts of any length are compared whole. Rows that repeat a document go but for one; unlike texts under one id are documents of their own; rows without an
+    id stay only where no row of their group has one. All columns pass, whatever their names; an empty table stays empty.
+    """
     return simhash.keep_one(docs)
 
 
@@ -57,7 +61,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows, with little memory beside what the earlier stages' workers hold."""
+    """Pieces of all documents in windows, with little memory beside what the earlier stages' workers hold.
+
+    A null or empty text is its end id alone; a long one spans many windows. Repeated rows are packed as often as they
+    occur; a null doc_id stays null. Other columns, whatever their names, don't matter; an empty table gives no rows.
+    """
     return packing.pack(docs, cache_runs=60_000, batch_bytes=1 << 20)
 
 
