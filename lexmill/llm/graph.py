@@ -49,25 +49,34 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, limit: int) -> Dat
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def join_plain(rows: DataFrame, table: DataFrame, key: str, limit: int) -> DataFrame:
+    """The same join with all rows dealt by key."""
+    return rows.join(table.drop("n"), key)
+
+
+def connected_components(edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, component) for every node of ``edges(u, v)``: component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are written to the shared folder, so lineage
     stays short and lost executors cost one round. Minima are aggregated (map-side combined) and joined back; the minima
     of hubs are broadcast, their number being bounded, so that no task gets all edges of a hub. Self-links, nulls and
     repeated links are harmless; no edges gives no rows.
+
+    A round of at most ``few`` edges, both ways counted, is joined plainly: a hub has no more than so many rows then. That
+    spares the driver four broadcasts a round, and changes no result.
     """
     u, v = F.col("u"), F.col("v")
     cur = materialize(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     mark = _mark(cur)
     while mark[0]:
         limit = hot_limit(2 * mark[0])
+        joined = join_plain if 2 * mark[0] <= few else join_counted
         both = cur.unionByName(cur.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both, low, "u", limit).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = joined(both, low, "u", limit).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         pairs = F.array(F.struct(u.alias("u"), F.col("m").alias("v")), F.struct(v.alias("u"), F.col("m").alias("v")))
-        new = materialize(join_counted(large, low, "u", limit).select(F.inline(pairs)).where(u != v).distinct(), "edges")
+        new = materialize(joined(large, low, "u", limit).select(F.inline(pairs)).where(u != v).distinct(), "edges")
         now = _mark(new)
         drop_materialized(cur)
         cur = new

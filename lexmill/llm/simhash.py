@@ -153,6 +153,9 @@ def _words_of(column: pa.Array) -> np.ndarray:
         return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
 
+#: Edges, both ways counted, up to which a round of similar_components deals a hub's edges to one task (16 bytes each).
+FEW_EDGES = 1_000_000
+
 
 def _by_bucket(solve, binary: bool = False):
     """Rows (key, lo, hi, blk, fp, node) arrive sorted by (key, lo, hi); ``solve`` gets whole buckets, many or one at a time."""
@@ -490,10 +493,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits, tables = _tables(classes.count())
     keyed = classes.select("fp", "node").transform(arrow_map, _table_keys(bits, tables, size), "key long, fp binary, node long")
     links = materialize(_met(keyed).transform(arrow_map, _estimates(sure, wide), "u long, v long, sure boolean"), "estimates")
-    labels = materialize(connected_components(links.where("sure").select("u", "v")), "sure-labels")
+    labels = materialize(connected_components(links.where("sure").select("u", "v"), FEW_EDGES), "sure-labels")
     labelled = classes.join(labels, "node", "left").select("node", "rep", "hash", "n", F.coalesce("component", "node").alias("label"))
     labelled = materialize(labelled, "labelled")
-    doubtful = connected_components(_relabelled(links.where("not sure").select("u", "v"), labels))
+    doubtful = connected_components(_relabelled(links.where("not sure").select("u", "v"), labels), FEW_EDGES)
     doubtful = materialize(doubtful.select(F.col("node").alias("label"), F.col("component").alias("key")), "doubtful")
     if not doubtful.isEmpty():
         members = materialize(labelled.join(doubtful, "label").select("key", "label", "hash"), "doubtful-members")
@@ -502,7 +505,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own_sets = own.join(hashes, "hash", "left_semi").groupBy("hash").agg(F.first("text").alias("text")).transform(arrow_map, sets, "hash long, fp binary")
         met = _met_apart(members).join(materialize(own_sets, "shingles"), "hash").drop("hash")
         met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        more = connected_components(met.transform(arrow_map, _verified(similarity), "u long, v long")).select(F.col("node").alias("label"), F.col("component").alias("_label"))
+        more = connected_components(met.transform(arrow_map, _verified(similarity), "u long, v long"), FEW_EDGES).select(F.col("node").alias("label"), F.col("component").alias("_label"))
         labelled = materialize(labelled.join(more, "label", "left").withColumn("label", F.coalesce("_label", "label")).drop("_label"), "verified")
     found = _least_ids(labelled.select("node", "rep", "n", "label"))
     out = join_counted(fps.drop("fp"), found.select("node", "n", "component", "label"), "node", hot_limit(fps.count()))

@@ -189,3 +189,13 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 160)}
+
+
+def test_components_with_few_edges(spark):
+    """Plain and counted joins give the same components, hubs included."""
+    from lexmill.llm.graph import connected_components
+
+    edges = [(1000, k) for k in range(1, 700)] + [(k, k + 1) for k in range(2000, 2020)] + [(5, 5), (None, 7), (1000, 3), (3, 1000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    one, two = (sorted(map(tuple, connected_components(df, few).collect())) for few in (0, 1_000_000))
+    assert one == two and dict(one)[1000] == 1 and dict(one)[2020] == 2000 and len(one) == 700 + 21
