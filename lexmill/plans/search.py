@@ -48,11 +48,15 @@ def index_of(spark: SparkSession, sf_dir: str) -> postings.Index:
     files = read_table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     mark = files.agg(F.count("*"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, sf_dir, *mark)
-    if key not in _indexes:
-        path = scratch_path(spark, "index")
-        postings.write_index(corpus(spark, sf_dir), search_text(), path)
-        _indexes[key] = path
-    return postings.read_index(spark, _indexes[key])
+    if path := _indexes.get(key):
+        try:
+            return postings.read_index(spark, path)
+        except AnalysisException:  # the shared folder was cleared
+            pass
+    path = scratch_path(spark, "index")
+    postings.write_index(corpus(spark, sf_dir), search_text(), path)
+    _indexes[key] = path
+    return postings.read_index(spark, path)
 
 
 def lexical_channel(index: postings.Index, asked: DataFrame, p: Params = DEFAULT, synonyms: bool = True) -> DataFrame:

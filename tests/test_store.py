@@ -172,3 +172,13 @@ def test_postings_of_frequent_terms_stay_unread(spark):
     need = lambda *limits: sorted(r.term for r in postings.needed_terms(known, wanted, 100, limits).collect())
     assert need(0.12) == ["all*", "mid*", "rare*"]  # query 2 may lack a selective term
     assert need(0.2) == ["mid*", "rare*"] and need(0.02, 0.2) == ["all*", "mid*", "rare*"] and need(0.95) == ["all*", "mid*", "rare*"]
+
+
+def test_an_index_that_was_cleared_is_made_again(spark):
+    import shutil
+
+    first = search.index_of(spark, DIR)
+    path = next(v for k, v in search._indexes.items() if k[1] == DIR)
+    assert search.index_of(spark, DIR).n_docs == first.n_docs and path in search._indexes.values()
+    shutil.rmtree(path.removeprefix("file:").replace("//", "/"))
+    assert search.index_of(spark, DIR).vocabulary.count() > 0 and path not in search._indexes.values()
