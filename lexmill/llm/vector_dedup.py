@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.graph import connected_components, spanning_links
+from lexmill.llm.graph import HOT_ROWS, connected_components, spanning_links
 from lexmill.sources.tables import arrow_map, materialize
 
 COSINE = 0.95
@@ -28,11 +28,13 @@ SAMPLE_ROWS = 8_000
 #: Words of a codebook: so many that a cell has about CELL_ROWS vectors, within these bounds.
 LEAST_WORDS, MOST_WORDS, CELL_ROWS = 4, 256, 64
 TARGET_RECALL = 0.995
-#: Traversals are tried up to this length first, then four times as long, up to the whole grid, until the target is met.
-FIRST_PROBES = 64
+#: Places in a traversal are counted for so many vectors at a time.
+RANK_ROWS = 32
 #: So many lengths have codebooks, the most frequent ones; a rarer length is one cell, so all its pairs are compared.
 FITTED_LENGTHS = 64
 BLOCK_ROWS = 1024
+#: The vectors of all hot classes, which are broadcast, hold no more bytes than this.
+HOT_BYTES = 32 << 20
 ROUNDS, SEED = 12, 11
 
 
@@ -91,6 +93,20 @@ class MultiIndex:
         return out
 
 
+    def ranks(self, unit: np.ndarray, at: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """The place of cell home[k] in the traversal of unit[at[k]], of equal sums the last: cells of a lesser or equal sum, less itself.
+
+        Counted over the grid by RANK_ROWS vectors at a time, so memory doesn't grow with the length of traversals.
+        """
+        h, out = unit.shape[1] // 2, np.empty(len(at), np.int64)
+        for k in range(0, len(at), RANK_ROWS):
+            x, (i, j) = unit[at[k : k + RANK_ROWS]], np.divmod(home[k : k + RANK_ROWS], len(self.second))
+            da, db = _distances(x[:, :h], self.first), _distances(x[:, h:], self.second)
+            row = np.arange(len(x))
+            out[k : k + RANK_ROWS] = (da[:, :, None] + db[:, None, :] <= (da[row, i] + db[row, j])[:, None, None]).sum((1, 2)) - 1
+        return out
+
+
 def one_cell(dim: int) -> MultiIndex:
     """A grid of one cell: every vector meets every other."""
     return MultiIndex(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), 1)
@@ -115,8 +131,8 @@ def _at_limit(sample: np.ndarray, cosine: float) -> np.ndarray:
 def fit(sample: np.ndarray, rows: int, cosine: float = COSINE, target: float = TARGET_RECALL) -> MultiIndex:
     """Codebooks for ``rows`` vectors in all, and the least traversal length that finds ``target`` of the sample's links.
 
-    A sample without links is measured on made-up partners at the limit. If no shorter traversal meets the target, the
-    whole grid is traversed, which loses nothing.
+    A sample without links is measured on made-up partners at the limit. The length may be that of the whole grid, which
+    loses nothing.
     """
     words = LEAST_WORDS
     while words < MOST_WORDS and words * words * 4 * CELL_ROWS <= rows:
@@ -129,22 +145,12 @@ def fit(sample: np.ndarray, rows: int, cosine: float = COSINE, target: float = T
     pairs = pairs[np.random.default_rng(SEED).permutation(len(pairs))[:50_000]]
     own = index.cells(sample, 1)[:, 0]
     if len(pairs):
-        asked, at = np.unique(pairs[:, 0], return_inverse=True)
-        vectors, home = sample[asked], own[pairs[:, 1]]
+        vectors, at, home = sample, pairs[:, 0], own[pairs[:, 1]]
     else:
-        at, vectors, home = np.arange(len(sample)), _at_limit(sample, cosine), own
+        vectors, at, home = _at_limit(sample, cosine), np.arange(len(sample)), own
     # a group's size must not drown the hard pairs: every asked vector weighs the same
     weight = 1 / np.bincount(at)[at]
-    grid, most = len(index.first) * len(index.second), FIRST_PROBES
-    while most < grid:
-        hit = index.cells(vectors, most)[at] == home[:, None]
-        rank = np.where(hit.any(1), hit.argmax(1), most)
-        found = np.bincount(rank, weight, most + 1)[:most].cumsum() / weight.sum()
-        if (enough := np.flatnonzero(found >= target)).size:
-            return MultiIndex(index.first, index.second, int(enough[0]) + 1)
-        most *= 4
-    hit = index.cells(vectors, grid)[at] == home[:, None]
-    found = np.bincount(hit.argmax(1), weight, grid).cumsum() / weight.sum()
+    found = np.bincount(index.ranks(vectors, at, home), weight).cumsum() / weight.sum()
     return MultiIndex(index.first, index.second, int(np.flatnonzero(found >= min(target, found[-1]))[0]) + 1)
 
 
@@ -241,10 +247,11 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     vec_id is counted as a partner but has no component of its own: it shows that of its equals, else null, and is kept
     only then. Other columns are ignored; an empty table stays empty.
     """
-    every = materialize(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")), "vectors")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    good = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    usable = every.where(good)
+    good = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)).alias("good")
+    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    every = materialize(every.select("vec_id", "v", good), "vectors")
+    usable = every.where("good").drop("good")
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep is not null").select("rep", "n", "v"), "vector-classes")
     placed = materialize(classes.transform(arrow_map, _place(_fit_lengths(classes, cosine)), "rep long, n long, vec binary, cell long, probes array<long>"), "vector-cells")
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("g"))
@@ -257,7 +264,21 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     components = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     by_class = classes.join(counts, classes.rep == counts.node, "left").drop("node").join(components, F.col("rep") == F.col("node"), "left")
-    by_class = by_class.select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "rep").alias("_component"))
-    out = every.join(by_class, F.col("v") == F.col("_v"), "left")
+    by_class = by_class.select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("component", "rep").alias("_component"))
+    out = _joined_classes(usable, by_class, classes)
+    out = out.unionByName(every.where("not good").select("vec_id", F.lit(None).cast("long").alias("_links"), F.lit(None).cast("long").alias("_component")))
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
+
+
+def _joined_classes(usable: DataFrame, by_class: DataFrame, classes: DataFrame) -> DataFrame:
+    """(vec_id, _links, _component) of every usable row, null where its vector has no class.
+
+    A class of more than ``limit`` rows is broadcast, so its rows stay where they are; the limit grows with the bytes of
+    all vectors, so that all such classes' vectors together hold no more than HOT_BYTES. The others are dealt by vector.
+    """
+    size = classes.agg(F.sum(F.size("v") * F.col("n")) * 8).first()[0] or 0
+    hot = F.col("n") > max(HOT_ROWS, size // HOT_BYTES)
+    few, rest = F.broadcast(by_class.where(hot).drop("n")), by_class.where(~hot).drop("n")
+    left = usable.join(F.broadcast(classes.where(hot).select("v")), "v", "left_anti")
+    return usable.join(few, "v").unionByName(left.join(rest, "v", "left")).select("vec_id", "_links", "_component")

@@ -97,7 +97,6 @@ def test_traversal_grows_until_the_target(monkeypatch):
     assert np.allclose((near * x).sum(1), 0.95) and np.allclose(np.linalg.norm(near, axis=1), 1)
     both = np.vstack([x, near])
     monkeypatch.setattr(vector_dedup, "LEAST_WORDS", 16)
-    monkeypatch.setattr(vector_dedup, "FIRST_PROBES", 1)
     for sample in (both, x):  # with links of its own, and with partners made up at the limit
         index = vector_dedup.fit(sample, len(sample))
         assert index.probes > 1
@@ -106,3 +105,28 @@ def test_traversal_grows_until_the_target(monkeypatch):
         assert (index.cells(fresh) == home[:, None]).any(1).mean() >= 0.97
     whole = vector_dedup.fit(both, len(both), target=1.0)
     assert whole.probes <= 256
+
+
+def test_ranks_are_places_in_the_traversal():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 10))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = vector_dedup.MultiIndex(rng.normal(size=(7, 5)), rng.normal(size=(9, 5)), 1)
+    order = index.cells(x, 63)
+    at = rng.integers(0, 90, 200)
+    place = rng.integers(0, 63, 200)
+    assert (index.ranks(x, at, order[at, place]) == place).all()
+
+
+def test_hot_equal_vectors_and_useless_ones(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "HOT_ROWS", 20)
+    rng = np.random.default_rng(4)
+    same, other = rng.normal(size=6), rng.normal(size=6)
+    rows = [(k, same.tolist()) for k in range(300)] + [(300 + k, (2 * same).tolist()) for k in range(5)]
+    rows += [(400 + k, other.tolist()) for k in range(15)] + [(500 + k, v) for k, v in enumerate([None, [0.0] * 6] * 100)]
+    rows += [(None, same.tolist()), (None, (-same).tolist()), (None, (-same).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = [tuple(r) for r in vector_dedup.vector_components(df).collect()]
+    want = [(k, 305, 0, k == 0) for k in range(305)] + [(400 + k, 14, 400, k == 0) for k in range(15)]
+    want += [(500 + k, 0, 500 + k, True) for k in range(200)] + [(None, 305, 0, False)] + [(None, 0, None, True)] * 2
+    assert sorted(got, key=repr) == sorted(want, key=repr)
