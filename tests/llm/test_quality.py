@@ -99,3 +99,22 @@ def test_untrained(spark):
     out = rule_ensemble.score(d, rule_ensemble.train(d, labels)).collect()
     assert [r.predicted for r in out] == [1, 1]
     assert rule_ensemble.score(d.limit(0), rule_ensemble.train(d.limit(0), labels)).count() == 0
+
+
+def test_sample_by_threshold(spark):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 4000)
+    d = spark.createDataFrame([(i, "good words here. " * 5 if v else "# $ ! | " * 9) for i, v in enumerate(map(int, y))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(map(int, y))], "doc_id long, quality int")
+    seen = []
+    rows = rule_ensemble.fit
+    try:
+        rule_ensemble.fit = lambda x, z: seen.append(len(z)) or rows(x, z)
+        model = rule_ensemble.train(d.unionByName(d.limit(50)), labels.unionByName(labels), sample_rows=900)
+        rule_ensemble.train(d.unionByName(d), labels, sample_rows=10_000)
+    finally:
+        rule_ensemble.fit = rows
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(4000))
+    assert 500 < seen[0] <= 900 and seen[1] == learned
+    got = {r.doc_id: r.predicted for r in rule_ensemble.score(d, model).collect()}
+    assert np.mean([got[i] == v for i, v in enumerate(y)]) > 0.99
