@@ -17,9 +17,9 @@ def replace_sources(rows: DataFrame, path: str, *partitions: str) -> None:
 
 
 def latest(rows: DataFrame, key: list[str], version: str, tie: str) -> DataFrame:
-    """One row a key, of the greatest version (then tie)."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(version), F.desc(tie)))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row a key, of the greatest version (then tie); null counts as least. Taken in the map tasks first, so a key may have any number of rows."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(version, tie)).alias("_last")
+    return rows.groupBy(*key).agg(last).select("_last.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -33,9 +33,23 @@ def delete_sources(parent: DataFrame, child: DataFrame, gone: DataFrame, key: st
 
 
 def chunk_ids(chunks: DataFrame, *order: str) -> DataFrame:
-    """chunks with a deterministic id: position in the order given, per source, with the source's hash above it."""
-    at = F.row_number().over(W.partitionBy("source").orderBy(*order))
-    return chunks.withColumn("chunk_id", F.shiftleft(F.xxhash64("source").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(at.cast("long")))
+    """chunks with a deterministic id: position in the order given, per source, with the source's hash above it.
+
+    Rows are sorted by ranges of source and order, so a source of any size lies in many ranges; a row's position is its
+    place in the range and the sizes of its source in the ranges before. Only rows equal in all of these stay together.
+    """
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartitionByRange(n, "source", *order).sortWithinPartitions("source", *order)
+    # these ids count up in the order of a range's rows: the range above 33 bits, the place below
+    dealt = materialize(dealt.withColumn("_n", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_n", 33)
+    own = dealt.groupBy(F.col("source").alias("_source"), part.alias("_part")).agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(W.partitionBy("_source").orderBy("_part")) - F.col("_rows")  # a row a range
+    own = own.withColumn("_before", before)
+    met = dealt.join(own, F.col("source").eqNullSafe(F.col("_source")) & (part == F.col("_part")))
+    at = F.col("_before") + F.col("_n") - F.col("_first") + 1
+    chunk_id = F.shiftleft(F.xxhash64("source").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(at.cast("long"))
+    return met.withColumn("chunk_id", chunk_id).select(*chunks.columns, "chunk_id")
 
 
 def write_metadata(spark: SparkSession, path: str, values: dict[str, str]) -> None:

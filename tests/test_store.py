@@ -32,6 +32,28 @@ def test_chunk_ids_and_metadata(spark, tmp_path):
     assert store.read_metadata(spark, path) == {"model": '"x"', "dim": "65"}
 
 
+def test_chunk_ids_of_a_large_source(spark):
+    rows = [("hot" if k % 3 else f"s{k % 7}", (k * 37) % 500, k) for k in range(1500)] + [(None, 1, 0), (None, 2, 0)]
+    df = spark.createDataFrame(rows, "source string, ordinal int, part_no int").repartition(5)
+    own = {}
+    for r in store.chunk_ids(df, "ordinal", "part_no").collect():
+        own.setdefault(r.source, []).append((r.chunk_id, r.ordinal, r.part_no))
+    assert sum(map(len, own.values())) == len(rows)
+    for got in own.values():
+        got.sort()
+        assert [i & ((1 << 32) - 1) for i, _, _ in got] == list(range(1, len(got) + 1))
+        assert [x[1:] for x in got] == sorted(x[1:] for x in got) and len({i >> 32 for i, _, _ in got}) == 1
+    assert store.chunk_ids(df.limit(0), "ordinal").count() == 0
+
+
+def test_latest_takes_whole_rows(spark):
+    rows = [("a", 1, "x", None), ("a", 3, "m", "old"), ("a", 3, "z", None), ("a", None, "zz", "none"), (None, None, None, "only"), ("b", 0, "q", "b")]
+    df = spark.createDataFrame(rows, "k string, v int, t string, more string")
+    got = store.latest(df.repartition(4), ["k"], "v", "t")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 3, "z", None), (None, None, None, "only"), ("b", 0, "q", "b")], key=str)
+
+
 def test_decode_pages(spark, tmp_path):
     said = "Şişli İğne ığöüç — “x”"
     (tmp_path / "p.htm").write_bytes(said.encode("windows-1254"))
