@@ -3,8 +3,7 @@
 Two codebooks, learnt apart on the two halves of the unit vectors, span a grid of cells. Each vector lies in one cell
 and probes cells in the order of the multi-sequence traversal (ascending sum of its two halves' squared distances), as
 many as a sample needs for the target recall. What lies in a probed cell is verified by cosine in double precision.
-Vectors of each length have an index and cells of their own. Equal vectors are one class. A cell's residents are dealt into blocks, so that a crowded cell is spread over tasks;
-tasks send out link counts and spanning links only, never all pairs.
+Vectors of each length have an index and cells of their own. Equal vectors are one class. A cell's residents are dealt into blocks and its probes into parts, so that a crowded cell is spread over tasks; tasks send out link counts and spanning links only, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +31,8 @@ TARGET_RECALL = 0.995
 RANK_ROWS = 32
 #: So many lengths have codebooks, the most frequent ones; a rarer length is one cell, so all its pairs are compared.
 FITTED_LENGTHS = 64
-BLOCK_ROWS = 1024
+#: A task meets so many residents of a cell, and of its probes about so many, at a time.
+BLOCK_ROWS, PROBE_ROWS = 1024, 8192
 #: The vectors of all hot classes, which are broadcast, hold no more bytes than this.
 HOT_BYTES = 32 << 20
 ROUNDS, SEED = 12, 11
@@ -177,7 +177,8 @@ def _place(indexes: dict[int, MultiIndex]):
 
 
 def _verify(cosine: float):
-    """Per (cell, blk): first the residents, then the probes in a stream; link counts and spanning links go out."""
+    """Per (cell, blk), a block's number in the upper and a part's in the lower half of blk: first the residents, then the
+    probes in a stream; link counts and spanning links go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home = None, None
@@ -254,11 +255,17 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     usable = every.where("good").drop("good")
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep is not null").select("rep", "n", "v"), "vector-classes")
     placed = materialize(classes.transform(arrow_map, _place(_fit_lengths(classes, cosine)), "rep long, n long, vec binary, cell long, probes array<long>"), "vector-cells")
-    cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("g"))
-    residents = placed.join(cells, "cell").select("cell", F.pmod(F.xxhash64("rep"), "g").cast("int").alias("blk"), F.lit(0).alias("kind"), "rep", "n", "vec", F.col("cell").alias("own"), "probes")
-    probes = placed.select(F.col("cell").alias("own"), F.explode("probes").alias("cell"), "rep", "n", "vec").join(cells, "cell")
-    none = F.lit(None).cast("array<long>").alias("probes")
-    probes = probes.select("cell", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("blk"), F.lit(1).alias("kind"), "rep", "n", "vec", "own", none)
+    asked = placed.select(F.col("cell").alias("own"), F.explode("probes").alias("cell"), "rep", "n", "vec")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("blocks"))
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / PROBE_ROWS).cast("long").alias("parts"))
+    cells = materialize(blocks.join(parts, "cell"), "vector-crowds")
+    # every block of residents meets every part of the probes, in one place each
+    place = lambda block, part: F.shiftleft(block, 32).bitwiseOR(part).alias("blk")
+    block, part = F.pmod(F.xxhash64("rep"), "blocks"), F.pmod(F.xxhash64("rep", F.lit(1)), "parts")
+    each_part, each_block = (F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("_k") for c in ("parts", "blocks"))
+    residents = placed.join(cells, "cell").select("*", each_part).select("cell", place(block, F.col("_k")), F.lit(0).alias("kind"), "rep", "n", "vec", F.col("cell").alias("own"), "probes")
+    probes = asked.join(cells, "cell").select("*", each_block)
+    probes = probes.select("cell", place(F.col("_k"), part), F.lit(1).alias("kind"), "rep", "n", "vec", "own", F.lit(None).cast("array<long>").alias("probes"))
     met = residents.unionByName(probes).repartition("cell", "blk").sortWithinPartitions("cell", "blk", "kind")
     found = materialize(met.transform(arrow_map, _verify(cosine), "a long, b long, links long"), "vector-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -45,6 +45,20 @@ def test_crowded_cells_in_blocks(spark, monkeypatch):
     assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
 
 
+def test_blocks_meet_parts_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=8)
+    x = np.vstack([centre + 0.1 * rng.normal(size=(150, 8)), rng.normal(size=(100, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = vector_dedup.vector_components(df).collect()
+    for block, part in ((32, 16), (1024, 8), (16, 1024)):
+        monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", block)
+        monkeypatch.setattr(vector_dedup, "PROBE_ROWS", part)
+        assert sorted(vector_dedup.vector_components(df).collect()) == sorted(want)
+    found = brute(np.arange(len(x)), x)
+    assert sum(r.n_links for r in want) >= 0.97 * sum(n for n, _ in found.values()) > 1000
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [None, 1.0]), (10, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (11, [0.0, -1.0]), (11, [0.0, -1.0])]
