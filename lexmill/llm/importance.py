@@ -30,7 +30,8 @@ MOST_NODES = 1_000_000
 PIECE_BYTES = 4 << 20
 SEED = 2024
 LEAST_WORDS = 20
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words before they are lower-cased.
+_NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class WordTrie:
@@ -99,13 +100,14 @@ class WordTrie:
         """Per text: words, runs, and the sum of its runs' gains (zeros without gains). Runs are counted in the nodes."""
         if self.nodes > MOST_NODES:
             self.totals = self.flush()
-        parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _NOT_WORD)
+        parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), _NOT_WORD)
         flat = parts.flatten()
         row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy(zero_copy_only=False)))
         there = pc.not_equal(flat, "")
         row = row[there.to_numpy(zero_copy_only=False)]
         coded = flat.filter(there).dictionary_encode()
-        word = self._words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else np.empty(0, np.int64)
+        # only distinct words are lower-cased: Arrow's ascii_lower misreads a slice that was cast, and pieces are slices
+        word = self._words(pc.ascii_lower(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else np.empty(0, np.int64)
         n_words = np.bincount(row, minlength=len(texts))
         runs, gains = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         node, own, starts = np.zeros(len(word), np.int64), row, np.arange(len(word))

@@ -83,6 +83,22 @@ def test_emptied_tries_change_nothing(monkeypatch):
     assert np.array_equal(whole.flush(), small.flush())
 
 
+def test_slices_without_nulls_are_walked_whole():
+    texts = pa.array([f"Text {k} HAS Wörds" * (k % 7) for k in range(900)])
+    whole, parts = importance.WordTrie(2, 500), importance.WordTrie(2, 500)
+    runs = whole.walk(texts)[1]
+    assert np.array_equal(np.concatenate([parts.walk(texts.slice(k, 300))[1] for k in (0, 300, 600)]), runs)
+    assert np.array_equal(whole.flush(), parts.flush())
+
+
+def test_batches_of_several_pieces_against_brute_force(spark):
+    rows = [(k, f"Word{k} word{k % 13} UP{k % 7} " * 900) for k in range(300)]
+    assert sum(len(x) for _, x in rows) > importance.PIECE_BYTES
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    target = spark.createDataFrame([("up3 word5",)], "text string")
+    assert got(importance.resample(df, target)) == slow(rows, ["up3 word5"])
+
+
 def test_state_goes_on_from_the_parent():
     trie = importance.WordTrie(3, 10)
     trie.walk(pa.array(["Der Weg nach nebenan"]))
