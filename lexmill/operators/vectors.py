@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,9 @@ from lexmill.functions.providers import DIMS, bucket
 from lexmill.functions.text import char_grams
 from lexmill.sources.tables import arrow_map
 
-#: Bytes of query vectors that meet all rows in one scan; a larger query set is worked off in so many scans. Similarities
-#: that a task has at once.
-QUERY_BYTES, MOST_SIMS = 64 << 20, 8 << 20
+#: Bytes of query vectors, and best rows of all queries, that a task holds in one scan of the rows; a larger query set is
+#: worked off in so many scans. Similarities, and components of rows, that a task has at once.
+QUERY_BYTES, MOST_BEST, MOST_SIMS, MOST_VALUES = 16 << 20, 1 << 19, 1 << 19, 1 << 19
 
 
 def unit(vector: Column) -> Column:
@@ -29,15 +30,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, strict: bool = False
     """(qid, doc_id, sim rounded to 6 places): every query's k best rows, and more of them, for vectors(doc_id, vec) and
     queries(qid, vec). A window over the result picks the k best; the best one is the greatest similarity of all rows.
 
-    A stated query set against all rows, in blocks: queries are counted first, and dealt to blocks of QUERY_BYTES by a hash
-    of qid; a block is one matrix on every task, and one scan of the rows. A task keeps the k best of each query, ties by
-    doc_id, so it sends at most k rows a query. Vectors meet those of their own length; with ``strict`` a row whose length
+    A stated query set against all rows, in blocks: queries are counted first, and dealt to blocks of QUERY_BYTES, or of
+    MOST_BEST / k queries, by a hash of qid; a block is one matrix on every task, and one scan of the rows. A task keeps the
+    k best of each query, ties by doc_id, so it sends at most k rows a query. Vectors meet those of their own length; with ``strict`` a row whose length
     no query has raises. Null, zero and non-finite vectors, and those with null components, give no rows.
     """
     size = F.size("vec")
     asked = queries.where("vec is not null").select(F.col("qid").cast("long").alias("qid"), F.col("vec").cast("array<double>").alias("vec"))
-    total = asked.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] * 8
-    blocks = max(1, -(-total // QUERY_BYTES))
+    total, n_asked = asked.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-total * 8 // QUERY_BYTES), -(-n_asked * k // MOST_BEST))
     out = None
     for n in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
@@ -72,13 +73,23 @@ def _usable(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.
     return out
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most MOST_VALUES components (one row at least)."""
+    size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size.astype(np.int64)) // MOST_VALUES
+    edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 class _Best:
     """The k best (sim, then smaller id) of each of n queries; candidates wait until there are many."""
 
     def __init__(self, n: int, k: int):
         self.k, self.least = k, np.full(n, -2.0)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting, self.limit = 0, max(200_000, 4 * n * k)
+        self.waiting, self.limit = 0, max(200_000, 2 * n * k)
 
     def add(self, ids: np.ndarray, sims: np.ndarray) -> None:
         row, query = np.nonzero(sims >= self.least)
@@ -108,7 +119,7 @@ def _against(vectors: DataFrame, asked: pa.Table, k: int, strict: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {n: _Best(len(names), k) for n, (names, _) in queries.items()}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             for n, (ids, x) in _usable(batch.column(0), batch.column(1)).items():
                 if n not in queries:
                     if strict and queries:

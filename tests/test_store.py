@@ -118,6 +118,30 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert sorted(zip(query.tolist(), ids.tolist())) == sorted((i, int(j)) for i in range(2) for j in np.lexsort((np.arange(600), -sims[i]))[:3])
 
 
+def test_vector_search_memory_is_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(vectors, "MOST_VALUES", 100)
+    batch = pa.record_batch([pa.array(range(30)), pa.array([None if k == 4 else [float(k)] * 40 for k in range(30)])], ["doc_id", "vec"])
+    parts = list(vectors._parts(batch.slice(2)))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.slice(2).to_pylist() and max(len(x.column(1).flatten()) for x in parts) <= 120
+    assert list(vectors._parts(batch.slice(0, 0))) == []
+    v = spark.createDataFrame([(k, [1.0, k / 50]) for k in range(60)], "doc_id long, vec array<double>")
+    q = v.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "qid")
+    want = sorted(map(tuple, lexical.top(vectors.nearest(v, q, 3), 3, "sim").collect()))
+    monkeypatch.setattr(vectors, "MOST_BEST", 6)  # two queries a scan
+    parted = vectors.nearest(v, q, 3)
+    assert parted._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 3
+    assert sorted(map(tuple, lexical.top(parted, 3, "sim").collect())) == want
+
+
+def test_labelled_results_are_found_once(spark):
+    from lexmill.plans import queries
+
+    best, _ = queries._labelled_results(spark, DIR)
+    assert "MapInArrow" not in best._jdf.queryExecution().analyzed().toString()
+
+
 def test_fusion_rules(spark):
     ranked = lambda rows: spark.createDataFrame(rows, "qid long, doc_id long, rank int")
     fused = fusion.fuse({"vector": (ranked([(1, 10, 1), (1, 11, 2)]), 1.0), "lexical": (ranked([(1, 12, 1), (1, 11, 2)]), 1.0), "number": (ranked([(1, 13, 1)]), 0.0)})
