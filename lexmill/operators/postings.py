@@ -1,24 +1,30 @@
 """A stored word index: postings and vocabulary as Parquet, written once and read by every search.
 
-postings(part, token, doc_id, tf, n_tokens): partitioned by a hash of the token, sorted by token inside. A search for few
+postings(part, token, doc_id, tf, n_tokens): partitioned by a hash of the token, each file sorted by token. A search for few
 words opens the folders of their parts only, and in them the row groups that may hold them. vocabulary(token, df, part) is
 sorted by token. stats has one row; it is written last, so an index without it isn't whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import lexical
-from lexmill.sources.tables import materialize
+from lexmill.sources.tables import arrow_map, materialize
 
 #: Folders of the postings.
 PARTS = 64
 #: Asked tokens up to which a scan is told which folders and tokens to read.
 FEW_TOKENS = 200
+#: Bytes of text whose words are counted at once.
+PIECE_BYTES = 4 << 20
 
 
 @dataclass
@@ -28,35 +34,56 @@ class Index:
     n_docs: int
     average: float
     parts: int = PARTS
+    unique: bool = False  # no two rows had one id
 
 
 def part_of(token: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, doc_id, tf, n_tokens) of (doc_id, normalised text), a row a word of each text."""
+    for batch in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE_BYTES
+        edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows].tolist()
+        for a, b in zip(edges[:-1], edges[1:]):
+            parts = pc.split_pattern(pc.fill_null(batch.column(1).slice(a, b - a).cast(pa.large_string()), ""), " ")
+            flat = parts.flatten()
+            row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy(zero_copy_only=False)))
+            there = pc.not_equal(flat, "")
+            row, coded = row[there.to_numpy(zero_copy_only=False)], flat.filter(there).dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            keys, tf = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            own, length = keys // size, np.bincount(row, minlength=len(parts))
+            token = coded.dictionary.take(pa.array(keys % size)).cast(pa.string())
+            ids = batch.column(0).slice(a, b - a).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([token, ids, pa.array(tf.astype(np.int32)), pa.array(length[own].astype(np.int32))], ["token", "doc_id", "tf", "n_tokens"])
+
+
 def write_index(docs: DataFrame, normalized: Column, path: str, id_col: str = "doc_id", parts: int = PARTS) -> None:
     """Index the words of every row under ``path``. A row without words counts among the documents; rows with one id are one document.
 
-    One shuffle of the words: they are dealt by part and a share of the documents, so that a frequent word is spread, and
-    counting and sorting need no other.
+    Words are counted and sorted where the texts are read; no shuffle. Rows with one id stay apart in the postings, which
+    term_documents puts together; the vocabulary counts their documents once.
     """
     spark = docs.sparkSession
-    writers = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // parts)
-    rows = lexical.tokens(docs, normalized, id_col)
-    each = rows.select("doc_id", F.size("words").alias("n_tokens"), F.explode("words").alias("token"))
-    each = each.select(part_of(F.col("token"), parts).alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(writers)).alias("_w"), "token", "doc_id", "n_tokens")
-    counted = each.repartition("part", "_w").groupBy("part", "_w", "token", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.max("n_tokens").alias("n_tokens"))
-    counted.drop("_w").sortWithinPartitions("part", "token", "doc_id").write.partitionBy("part").parquet(f"{path}/postings")
-    words = spark.read.parquet(f"{path}/postings").groupBy("part", "token").agg(F.count("*").alias("df"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalized.alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    counted = arrow_map(rows, _counted, f"token string, doc_id {id_type}, tf int, n_tokens int").withColumn("part", part_of(F.col("token"), parts))
+    counted.sortWithinPartitions("part", "token", "doc_id").write.partitionBy("part").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    sizes = docs.agg(F.count_distinct(id_col).alias("n_docs"), F.count("*").alias("n_rows"))
+    n_docs, n_rows = sizes.first()
+    each = stored if n_docs == n_rows else stored.select("part", "token", "doc_id").distinct()
+    words = each.groupBy("part", "token").agg(F.count("*").alias("df"))
     words.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/vocabulary")
-    n_docs = docs.agg(F.count_distinct(id_col).alias("n_docs"))
-    total = spark.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-    n_docs.crossJoin(total).withColumn("parts", F.lit(parts)).write.parquet(f"{path}/stats")  # one row each
+    total = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    total.select(F.lit(n_docs).alias("n_docs"), "n_tokens", F.lit(parts).alias("parts"), F.lit(n_docs == n_rows).alias("unique")).write.parquet(f"{path}/stats")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     r = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"), r.n_docs, r.n_tokens / max(1, r.n_docs), r.parts)
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"), r.n_docs, r.n_tokens / max(1, r.n_docs), r.parts, r.unique)
 
 
 def postings_of(index: Index, met: DataFrame) -> DataFrame:
@@ -87,6 +114,22 @@ def term_documents(index: Index, wanted: DataFrame, limits: tuple[float, ...] =
     return materialize(found, "term-documents")
 
 
+def document_frequency(index: Index, wanted: DataFrame) -> DataFrame:
+    """(term, df), zero for terms without a document: lexical.document_frequency of all term_documents, without storing them.
+
+    A term of one token has that token's count in the vocabulary. Only terms of several are looked up in the postings, and
+    only their numbers and the documents' ids are shuffled.
+    """
+    met = materialize(lexical.matches(index.vocabulary, wanted).join(index.vocabulary.select("token", "df"), "token"), "term-tokens")
+    of = met.groupBy("term").agg(F.count("*").alias("tokens"), F.max("df").alias("df")).withColumn("n", F.monotonically_increasing_id())
+    of = materialize(of, "terms")
+    several = of.where("tokens > 1").select("term", "n")
+    pairs = met.join(several, "term").select(F.col("n").alias("term"), "token")
+    counted = postings_of(index, materialize(pairs, "term-tokens")).select(F.col("term").alias("n"), "doc_id").distinct().groupBy("n").agg(F.count("*").alias("df"))
+    found = of.where("tokens = 1").select("term", "df").unionByName(several.join(counted, "n").select("term", "df"))
+    return wanted.select("term").distinct().join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+
+
 def needed_terms(known: DataFrame, wanted: DataFrame, n_docs: int, limits: tuple[float, ...]) -> DataFrame:
     """The terms whose postings a search must read, from known(term, token, df).
 

@@ -210,6 +210,33 @@ def test_stored_index(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, lexical.bm25(kept, found, index.n_docs, index.average).collect())) == want and want
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_frequencies_from_the_vocabulary(spark, tmp_path, again):
+    from lexmill.operators import postings
+
+    rows = [(1, "alpha alphabet one  one"), (2, "alpha two"), (3, None), (4, ""), (5, "alphorn beta")] + [(2, "alphabet two two"), (None, "beta")] * again
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    postings.write_index(docs, F.coalesce("text", F.lit("")), str(tmp_path / "i"), parts=4)
+    index = postings.read_index(spark, str(tmp_path / "i"))
+    assert index.unique is not again and (index.n_docs, index.average) == ((4 + 1, 12 / 5) if again else (5, 8 / 5))
+    wanted = lexical.terms(spark.createDataFrame([(1, "alphas beta two absent"), (2, "one two")], "qid long, text string"))
+    want = {r.term: r.df for r in lexical.document_frequency(postings.term_documents(index, wanted), wanted).collect()}
+    assert {r.term: r.df for r in postings.document_frequency(index, wanted).collect()} == want
+    assert want["two*"] == 1 and want["beta*"] == 1 + again and want["absen*"] == 0
+    found = {(r.term, r.doc_id): (r.tf, r.n_tokens) for r in postings.term_documents(index, wanted).collect()}
+    assert found["one*", 1] == (2, 4) and found["two*", 2] == ((3, 3) if again else (1, 2))
+
+
+def test_the_index_is_built_without_a_shuffle_of_words(spark, tmp_path):
+    from lexmill.operators import postings
+
+    docs = spark.createDataFrame([(k, f"word{k % 5} common " * 50) for k in range(400)], "doc_id long, text string").repartition(2)
+    postings.write_index(docs, F.col("text"), str(tmp_path / "i"), parts=2)
+    files = spark.read.parquet(str(tmp_path / "i" / "postings")).inputFiles()
+    assert len(files) <= 2 * 2  # a file a task and part: as the texts were dealt
+    assert spark.read.parquet(str(tmp_path / "i" / "postings")).where("token = 'common'").agg(F.sum("tf")).first()[0] == 20_000
+
+
 def test_postings_of_frequent_terms_stay_unread(spark):
     from lexmill.operators import postings
 
