@@ -74,13 +74,17 @@ def selective_terms(wanted: DataFrame, df: DataFrame, n_docs: int, p: Params = D
     return ranked.where(F.when(F.col("any_fits"), F.col("fits")).otherwise(F.col("rank") <= p.rare_terms)).select("qid", "place", "term", "df")
 
 
+def weight(n_docs: int) -> Column:
+    """A term's weight by its column df."""
+    idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf)
+
+
 def bm25(kept: DataFrame, term_docs: DataFrame, n_docs: int, average: float, p: Params = DEFAULT) -> DataFrame:
     """(qid, doc_id, score): the sum over a query's kept terms of idf * saturated tf."""
-    idf = F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf)
     norm = p.bm25_k1 * (1 - p.bm25_b + p.bm25_b * F.col("n_tokens") / F.lit(float(average)))
     scored = _with_terms(kept, term_docs)
-    return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(weight * F.col("tf") * (p.bm25_k1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
+    return scored.groupBy("qid", "doc_id").agg(F.round(F.sum(weight(n_docs) * F.col("tf") * (p.bm25_k1 + 1) / (F.col("tf") + norm)), 6).alias("score"))
 
 
 def _with_terms(kept: DataFrame, term_docs: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def _with_terms(kept: DataFrame, term_docs: DataFrame) -> DataFrame:
     return term_docs.withColumn("_share", share).join(kept.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))), ["term", "_share"]).drop("_share")
 
 
-def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_id") -> DataFrame:
+def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "doc_id", by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """The k best of each query with their 1-based rank; ties by id."""
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(score), id_col))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -12,19 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import lexical
+from lexmill.operators import lexical, ranking
 from lexmill.sources.tables import arrow_map, materialize
 
 #: Folders of the postings.
 PARTS = 64
 #: Asked tokens up to which a scan is told which folders and tokens to read.
 FEW_TOKENS = 200
-#: Bytes of text whose words are counted at once.
-PIECE_BYTES = 4 << 20
 
 
 @dataclass
@@ -44,18 +41,11 @@ def part_of(token: Column, parts: int) -> Column:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, doc_id, tf, n_tokens) of (doc_id, normalised text), a row a word of each text."""
     for batch in batches:
-        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE_BYTES
-        edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows].tolist()
-        for a, b in zip(edges[:-1], edges[1:]):
-            parts = pc.split_pattern(pc.fill_null(batch.column(1).slice(a, b - a).cast(pa.large_string()), ""), " ")
-            flat = parts.flatten()
-            row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy(zero_copy_only=False)))
-            there = pc.not_equal(flat, "")
-            row, coded = row[there.to_numpy(zero_copy_only=False)], flat.filter(there).dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            keys, tf = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            own, length = keys // size, np.bincount(row, minlength=len(parts))
-            token = coded.dictionary.take(pa.array(keys % size)).cast(pa.string())
+        for a, b, row, code, words in ranking.word_pieces(batch):
+            size = max(1, len(words))
+            keys, tf = np.unique(row * size + code, return_counts=True)
+            own, length = keys // size, np.bincount(row, minlength=b - a)
+            token = words.take(pa.array(keys % size)).cast(pa.string())
             ids = batch.column(0).slice(a, b - a).take(pa.array(own))
             yield pa.RecordBatch.from_arrays([token, ids, pa.array(tf.astype(np.int32)), pa.array(length[own].astype(np.int32))], ["token", "doc_id", "tf", "n_tokens"])
 

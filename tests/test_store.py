@@ -255,3 +255,69 @@ def test_an_index_that_was_cleared_is_made_again(spark):
     assert search.index_of(spark, DIR).n_docs == first.n_docs and path in search._indexes.values()
     shutil.rmtree(path.removeprefix("file:").replace("//", "/"))
     assert search.index_of(spark, DIR).vocabulary.count() > 0 and path not in search._indexes.values()
+
+
+def test_documents_are_scored_where_they_are_read(spark, monkeypatch):
+    from lexmill.operators import postings, ranking
+
+    texts, index, asked = search.texts_of(spark, DIR), search.index_of(spark, DIR), search.questions(spark, DIR)
+    variants = [(1.0, False), (0.12, True)]
+    scored = search.lexical_channels(texts, asked, variants, 5)
+    plan = scored._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan  # no (question, document) row and no posting is shuffled
+    best = lambda rows: sorted(map(tuple, lexical.top(rows, 5, by=("variant", "qid")).select("variant", "qid", "doc_id", "score", "rank").collect()))
+    want = best(search.lexical_channels(index, asked, variants, 5))
+    assert best(scored) == want and len({r[0] for r in want}) == 2
+    wanted = lexical.terms(asked)
+    same = lambda df: {r.term: r.df for r in df.collect()}
+    counted, average = ranking.term_frequencies(texts, wanted)
+    assert same(counted) == same(postings.document_frequency(index, wanted)) and average == index.average and texts.n_docs == index.n_docs
+    # more questions and terms than one scan takes
+    monkeypatch.setattr(ranking, "MOST_KEPT", 200)
+    monkeypatch.setattr(ranking, "MOST_TERMS", 100)
+    parted = search.lexical_channels(texts, asked, variants, 5)
+    assert parted._jdf.queryExecution().analyzed().toString().count("MapInArrow") > 2 and best(parted) == want
+    assert same(ranking.term_frequencies(texts, wanted)[0]) == same(counted)
+    none = spark.createDataFrame([(1, ""), (2, None), (3, "zzzzqq")], "qid long, text string")
+    assert search.lexical_channel(texts, none, 5).count() == 0
+
+
+def test_scoring_works_in_bounded_pieces(spark, monkeypatch):
+    import pyarrow as pa
+    from lexmill.operators import ranking
+
+    words = ["alpha one one", "", None, "alpha alphabet two", "one", "three", "alphorn " * 30, "alpha"]
+    batch = pa.record_batch([pa.array(range(len(words)), pa.int64()), pa.array(words)], ["doc_id", "text"])
+    row, term, tf = ranking.Matcher(pa.array(["alph*", "alphab*", "one", "on"])).counts(*next(ranking.word_pieces(batch))[2:])
+    assert list(zip(row.tolist(), term.tolist(), tf.tolist())) == [(0, 0, 1), (0, 2, 2), (3, 0, 2), (3, 1, 1), (4, 2, 1), (6, 0, 30), (7, 0, 1)]
+    runs, peaks = [], []
+    monkeypatch.setattr(ranking, "arrow_map", lambda rows, run, schema: runs.append(run))
+    kept = pa.table({"qid": [7, 7, 9, 8], "term": ["alph*", "one", "one", "absent"], "weight": [1.0, 2.0, 3.0, 1.0]})
+    ranking._scored(ranking.Texts(None, 8), kept, 5.0, 2, [("qid", "bigint")], ranking.DEFAULT)
+    rows = lambda: [tuple(r.values()) for b in runs[0](iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    want = rows()
+    add = ranking._Best.add
+    monkeypatch.setattr(ranking._Best, "add", lambda self, ids, sims: (peaks.append(sims.size), add(self, ids, sims)))
+    monkeypatch.setattr(ranking, "PIECE_BYTES", 20)
+    monkeypatch.setattr(ranking, "MOST_CELLS", 9)
+    assert rows() == want and [r[:2] for r in want] == [(7, 0), (7, 4), (9, 0), (9, 4)] and max(peaks) <= 12
+
+
+def test_documents_with_one_id_are_scored_together(spark, tmp_path):
+    from lexmill.operators import postings
+
+    rows = [(1, "alpha one", "s"), (1, "alpha two", "s"), (2, "alpha", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    source = search.texts_of(spark, str(tmp_path))
+    assert isinstance(source, postings.Index)
+    asked = spark.createDataFrame([(1, "two")], "qid long, text string")
+    assert [(r.qid, r.doc_id) for r in search.lexical_channel(source, asked, 5).collect()] == [(1, 1)]
+
+
+def test_texts_that_were_cleared_are_made_again(spark):
+    import shutil
+
+    first = search.texts_of(spark, DIR)
+    path = next(v for k, v in search._texts.items() if k[1] == DIR)
+    shutil.rmtree(path.removeprefix("file:").replace("//", "/"))
+    assert search.texts_of(spark, DIR).n_docs == first.n_docs and path not in search._texts.values()
