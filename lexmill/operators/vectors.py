@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.providers import DIMS, bucket
 from lexmill.functions.text import char_grams
-from lexmill.sources.tables import arrow_map
+from lexmill.sources.tables import arrow_map, materialize
 
 #: Bytes of query vectors, and best rows of all queries, that a task holds in one scan of the rows; a larger query set is
 #: worked off in so many scans. Similarities, and components of rows, that a task has at once.
 QUERY_BYTES, MOST_BEST, MOST_SIMS, MOST_VALUES = 16 << 20, 1 << 19, 1 << 19, 1 << 19
+#: Pairs up to which their documents' ids are broadcast.
+MOST_PAIRS = 1_000_000
 
 
 def unit(vector: Column) -> Column:
@@ -48,7 +50,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, strict: bool = False
 
 
 def pair_similarities(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """pairs(qid, doc_id, ...) with sim, rounded to 6 places; 0 where either side has no usable vector."""
+    """pairs(qid, doc_id, ...) with sim, rounded to 6 places; 0 where either side has no usable vector.
+
+    The pairs are stored; if their documents are at most MOST_PAIRS, only these documents' vectors leave the scan.
+    """
+    pairs = materialize(pairs, "pairs")
+    named = pairs.select("doc_id").distinct()
+    if pairs.count() <= MOST_PAIRS:
+        vectors = vectors.join(F.broadcast(named), "doc_id", "left_semi")
     docs = vectors.select("doc_id", unit(F.col("vec")).alias("_d"))
     asked = queries.select("qid", unit(F.col("vec")).alias("_q"))
     dot = F.aggregate(F.zip_with("_d", "_q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)

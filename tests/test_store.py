@@ -321,3 +321,16 @@ def test_texts_that_were_cleared_are_made_again(spark):
     path = next(v for k, v in search._texts.items() if k[1] == DIR)
     shutil.rmtree(path.removeprefix("file:").replace("//", "/"))
     assert search.texts_of(spark, DIR).n_docs == first.n_docs and path not in search._texts.values()
+
+
+def test_only_vectors_of_pairs_leave_the_scan(spark, monkeypatch):
+    v = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(40)] + [(40, None)], "doc_id long, vec array<double>")
+    q = v.where("doc_id in (0, 7)").withColumnRenamed("doc_id", "qid")
+    pairs = spark.createDataFrame([(0, 3), (7, 7), (7, 40), (7, 99), (5, 3)], "qid long, doc_id long")
+    out = vectors.pair_similarities(pairs, v, q)
+    plan = out._jdf.queryExecution().toString()
+    assert "LeftSemi, BuildRight" in plan
+    want = sorted((r.qid, r.doc_id, r.sim) for r in out.collect())
+    assert [w[:2] for w in want] == [(0, 3), (5, 3), (7, 7), (7, 40), (7, 99)] and [w[2] for w in want] == [0.316228, 0, 1.0, 0, 0]
+    monkeypatch.setattr(vectors, "MOST_PAIRS", 1)
+    assert sorted((r.qid, r.doc_id, r.sim) for r in vectors.pair_similarities(pairs, v, q).collect()) == want
