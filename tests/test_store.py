@@ -346,3 +346,29 @@ def test_texts_of_the_context_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin [doc_id" in plan and "SortMergeJoin [doc_id" not in plan
+
+
+def _built(monkeypatch, name, spark):
+    """How often a query writes an index, stores the texts, and scans them."""
+    from lexmill.operators import postings, ranking
+
+    calls = {"write_index": 0, "_frequencies": 0, "_scored": 0}
+
+    def counting(module, f):
+        real = getattr(module, f)
+
+        def run(*args):
+            calls[f] += 1
+            return real(*args)
+
+        monkeypatch.setattr(module, f, run)
+
+    counting(postings, "write_index"), counting(ranking, "_frequencies"), counting(ranking, "_scored")
+    monkeypatch.setattr(search, "_indexes", {})
+    QUERIES[name](spark, DIR)
+    return calls
+
+
+@pytest.mark.parametrize("name", ["bm25_search"])
+def test_a_search_needs_no_postings(spark, monkeypatch, name):
+    assert _built(monkeypatch, name, spark) == {"write_index": 0, "_frequencies": 1, "_scored": 1}
