@@ -369,6 +369,6 @@ def _built(monkeypatch, name, spark):
     return calls
 
 
-@pytest.mark.parametrize("name", ["bm25_search"])
+@pytest.mark.parametrize("name", ["bm25_search", "rrf_fusion"])
 def test_a_search_needs_no_postings(spark, monkeypatch, name):
     assert _built(monkeypatch, name, spark) == {"write_index": 0, "_frequencies": 1, "_scored": 1}
