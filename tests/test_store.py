@@ -372,3 +372,7 @@ def _built(monkeypatch, name, spark):
 @pytest.mark.parametrize("name", ["bm25_search", "rrf_fusion"])
 def test_a_search_needs_no_postings(spark, monkeypatch, name):
     assert _built(monkeypatch, name, spark) == {"write_index": 0, "_frequencies": 1, "_scored": 1}
+
+
+def test_the_grid_scans_the_texts_once_for_all_variants(spark, monkeypatch):
+    assert _built(monkeypatch, "tuning_grid", spark) == {"write_index": 0, "_frequencies": 1, "_scored": 1}
