@@ -1,4 +1,6 @@
-"""String functions as columns: normalisation, query terms, numbers, synonyms, output clean-up. No UDF."""
+"""String functions as columns: normalisation, query terms, numbers, synonyms, output clean-up. No UDF.
+
+Normalisation is also there for one string and for Arrow arrays."""
 
 from __future__ import annotations
 
@@ -6,6 +8,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,11 +105,65 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+def _plain(text: str) -> str:
+    """ASCII letters for letters with marks, in lower case; marks that stand alone vanish."""
+    first = text.translate(str.maketrans(FIRST_FROM, FIRST_TO)).lower()
+    return re.sub("[\u0300-\u036f]+", "", first.translate(str.maketrans(*accent_table())))
+
+
 def normalized(text: str) -> str:
     """The same as normalize, for one string."""
-    first = text.translate(str.maketrans(FIRST_FROM, FIRST_TO)).lower()
-    plain = re.sub("[\u0300-\u036f]+", "", first.translate(str.maketrans(*accent_table())))
-    return re.sub("[^a-z0-9]+", " ", plain).strip()
+    return re.sub("[^a-z0-9]+", " ", _plain(text)).strip()
+
+
+#: No code point from here on stands for an ASCII letter or digit.
+LETTERS_END = 0x3000
+
+
+@lru_cache(maxsize=1)
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """What normalize makes of a byte of UTF-8, and of a code point up to LETTERS_END: a letter or digit, a space, or 0 for nothing."""
+    out = np.full(LETTERS_END + 1, 32, np.uint8)
+    for code in range(LETTERS_END):
+        plain = _plain(chr(code))
+        if not plain or re.fullmatch("[a-z0-9]", plain):
+            out[code] = ord(plain or "\0")
+    return np.r_[out[:128], np.zeros(64, np.uint8), np.full(64, 32, np.uint8)], out
+
+
+def normalized_array(texts: pa.Array) -> pa.Array:
+    """The same as normalize, for an array of strings: its bytes are looked up at once. Memory: about 20 times the texts."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8 are replaced, as by the JVM
+        texts = pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.large_binary()).to_pylist()], pa.large_string())
+    if not len(texts):
+        return pa.array([], pa.string())
+    _, offsets, values = texts.buffers()
+    edge = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(values or b"", np.uint8)[edge[0] : edge[-1]]
+    by_byte, by_code = letter_table()
+    out, edge = by_byte[data], edge - edge[0]
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int32)
+    second, third = (data[np.minimum(lead + n, len(data) - 1)].astype(np.int32) & 63 for n in (1, 2))
+    code = np.where(first < 0xE0, (first & 31) << 6 | second, np.where(first < 0xF0, (first & 15) << 12 | second << 6 | third, LETTERS_END))
+    out[lead] = by_code[np.minimum(code, LETTERS_END)]
+    out, edge = _without(out, edge, out == 0)
+    space = out == 32
+    again = np.r_[True, space[:-1]][: len(out)]
+    again[edge[:-1][edge[:-1] < len(out)]] = True  # a text begins
+    out, edge = _without(out, edge, space & again)
+    last = np.zeros(len(out), bool)
+    last[edge[1:][np.diff(edge) > 0] - 1] = True
+    out, edge = _without(out, edge, last & (out == 32))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(out))
+
+
+def _without(data: np.ndarray, edge: np.ndarray, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that are not dropped, and where texts begin and end among them."""
+    return data[~drop], edge - np.searchsorted(np.flatnonzero(drop), edge)
 
 
 def clean_text(text: Column) -> Column:

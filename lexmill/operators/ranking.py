@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import normalized_array
 from lexmill.operators.vectors import MOST_BEST, _Best
 from lexmill.params import DEFAULT, Params
 from lexmill.sources.tables import arrow_map, materialize
@@ -38,9 +39,17 @@ def unique_ids(docs: DataFrame, id_col: str = "doc_id") -> bool:
     return n_rows == n_ids
 
 
-def write_texts(docs: DataFrame, normalized: Column, path: str, id_col: str = "doc_id") -> None:
-    """Store the normalised texts, where they are read; no shuffle, no Python."""
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), normalized.alias("text")).write.parquet(path)
+def write_texts(docs: DataFrame, text: Column, path: str, id_col: str = "doc_id") -> None:
+    """Store the texts, normalised where they are read; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _pieces(batch):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), normalized_array(part.column(1))], ["doc_id", "text"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    arrow_map(rows, run, "doc_id long, text string").write.parquet(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> Texts:
@@ -48,11 +57,16 @@ def read_texts(spark: SparkSession, path: str) -> Texts:
     return Texts(rows, rows.count())
 
 
-def word_pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
-    """(first row, end row, row of each word from the first, its code, the distinct words) of (doc_id, text), a piece of the rows at a time."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of stretches of (doc_id, text) with about PIECE_BYTES of text."""
     part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE_BYTES
     edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, batch.num_rows].tolist()
-    for a, b in zip(edges[:-1], edges[1:]):
+    return zip(edges[:-1], edges[1:])
+
+
+def word_pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
+    """(first row, end row, row of each word from the first, its code, the distinct words) of (doc_id, text), a piece of the rows at a time."""
+    for a, b in _pieces(batch):
         parts = pc.split_pattern(pc.fill_null(batch.column(1).slice(a, b - a).cast(pa.large_string()), ""), " ")
         flat = parts.flatten()
         row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy(zero_copy_only=False)))

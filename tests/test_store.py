@@ -376,3 +376,16 @@ def test_a_search_needs_no_postings(spark, monkeypatch, name):
 
 def test_the_grid_scans_the_texts_once_for_all_variants(spark, monkeypatch):
     assert _built(monkeypatch, "tuning_grid", spark) == {"write_index": 0, "_frequencies": 1, "_scored": 1}
+
+
+def test_texts_are_normalised_where_they_are_stored(spark, tmp_path, monkeypatch):
+    from lexmill.operators import ranking
+
+    monkeypatch.setattr(ranking, "PIECE_BYTES", 8)
+    docs = spark.createDataFrame([(1, "Ärger, İŞ  yeri!"), (2, None), (3, "x́--7"), (4, "")], "doc_id long, text string")
+    ranking.write_texts(docs, F.col("text"), str(tmp_path / "t"))
+    texts = ranking.read_texts(spark, str(tmp_path / "t"))
+    assert {r.doc_id: r.text for r in texts.rows.collect()} == {1: "arger is yeri", 2: "", 3: "x 7", 4: ""} and texts.n_docs == 4
+    stored = search.texts_of(spark, DIR).rows.withColumnRenamed("text", "stored")
+    both = stored.join(search.corpus(spark, DIR).select("doc_id", lexical.words(search.search_text()).alias("want")), "doc_id")
+    assert both.count() == stored.count() == both.where(lexical.words(F.col("stored")) == F.col("want")).count()  # all three fields
