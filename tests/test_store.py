@@ -389,3 +389,14 @@ def test_texts_are_normalised_where_they_are_stored(spark, tmp_path, monkeypatch
     stored = search.texts_of(spark, DIR).rows.withColumnRenamed("text", "stored")
     both = stored.join(search.corpus(spark, DIR).select("doc_id", lexical.words(search.search_text()).alias("want")), "doc_id")
     assert both.count() == stored.count() == both.where(lexical.words(F.col("stored")) == F.col("want")).count()  # all three fields
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion"])
+def test_no_regular_expression_runs_over_the_texts(spark, monkeypatch, name):
+    from lexmill.operators import ranking
+
+    plans, real = [], ranking.write_texts
+    monkeypatch.setattr(ranking, "write_texts", lambda docs, text, *rest: (plans.append(docs.select(text)._jdf.queryExecution().toString()), real(docs, text, *rest)))
+    monkeypatch.setattr(search, "_texts", {})
+    QUERIES[name](spark, DIR)
+    assert len(plans) == 1 and "regexp_replace" not in plans[0] and "translate" not in plans[0]
