@@ -105,10 +105,15 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+@lru_cache(maxsize=1)
+def _letter_maps() -> tuple[dict, dict]:
+    return str.maketrans(FIRST_FROM, FIRST_TO), str.maketrans(*accent_table())
+
+
 def _plain(text: str) -> str:
     """ASCII letters for letters with marks, in lower case; marks that stand alone vanish."""
-    first = text.translate(str.maketrans(FIRST_FROM, FIRST_TO)).lower()
-    return re.sub("[\u0300-\u036f]+", "", first.translate(str.maketrans(*accent_table())))
+    first, accents = _letter_maps()
+    return re.sub("[\u0300-\u036f]+", "", text.translate(first).lower().translate(accents))
 
 
 def normalized(text: str) -> str:

@@ -391,7 +391,7 @@ def test_texts_are_normalised_where_they_are_stored(spark, tmp_path, monkeypatch
     assert both.count() == stored.count() == both.where(lexical.words(F.col("stored")) == F.col("want")).count()  # all three fields
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "tuning_grid"])
 def test_no_regular_expression_runs_over_the_texts(spark, monkeypatch, name):
     from lexmill.operators import ranking
 
