@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.providers import DIMS, bucket
 from lexmill.functions.text import char_grams
-from lexmill.sources.tables import arrow_map, materialize
+from lexmill.sources.tables import arrow_map, materialize, ship_code
 
 #: Bytes of query vectors, and best rows of all queries, that a task holds in one scan of the rows; a larger query set is
 #: worked off in so many scans. Similarities, and components of rows, that a task has at once.
 QUERY_BYTES, MOST_BEST, MOST_SIMS, MOST_VALUES = 16 << 20, 1 << 19, 1 << 19, 1 << 19
 #: Pairs up to which their documents' ids are broadcast.
 MOST_PAIRS = 1_000_000
+#: All rows against all: components of a block of rows; blocks that are made at least, unless they had fewer rows than that;
+#: rows on the two sides of a tile of similarities.
+BLOCK_VALUES, LEAST_BLOCKS, LEAST_ROWS, TILE_ROWS, TILE_QUERIES = 1 << 22, 8, 1024, 1024, 512
 
 
 def unit(vector: Column) -> Column:
@@ -49,6 +52,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, strict: bool = False
     return out
 
 
+def neighbours(rows: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, sim rounded to 6 places, same): the k best rows with another id of every row of rows(doc_id, vec, label),
+    and more of them; same says whether the two labels are equal. A window over the result picks the k best.
+
+    All rows against all, exactly: rows are dealt to blocks by a hash of doc_id, and every pair of blocks is compared by one
+    task, once for both directions. A task holds two blocks of about BLOCK_VALUES components and MOST_BEST / k rows at most, and sends
+    at most k rows for each of their rows. Work grows with the square of the rows; what is shuffled grows with their number
+    times that of the blocks. Rows that ``nearest`` leaves out are left out here.
+    """
+    own = rows.where("doc_id is not null and vec is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "vec", "label")
+    total, n = own.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)), F.count("*")).first()
+    blocks = max(1, -(-total // BLOCK_VALUES), -(-n * k // MOST_BEST), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+    dealt = own.withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    high = F.greatest("block", "other")
+    cell = F.shiftright(high * (high + 1), 1) + F.least("block", "other")  # pairs of blocks are numbered without a gap
+    dealt = dealt.select(cell.alias("cell"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "doc_id", "vec", "label")
+
+    def run(cell: pa.Table) -> pa.Table:
+        ids, side = (cell.column(c).to_numpy() for c in ("doc_id", "side"))
+        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for at, x in _usable(pa.array(np.arange(len(ids))), cell.column("vec").combine_chunks()).values():
+            by_id = np.argsort(ids[at], kind="stable")
+            at, x = at[by_id], x[by_id]
+            first, second = side[at] <= 0, side[at] >= 0
+            pairs += _compared((at[first], x[first]), (at[second], x[second]), ids if (side == 0).any() else None, k)
+        query, row, sims = (np.concatenate(x) for x in zip(*pairs))
+        label = cell.column("label").combine_chunks()
+        same = pc.equal(label.take(pa.array(query)), label.take(pa.array(row)))
+        return pa.table([pa.array(ids[query]), pa.array(ids[row]), pa.array(sims), same], ["qid", "doc_id", "sim", "same"])
+
+    ship_code(rows.sparkSession)
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, "cell").groupBy("cell").applyInArrow(run, "qid long, doc_id long, sim double, same boolean")
+
+
 def pair_similarities(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """pairs(qid, doc_id, ...) with sim, rounded to 6 places; 0 where either side has no usable vector.
 
@@ -123,6 +160,46 @@ class _Best:
         return self.parts[0]
 
 
+class _Nearest(_Best):
+    """The same in tiles. Rows come by ascending id, so one that only equals the k-th best so far is not among the best."""
+
+    def tile(self, sims: np.ndarray, start: int, first: int, axis: int) -> None:
+        """sims of the queries from number ``start`` on, which lie along the other axis, with the rows from ``first`` on along ``axis``."""
+        n = sims.shape[1 - axis]
+        least = self.least[start : start + n]
+        limit = least + 5e-7  # rounded values lie 1e-6 apart
+        if (new := least < -1).any() and sims.shape[axis] >= self.k:  # the tile's own k-th best is a first limit
+            at = sims.shape[axis] - self.k
+            own = np.maximum(np.round(np.partition(sims, at, axis=axis).take(at, axis=axis), 6), -2.0)
+            limit = np.where(new, own - 5e-7, limit)
+            least[new] = own[new]
+        where = np.flatnonzero(sims > np.expand_dims(limit - 6e-7, axis))
+        pair = np.divmod(where, sims.shape[1])
+        query, row, found = pair[1 - axis], pair[axis], np.round(sims.ravel()[where], 6)
+        good = found > limit[query]
+        self.parts.append((query[good] + start, row[good] + first, found[good]))
+        self.waiting += int(good.sum())
+        if self.waiting > self.limit:
+            self.settle()
+
+
+def _compared(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray], ids: np.ndarray | None, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, sim) of the k best of every row of first(number, unit vector) in second, and the other way round; rows are
+    sorted by id. With ``ids``, by number, both are the same rows, and those of one id don't meet."""
+    (a, x), (b, y) = first, second
+    of_a, of_b = _Nearest(len(a), k), _Nearest(len(b), k)
+    for q in range(0, len(b), TILE_QUERIES):
+        for r in range(0, len(a), TILE_ROWS):
+            sims = x[r : r + TILE_ROWS] @ y[q : q + TILE_QUERIES].T
+            if ids is None:
+                of_a.tile(sims, r, q, 1)
+            else:
+                sims[ids[a[r : r + TILE_ROWS]][:, None] == ids[b[q : q + TILE_QUERIES]]] = -3.0
+            of_b.tile(sims, q, r, 0)
+    (one, its_row, sim), (other, other_row, other_sim) = of_a.settle(), of_b.settle()
+    return [(a[one], b[its_row], sim), (b[other], a[other_row], other_sim)]
+
+
 def _against(vectors: DataFrame, asked: pa.Table, k: int, strict: bool) -> DataFrame:
     queries = _usable(asked.column("qid").combine_chunks(), asked.column("vec").combine_chunks()) if asked.num_rows else {}
 

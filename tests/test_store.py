@@ -142,6 +142,48 @@ def test_labelled_results_are_found_once(spark):
     assert "MapInArrow" not in best._jdf.queryExecution().analyzed().toString()
 
 
+def test_every_row_is_a_question(spark):
+    asked = spark.read.parquet(f"{DIR}/embeddings.parquet").count()
+    got = QUERIES["eval_summary"](spark, DIR).first()
+    assert got.n == asked and 0 < got.missed < asked
+
+
+def test_neighbours_of_every_row(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(700, 8)), 1)
+    x[100:180] = x[0]  # ties
+    label = [None if i % 50 == 0 else i % 3 for i in range(700)]
+    rows = [(i, list(map(float, r)), label[i]) for i, r in enumerate(x)]
+    rows += [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [float("nan")] + [1.0] * 7, 1), (1003, [None] + [1.0] * 7, 1), (None, [1.0] * 8, 1), (1004, [1.0, 0.0], 1), (1005, [1.0, 1.0], 2)]
+    v = spark.createDataFrame(rows, "doc_id long, vec array<double>, label int").repartition(3)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = np.round(u @ u.T, 6)
+    np.fill_diagonal(sims, -3.0)
+    same = lambda i, j: None if label[i] is None or label[j] is None else label[i] == label[j]
+    want = {(i, int(j), float(sims[i, j]), same(i, j)) for i in range(700) for j in np.lexsort((np.arange(700), -sims[i]))[:4]}
+    want |= {(1004, 1005, 0.707107, False), (1005, 1004, 0.707107, False)}
+    for values, least in ((1 << 22, 1024), (600, 1024), (1 << 22, 100)):  # one block, ten, eight
+        monkeypatch.setattr(vectors, "BLOCK_VALUES", values)
+        monkeypatch.setattr(vectors, "LEAST_ROWS", least)
+        got = lexical.top(vectors.neighbours(v, 4), 4, "sim").select("qid", "doc_id", "sim", "same").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert vectors.neighbours(v.limit(0), 4).count() == 0
+    monkeypatch.setattr(vectors, "TILE_ROWS", 64)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 16)
+    a, b = np.arange(0, 700, 2), np.arange(1, 700, 2)
+    for k, first, second, ids in ((4, a, b, None), (90, a, b, None), (4, a, a, np.arange(700))):  # 90: more than a tile has
+        apart = np.round(u[first] @ u[second].T, 6) - (0 if ids is None else 4 * np.eye(len(first)))
+        back, there = ({(int(q[i]), int(r[j]), float(s[i, j])) for i in range(len(q)) for j in np.lexsort((r, -s[i]))[:k]} for q, r, s in ((first, second, apart), (second, first, apart.T)))
+        one, other = ({(int(q), int(r), float(s)) for q, r, s in zip(*part)} for part in vectors._compared((first, u[first]), (second, u[second]), ids, k))
+        assert other == there and one == (back if ids is None else set())
+    many = vectors._Nearest(16, 4)
+    for r in range(0, 6400, 64):  # copies: rows that only tie are not kept
+        many.tile(np.ones((64, 16)), 0, r, 0)
+    assert many.waiting == 64 * 16 and sorted(set(many.settle()[1].tolist())) == [0, 1, 2, 3]
+
+
 def test_fusion_rules(spark):
     ranked = lambda rows: spark.createDataFrame(rows, "qid long, doc_id long, rank int")
     fused = fusion.fuse({"vector": (ranked([(1, 10, 1), (1, 11, 2)]), 1.0), "lexical": (ranked([(1, 12, 1), (1, 11, 2)]), 1.0), "number": (ranked([(1, 13, 1)]), 0.0)})
